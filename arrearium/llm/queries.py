@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import license_scan as op3
+from . import line_dedup as op7
 from . import quality_rules as op5
+from . import url_filter as op9
 from .common import table
 
 OP5_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -46,5 +49,73 @@ def quality_sql() -> str:
     """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_quality_rules": op5_quality_rules}
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": quality_sql()}
+OP3_COLUMNS = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op3.license_scan(docs).select(*OP3_COLUMNS[:-1], F.round("score", 6).alias("score"))
+
+
+def license_sql() -> str:
+    """DuckDB SQL of the license scan: base phrases and the positional index over all documents."""
+    posts = ", ".join(f"('{w}', {t}, '{label}', {i}, {str(key).upper()})" for w, t, label, i, key in op3.postings())
+    between = op3.BETWEEN.replace("\\", "\\")
+    base = " UNION ALL ".join(
+        f"SELECT rid, i AS place, '{label}' AS label FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE list_contains(ws, '{p.split()[-1]}')) WHERE ws[i : i + {len(p.split()) - 1}] = {p.split()!r}"
+        for p, label in op3.PHRASES
+    )
+    return f"""
+    WITH w AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(lower(coalesce(text, '')), '{between}'), lambda x: x <> '') AS ws FROM documents),
+    posts AS (SELECT * FROM (VALUES {posts}) AS v(word, t, label, tpos, is_key)),
+    hits AS (SELECT rid, pos, word FROM (SELECT rid, unnest(range(0, len(ws))) AS pos, unnest(ws) AS word FROM w) WHERE word IN (SELECT word FROM posts)),
+    n AS (SELECT ln(count(*) + 1.0) AS l FROM w),
+    idf AS (SELECT word, l - ln(count(DISTINCT rid)) AS idf FROM hits, n GROUP BY word, l),
+    whole AS (SELECT t, sum(coalesce(idf, l)) AS whole, count(*) FILTER (is_key) AS n_keys FROM posts LEFT JOIN idf USING (word), n GROUP BY t),
+    ranked AS (SELECT h.*, idf, dense_rank() OVER (PARTITION BY rid ORDER BY idf DESC, word) AS r FROM hits h JOIN idf USING (word)),
+    al AS (SELECT rid, t, label, pos - tpos AS start, sum(idf) AS found, count(*) FILTER (is_key) AS keys, min(r) AS r FROM ranked JOIN posts USING (word) GROUP BY ALL),
+    ok AS (SELECT rid, label, found / whole AS coverage FROM al JOIN whole USING (t) WHERE r <= {op3.ANCHORS} AND keys = n_keys AND found / whole >= {op3.COVERAGE}),
+    places AS (SELECT rid, max(coverage) AS best, list(DISTINCT label) AS labels FROM ok GROUP BY rid),
+    base AS (SELECT rid, count(*) AS n, min(place) - 1 AS a, max(place) - 1 AS b, list(DISTINCT label) AS labels FROM ({base}) GROUP BY rid)
+    SELECT doc_id, len(ws) AS n_words, coalesce(base.n, 0) AS n_base, base.a AS first_word, base.b AS last_word,
+           coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+           array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(places.labels, [])))), ',') AS labels,
+           round(greatest(least(coalesce(best, 0), 1), CASE WHEN base.n > 0 THEN 1.0 ELSE 0.0 END), 6) AS score
+    FROM w LEFT JOIN base ON base.rid = w.rid LEFT JOIN places ON places.rid = w.rid
+    """
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return op7.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", "emptied", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def line_sql() -> str:
+    """DuckDB SQL of the line deduplication."""
+    blank = "[\\x20\\x09-\\x0D]"
+    return f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS ls FROM documents),
+    l AS (SELECT doc_id, rid, host, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM d),
+    k AS (SELECT *, regexp_replace(line, '^{blank}+|{blank}+$', '', 'g') AS key FROM l),
+    n AS (SELECT host, count(*) AS total FROM d GROUP BY host),
+    b AS (SELECT host, key, min(doc_id) AS first, count(DISTINCT rid) AS n_pages FROM k WHERE key <> '' GROUP BY host, key),
+    bad AS (SELECT b.* FROM b JOIN n USING (host) WHERE n_pages >= {op7.MIN_PAGES} AND n_pages > {op7.RATIO} * total),
+    m AS (SELECT k.*, bad.key IS NOT NULL AND bad.first IS DISTINCT FROM doc_id AS drop FROM k LEFT JOIN bad USING (host, key)),
+    o AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (drop) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT drop), '') AS kept FROM m GROUP BY rid)
+    SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped,
+           coalesce(n_dropped > 0 AND NOT regexp_matches(kept, '[^\\x20\\x09-\\x0D]') AND regexp_matches(text, '[^\\x20\\x09-\\x0D]'), FALSE) AS emptied, sha256(kept) AS kept_sha256
+    FROM d LEFT JOIN o USING (rid)
+    """
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.url_filter(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_license_scan": op3_license_scan,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_url_filter": op9_url_filter,
+}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": license_sql(), "op5_quality_rules": quality_sql(), "op7_line_dedup": line_sql()}
