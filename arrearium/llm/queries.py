@@ -11,6 +11,7 @@ from . import bpe as op4
 from . import chat_format as op6
 from . import license_scan as op3
 from . import line_dedup as op7
+from . import near_dedup as op8
 from . import quality_classifier as op10
 from . import quality_rules as op5
 from . import url_filter as op9
@@ -111,6 +112,10 @@ def line_sql() -> str:
     """
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9.url_filter(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -173,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_chat_format": op6_chat_format,
     "op7_line_dedup": op7_line_dedup,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_quality_classifier": op10_quality_classifier,
 }
