@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe as op4
 from . import chat_format as op6
+from . import decontaminate as op2
 from . import license_scan as op3
 from . import line_dedup as op7
 from . import near_dedup as op8
@@ -53,6 +54,11 @@ def quality_sql() -> str:
     """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op2.leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 OP3_COLUMNS = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
 
@@ -173,6 +179,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
