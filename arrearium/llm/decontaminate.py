@@ -7,7 +7,7 @@ one pass over the texts for each block, so its size is bounded however large the
 the two texts are compared token by token along the diagonal; the best segment with a match worth 1 and a
 substitution worth -PENALTY is the overlap. It is a leak from MIN_TOKENS matched tokens, or from 80 % of a shorter item.
 
-Tokens are the words of the text, A-Z lower-cased and stripped of ASCII punctuation at both ends. Items shorter than
+Tokens are the words of the text, lower-cased and stripped of ASCII punctuation at both ends. Items shorter than
 the masks' span are looked up whole.
 
 Defined results: null and empty texts and items match nothing; several rows with one doc_id (or item_id) give one row
@@ -48,7 +48,7 @@ class _Tokens(_Words):
 
 
 def tokens(text: str | None, words: _Tokens) -> np.ndarray:
-    ws = (text or "").encode("utf-8", "replace").lower().split()
+    ws = (text or "").lower().encode("utf-8", "replace").split()
     return np.fromiter(map(words.__getitem__, ws), np.uint64, len(ws))
 
 
