@@ -212,3 +212,22 @@ def bpe_digest(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text
             yield pa.RecordBatch.from_arrays([*[b.column(x) for x in names], pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], names=[*names, *more])
 
     return docs.mapInArrow(run, schema)
+
+
+def tokenize(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
+    """`docs` without the text, with ids (int array), n_tokens, and exact: whether decoding gave the text again."""
+    import pyarrow as pa
+
+    more = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "exact": T.BooleanType()}
+    names, schema = _schema(docs.drop(text), more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(vocabulary, pattern)
+        for b in batches:
+            texts = [t or "" for t in b.column(text).to_pylist()]
+            ids = [c.encode(t) for t in texts]
+            exact = [c.decode(x) == t.encode("utf-8", "replace") for x, t in zip(ids, texts)]
+            made = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(exact, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*[b.column(x) for x in names], *made], names=[*names, *more])
+
+    return docs.mapInArrow(run, schema)

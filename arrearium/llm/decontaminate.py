@@ -23,7 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_dedup import _Words, mix
+from .common import durable
+from .near_dedup import BROADCAST_ROWS, _Words, mix
 
 #: The seeds; 1 is a compared token, 0 an ignored one.
 MASKS = ("11101100111", "11011010111", "10110111011", "11111111")
@@ -157,5 +158,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of `docs` that hold no passage of the benchmark; documents with a null id are judged together."""
-    bad = leaks(docs, benchmark, id_col, text, item_id, item_text).select("doc_id").distinct().select(F.col("doc_id").alias("__leak"))
+    bad = durable(leaks(docs, benchmark, id_col, text, item_id, item_text).select(F.col("doc_id").alias("__leak")).distinct())
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("__leak")), "left_anti")

@@ -232,3 +232,18 @@ def near_dedup(
     out = signed.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` of which one document of each group of near copies stays, the one with the smallest id.
+
+    Texts without words all stay; of rows that repeat both id and text one stays.
+    """
+    found = durable(near_dedup(docs, shingle, similarity, id_col=id_col, text=text))
+    gone = durable(found.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct())
+    kept = docs.join(_small(gone, gone.count()), F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+    repeated = found.filter("kept and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    if not repeated:
+        return kept
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return kept.withColumn("__text", F.xxhash64(body)).dropDuplicates([id_col, "__text"]).drop("__text")
