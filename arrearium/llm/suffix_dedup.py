@@ -11,10 +11,10 @@ start) is removed; matches stay within documents and are judged on the input.
    of equal contexts are repeats entirely.
 2. Shard transforms. The remaining distinct contexts, dealt by owner hash so that equal windows meet, are cut into
    shards of bounded size; each shard's cyclic suffixes are sorted to LENGTH bytes and give its transform, on
-   two-byte symbols.
+   four-byte symbols.
 3. Merging. Two transforms are merged by refining their interleave: a stable partition of the interleaved
    preceding symbols turns an interleave that is right for j symbols into one for j + 1. The step at which two
-   neighbours fall into different blocks is the length of their common prefix; after LENGTH / 2 steps the
+   neighbours fall into different blocks is the length of their common prefix; after LENGTH / 4 steps the
    blocks are the repeated intervals. No suffix is sorted again.
 4. In each repeated interval all but the earliest place are repeats. Runs of places become byte spans, are
    gathered per document and cut out of its text.
@@ -39,11 +39,12 @@ from pyspark.sql.window import Window as W
 from .common import durable
 from .near_dedup import BROADCAST_ROWS, mix
 
-LENGTH = 100
+LENGTH = 100  # a multiple of SYMBOL
 OWNER = 32
 SHARD_BYTES = 2_000_000
 PART_BYTES = 4_000_000
 COLLAPSE_BYTES = 24_000_000
+BLOCK = 1 << 15
 LAST = np.iinfo(np.int64).max
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -97,19 +98,14 @@ def contexts(data: np.ndarray, hasher: Hasher, length: int, owner: int) -> tuple
     at = np.arange(n - owner + 1)
     h = mix(hasher.of(at, at + owner))
     w = length - owner + 1
-    least = sliding_min(h, w)
-    # The leftmost place of the minimum: walk from each window to the first place at or after its start that equals it.
-    # A window's minimum changes only when a smaller value enters or the old place leaves.
-    place = np.flatnonzero(h[: len(least)] == least)  # windows that start at their own minimum
-    starts = np.arange(len(least))
-    nxt = np.searchsorted(place, starts)
-    candidate = np.where(nxt < len(place), place[np.minimum(nxt, max(len(place) - 1, 0))] if len(place) else len(h), len(h))
-    inside = (candidate < starts + w) & (candidate < len(h))
-    own = np.where(inside, candidate, 0)
-    good = inside & (h[own] == least)
-    bad = np.flatnonzero(~good)
-    for s in bad:  # near the end of a text, where no window starts at the place
-        own[s] = s + int(np.argmin(h[s : s + w]))
+    # The lowest 16 bits of the compared hashes give way to the place within a block, so that a minimum names its place
+    # and the leftmost one wins ties; equal windows agree on it, whatever block they stand in.
+    low = np.uint64(0xFFFF)
+    own = np.empty(len(h) - w + 1, np.int64)
+    for at in range(0, len(own), BLOCK):
+        part = h[at : at + BLOCK + w - 1]
+        key = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        own[at : at + BLOCK] = at + (sliding_min(key, w) & low).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     last = np.concatenate([first[1:] - 1, [len(own) - 1]])
     start, end = first, last + length
@@ -183,17 +179,29 @@ def places(docs: DataFrame, length: int, owner: int) -> DataFrame:
     return docs.mapInArrow(run, _PLACES)
 
 
+SYMBOL = 4  # bytes of a symbol of the transforms; strings end with as many zero bytes
+
+
+def symbol_order(codes: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of dense symbol codes, by one or two counting passes."""
+    if most < 1 << 16:
+        return np.argsort(codes.astype(np.uint16), kind="stable")
+    order = np.argsort((codes & 0xFFFF).astype(np.uint16), kind="stable")
+    return order[np.argsort((codes >> 16).astype(np.uint16)[order], kind="stable")]
+
+
 class Shard:
-    """Transform of a collection of strings: preceding two-byte symbol and place of every row, sorted to `depth` bytes."""
+    """Transform of a collection of strings: preceding symbol and place of every row, and blocks of rows equal to `depth` bytes."""
 
     def __init__(self, bwt: np.ndarray, rows: np.ndarray, block: np.ndarray):
         self.bwt, self.rows, self.block = bwt, rows, block
 
     @classmethod
     def build(cls, strings: list[bytes], first_row: int, depth: int) -> Shard:
-        """Sort the cyclic suffixes of the strings, each ended by two zero bytes, by doubling."""
-        text = np.frombuffer(b"".join(s + b"\0\0" for s in strings), np.uint8)
-        sizes = np.array([len(s) + 2 for s in strings])
+        """Sort the cyclic suffixes of the strings, each ended by zero bytes, by doubling."""
+        pad = b"\0" * SYMBOL
+        text = np.frombuffer(b"".join(s + pad for s in strings), np.uint8)
+        sizes = np.array([len(s) + SYMBOL for s in strings])
         begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
         size = np.repeat(sizes, sizes)
         inside = np.arange(len(text)) - begin
@@ -202,29 +210,35 @@ class Shard:
         four = (pair << np.uint64(16)) | pair[ahead(2)]
         key, known = (four << np.uint64(32)) | four[ahead(4)], 8
         while True:
-            order = np.argsort(key, kind="stable")
-            new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+            order = np.argsort(key)
+            key = key[order]
+            new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
             if known >= depth or new[-1] == len(text) - 1:
                 break
             rank = np.empty(len(text), np.uint64)
             rank[order] = new
             more = min(known, depth - known)  # ends at `depth` exactly: blocks are classes of that many bytes
             key, known = (rank << np.uint64(32)) | rank[ahead(more)], known + more
-        before = pair[ahead(-2)].astype(np.uint16)
+        before = four[ahead(-SYMBOL)].astype(np.uint32)
         return cls(before[order], order + first_row, new)
 
     @classmethod
     def merge(cls, a: Shard, b: Shard, depth: int) -> Shard:
-        """Interleave refinement; block numbers change where a neighbour's common prefix ends."""
+        """Interleave refinement; block numbers change where a neighbour's common prefix ends.
+
+        A step adds one symbol; `depth` is a multiple of the symbol's bytes.
+        """
         n = len(a.bwt) + len(b.bwt)
+        known = np.unique(np.concatenate([a.bwt, b.bwt]))
+        of_a, of_b = (np.searchsorted(known, x.bwt).astype(np.uint16 if len(known) < 1 << 16 else np.int64) for x in (a, b))
         z = np.zeros(n, bool)
         z[len(a.bwt) :] = True
         block, count = np.zeros(n, np.int32), 1
-        for _ in range((depth + 1) // 2):
-            symbols = np.empty(n, np.uint16)
-            symbols[~z] = a.bwt
-            symbols[z] = b.bwt
-            order = np.argsort(symbols, kind="stable")
+        for _ in range(depth // SYMBOL):
+            symbols = np.empty(n, of_a.dtype)
+            symbols[~z] = of_a
+            symbols[z] = of_b
+            order = symbol_order(symbols, len(known))
             z, symbols, block = z[order], symbols[order], block[order]
             ends = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
             block = np.zeros(n, np.int32)
@@ -232,7 +246,7 @@ class Shard:
             if block[-1] + 1 == count:
                 break  # no block was divided: none will be
             count = int(block[-1]) + 1
-        rows, bwt = np.empty(n, np.int64), np.empty(n, np.uint16)
+        rows, bwt = np.empty(n, np.int64), np.empty(n, np.uint32)
         rows[~z], rows[z] = a.rows, b.rows
         bwt[~z], bwt[z] = a.bwt, b.bwt
         return cls(bwt, rows, block)
@@ -253,7 +267,7 @@ def repeats(groups: list[tuple[bytes, int, int]], length: int, shard_bytes: int)
 
     for data, _, _ in groups:
         held.append(data)
-        size += len(data) + 2
+        size += len(data) + SYMBOL
         made += 1
         if size >= shard_bytes:
             close()
@@ -265,7 +279,7 @@ def repeats(groups: list[tuple[bytes, int, int]], length: int, shard_bytes: int)
         (_, b), (level, a) = stack.pop(), stack.pop()
         stack.append((level + 1, Shard.merge(a, b, length)))
     whole = stack[0][1]
-    sizes = np.array([len(g[0]) + 2 for g in groups])
+    sizes = np.array([len(g[0]) + SYMBOL for g in groups])
     begin = np.cumsum(sizes) - sizes
     # Rows in repeated intervals: neighbours in one block, with `length` bytes left in their string.
     same = whole.block[1:] == whole.block[:-1]
@@ -273,7 +287,7 @@ def repeats(groups: list[tuple[bytes, int, int]], length: int, shard_bytes: int)
     rows, block = whole.rows[many], whole.block[many]
     string = np.searchsorted(begin, rows, "right") - 1
     offset = rows - begin[string]
-    ok = offset + length <= sizes[string] - 2
+    ok = offset + length <= sizes[string] - SYMBOL
     string, offset, block = string[ok], offset[ok], block[ok]
     doc = np.array([g[1] for g in groups], np.int64)[string]
     loc = np.array([g[2] for g in groups], np.int64)[string]
@@ -305,7 +319,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, owner: int = OWNER, s
     spans = found.filter("again > 0").select("doc", tag.alias("tag"), start.alias("start"), (start + F.col("length")).alias("end"))
 
     heads = found.filter("again = 0 and open").select("owner", "doc", "loc", "length")
-    total = heads.agg(F.sum(F.col("length") + 2).alias("n")).first()["n"] or 0
+    total = heads.agg(F.sum(F.col("length") + SYMBOL).alias("n")).first()["n"] or 0
     per_doc = heads.groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("owner", start.cast("int").alias("start"), "length")).alias("heads"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
