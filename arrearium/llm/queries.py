@@ -15,6 +15,7 @@ from . import line_dedup as op7
 from . import near_dedup as op8
 from . import quality_classifier as op10
 from . import quality_rules as op5
+from . import suffix_dedup as op1
 from . import url_filter as op9
 from .common import table
 
@@ -54,6 +55,10 @@ def quality_sql() -> str:
     """
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return op2.leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -179,6 +184,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
     "op4_byte_bpe": op4_byte_bpe,

@@ -41,8 +41,8 @@ from .near_dedup import BROADCAST_ROWS, mix
 
 LENGTH = 100  # a multiple of SYMBOL
 OWNER = 32
-SHARD_BYTES = 2_000_000
-PART_BYTES = 4_000_000
+SHARD_BYTES = 256_000
+PART_BYTES = 400_000
 COLLAPSE_BYTES = 24_000_000
 BLOCK = 1 << 15
 LAST = np.iinfo(np.int64).max
