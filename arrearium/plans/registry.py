@@ -2,20 +2,45 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+Build = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, tuple[Build, str | None]] = {}
+_MODULES = ("queries_panel",)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: build for name, (build, _) in QUERIES.items()}
+def query(sql: str | None = None) -> Callable[[Build], Build]:
+    """Register a query under its function's name."""
+
+    def register(build: Build) -> Build:
+        _QUERIES[build.__name__] = (build, sql)
+        return build
+
+    return register
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that both engines' sums compare equal."""
+    return df.select(*[F.round(c, digits).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes])
+
+
+def _load() -> dict[str, tuple[Build, str | None]]:
+    for m in _MODULES:
+        importlib.import_module(f"arrearium.plans.{m}")
+    return _QUERIES
+
+
+def queries() -> dict[str, Build]:
+    return {name: build for name, (build, _) in _load().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in _load().items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return queries()["flow_rates"](spark, sf_dir)
