@@ -26,6 +26,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters and columns read: it passes through a generator, so that the optimizer
+    neither repeats its expression for each of them nor pushes a filter with a copy of it below."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder, so that a lost executor costs one recomputed task.
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, durable, let
+from .common import SEPARATORS, durable, let, once
 
 RATIO = 0.1
 MIN_PAGES = 3
@@ -68,7 +68,7 @@ def line_dedup(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
         F.col("__lines").isNotNull() & body.isNotNull(),
         let(F.split(body, "\n"), lambda x: let(F.filter(x, lambda line: stays(line)), lambda y: F.struct(F.array_join(y, "\n").alias("text"), (F.size(x) - F.size(y)).cast("bigint").alias("dropped")))),
     )
-    out = joined.withColumn("__result", result)
+    out = once(joined, "__result", result)
     blank = lambda c: F.ltrim(c, F.lit(SEPARATORS)) == ""
     dropped = F.coalesce(F.col("__result.dropped"), F.lit(0).cast("bigint"))
     return out.select(

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, let, without, words_of
+from .common import SEPARATORS, let, once, without, words_of
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -105,7 +105,7 @@ def quality_rules(docs: DataFrame, rules: list[tuple[str, str, str, float]] = RU
     made = {*out, "symbol_ratio", "mean_word_chars", "dup_line_ratio", "stop_ratio", "repeat_ratio", "failed_rules", "base_failed", "kept"}
     keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made or c == text]
     m = "__quality_metrics"
-    flat = docs.withColumn(m, metrics(F.col(f"`{text}`"))).select(
+    flat = once(docs, m, metrics(F.col(f"`{text}`"))).select(
         *keep,
         *[F.col(f"{m}.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_stop_words")],
         *[F.col(f"{m}.of_lines.{c}").alias(c) for c in ("n_lines", "n_dup_lines")],
