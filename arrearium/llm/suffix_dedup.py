@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from .common import durable
-from .near_dedup import BROADCAST_ROWS, mix
+from .near_dedup import mix
 
 LENGTH = 100  # a multiple of SYMBOL
 OWNER = 32
@@ -355,8 +355,7 @@ def suffix_dedup(
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(int(LAST))).alias("doc"), F.crc32(body.cast("binary")).alias("tag"), body.alias("text"))
     spans = durable(repeated_spans(keyed, length, owner, shard_bytes))
-    per_doc = durable(spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
-    per_doc = F.broadcast(per_doc) if spans.count() <= BROADCAST_ROWS else per_doc
+    per_doc = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = keyed.join(per_doc, ["doc", "tag"], "left").select("doc", "text", "spans")
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
     schema = T.StructType([T.StructField(id_col, T.LongType()), *[T.StructField(c, T.LongType()) for c in names[1:4]], T.StructField("kept_sha256", T.StringType()), *([T.StructField("kept", T.BinaryType())] if with_text else [])])
