@@ -33,12 +33,12 @@ def scenario_rows(accounts: DataFrame, scenarios: DataFrame) -> DataFrame:
     return with_lifetime(rows.withColumn("apr", strategy_apr(F.col("score"), F.col("strategy"))), "pd_stressed")
 
 
-def optimal_cutoffs(rows: DataFrame, by: list[str], pd_: str = "pd_stressed", profit: str = "Expected_Profit") -> DataFrame:
+def optimal_cutoffs(rows: DataFrame, by: list[str], pd_: str = "pd_stressed", profit: str = "Expected_Profit", count: str | None = None) -> DataFrame:
     """Per scenario: the acceptance (up to a PD, ties together) with the highest cumulative profit; none if none is positive.
 
-    Accounts are summed by distinct PD before anything is ordered.
+    Accounts are summed by distinct PD before anything is ordered. Rows may stand for `count` accounts each.
     """
-    sums = rows.groupBy(*by, F.col(pd_).alias("p")).agg(F.count("*").alias("n"), F.sum(profit).alias("profit"))
+    sums = rows.groupBy(*by, F.col(pd_).alias("p")).agg((F.sum(count) if count else F.count("*")).alias("n"), F.sum(profit).alias("profit"))
     w = W.partitionBy(*by).orderBy("p")
     running = sums.withColumn("k", F.sum("n").over(w)).withColumn("cum", F.sum("profit").over(w))
     best = F.max_by(F.struct("p", "k", "cum"), F.struct("cum", -F.col("k")))
@@ -72,11 +72,11 @@ def threshold_sweep(scored: DataFrame, thresholds: list[float], apr: float, lgd:
     every = base.join(sums, "b", "full_outer").fillna(0, ["n", "pos", "ri", "rl", "ei", "el"])
     w, whole = W.orderBy("b"), W.partitionBy()
     cols = ["n", "pos", "ri", "rl", "ei", "el"]
-    run = every.select("threshold", *[F.sum(c).over(w).alias(c) for c in cols], F.sum("n").over(whole).alias("N"), F.sum("pos").over(whole).alias("P")).filter("threshold is not null")
+    run = every.select("threshold", *[F.sum(c).over(w).alias(c) for c in cols], F.sum("n").over(whole).alias("all_n"), F.sum("pos").over(whole).alias("all_pos")).filter("threshold is not null")
     c = F.col
-    tpr, fpr = safe_div(c("P") - c("pos"), c("P")), safe_div((c("N") - c("P")) - (c("n") - c("pos")), c("N") - c("P"))
+    tpr, fpr = safe_div(c("all_pos") - c("pos"), c("all_pos")), safe_div((c("all_n") - c("all_pos")) - (c("n") - c("pos")), c("all_n") - c("all_pos"))
     return run.select(
-        "threshold", c("n").alias("n_approved"), safe_div(c("n"), c("N")).alias("approval_rate"), safe_div(c("pos"), c("n")).alias("default_rate_approved"),
+        "threshold", c("n").alias("n_approved"), safe_div(c("n"), c("all_n")).alias("approval_rate"), safe_div(c("pos"), c("n")).alias("default_rate_approved"),
         tpr.alias("tpr"), fpr.alias("fpr"), (tpr - fpr).alias("youden_j"), (apr * c("ri") - lgd * c("rl")).alias("realized_profit"), (apr * c("ei") - lgd * c("el")).alias("expected_profit"),
     )
 

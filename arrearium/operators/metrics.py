@@ -75,7 +75,7 @@ def _psi(counts: DataFrame, level: str) -> DataFrame:
     groups = counts.groupBy("group").agg(F.sum("n").alias("nt"))
     grid = groups.crossJoin(F.broadcast(ref)).crossJoin(F.broadcast(total))  # groups x levels
     full = grid.join(counts.select("group", level, "n"), ["group", level], "left").fillna(0, ["n"])
-    a, b = F.greatest(F.col("n") / F.col("nt"), F.lit(1e-6)), F.greatest(F.col("r") / F.col("rt"), F.lit(1e-6))
+    a, b = F.greatest(safe_div(F.col("n"), F.col("nt")), F.lit(1e-6)), F.greatest(safe_div(F.col("r"), F.col("rt")), F.lit(1e-6))
     return full.groupBy("group").agg(F.sum((a - b) * F.log(a / b)).alias("psi"))
 
 

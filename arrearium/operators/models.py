@@ -36,7 +36,7 @@ def _stages(numeric: list[str], categorical: list[str]) -> list:
 
 def fit_logit(df: DataFrame, numeric: list[str], categorical: list[str], y: str, l1: bool = False, reg: float = 0.0, weight: str | None = None) -> PipelineModel:
     """Median imputation, one-hot coding, scaling and a logistic regression; with l1, a selecting one."""
-    lr = LogisticRegression(labelCol=y, regParam=reg, elasticNetParam=1.0 if l1 else 0.0, maxIter=100)
+    lr = LogisticRegression(labelCol=y, regParam=reg, elasticNetParam=1.0 if l1 else 0.0, maxIter=50)
     return Pipeline(stages=[*_stages(numeric, categorical), lr.setWeightCol(weight) if weight else lr]).fit(df)
 
 
@@ -148,7 +148,7 @@ def perturb_to_gini(df: DataFrame, score: str, y: str, key: str, target: float,
     scale = (low + high) / 2
     mean = base.agg(F.avg(score)).first()[0]
     a, b = -10.0, 10.0
-    for _ in range(30):
+    for _ in range(16):
         shift = (a + b) / 2
         m = base.agg(F.avg(1 / (1 + F.exp(-(F.col("__l") + scale * F.col("__z") + shift))))).first()[0]
         a, b = (shift, b) if m < mean else (a, shift)

@@ -49,13 +49,13 @@ def roc_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _T = [round(0.01 * i, 4) for i in range(1, 100)]
-_SWEEP = f"""t AS (SELECT unnest([{", ".join(map(str, _T))}])::DOUBLE AS threshold), tot AS (SELECT count(*) AS N, sum(y) AS P FROM scores),
+_SWEEP = f"""t AS (SELECT unnest([{", ".join(map(str, _T))}])::DOUBLE AS threshold), tot AS (SELECT count(*) AS an, sum(y) AS ap FROM scores),
   sw AS (SELECT threshold, count(aid) AS n, coalesce(sum(y), 0) AS pos, coalesce(sum((1 - y) * loan_amount * n_installments / 12), 0) AS ri, coalesce(sum(y * loan_amount), 0) AS rl,
     coalesce(sum((1 - score) * loan_amount * n_installments / 12), 0) AS ei, coalesce(sum(score * loan_amount), 0) AS el FROM t LEFT JOIN scores ON score < threshold GROUP BY threshold)"""
 
 
-@query(f"""{WITH}, {_SWEEP} SELECT threshold, n AS n_approved, round(n / N, 6) AS approval_rate, round(pos / nullif(n, 0), 6) AS default_rate_approved, round((P - pos) / P, 6) AS tpr, round(((N - P) - (n - pos)) / (N - P), 6) AS fpr,
-  round((P - pos) / P - ((N - P) - (n - pos)) / (N - P), 6) AS youden_j, round(0.18 * ri - 0.45 * rl, 2) AS realized_profit, round(0.18 * ei - 0.45 * el, 2) AS expected_profit FROM sw, tot""".replace("N)", "Nn)").replace(" N,", " Nn,").replace("/ N,", "/ Nn,").replace("(N -", "(Nn -").replace("AS N", "AS Nn"))
+@query(f"""{WITH}, {_SWEEP} SELECT threshold, n AS n_approved, round(n / an, 6) AS approval_rate, round(pos / nullif(n, 0), 6) AS default_rate_approved, round((ap - pos) / ap, 6) AS tpr, round(((an - ap) - (n - pos)) / (an - ap), 6) AS fpr,
+  round((ap - pos) / ap - ((an - ap) - (n - pos)) / (an - ap), 6) AS youden_j, round(0.18 * ri - 0.45 * rl, 2) AS realized_profit, round(0.18 * ei - 0.45 * el, 2) AS expected_profit FROM sw, tot""")
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     out = cutoffs.threshold_sweep(derived.scores(spark, sf), _T, 0.18, 0.45)
     return rounded(out.withColumns({c: F.round(c, 2) for c in ("realized_profit", "expected_profit")}))
@@ -134,9 +134,14 @@ _GRID = f"""sc AS (SELECT pd_mult, strategy, cof, acq, lgd FROM (SELECT unnest({
 
 @query(f"{WITH}, {_GRID} SELECT pd_mult, strategy, cof, acq, lgd, n, round(total, 0) AS total_profit, round(CASE WHEN best > 0 THEN 100 * k / n ELSE 0 END, 4) AS approve_pct, CASE WHEN best <= 0 OR 100 * k / n < 50 THEN 'reject_most' WHEN 100 * k / n >= 99 THEN 'approve_all' ELSE 'interior' END AS category FROM gb")
 def stress_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """576 scenarios with totals and the profit-optimal cut-off of each."""
-    rows = cutoffs.scenario_rows(derived.scores(spark, sf), cutoffs.grid(spark, **_AXES, **_BASE))
-    out = cutoffs.optimal_cutoffs(rows, list(_AXES))
+    """576 scenarios with totals and the profit-optimal cut-off of each.
+
+    Economics are proportional to the loan, so accounts of one score and tenor are summed before they meet the scenarios.
+    """
+    pooled = derived.scores(spark, sf).groupBy("score", "n_installments").agg(F.sum("loan_amount").alias("loan_amount"), F.count("*").alias("cnt"))
+    rows = cutoffs.scenario_rows(pooled, cutoffs.grid(spark, **_AXES, **_BASE))
+    rows = rows.withColumn("Expected_Profit", F.col("LT_margin") - F.col("LT_EL") - F.col("acq") * F.col("cnt"))
+    out = cutoffs.optimal_cutoffs(rows, list(_AXES), count="cnt")
     return out.select(*_AXES, "n", F.round("total_profit", 0).alias("total_profit"), F.round("approve_pct", 4).alias("approve_pct"), "category")
 
 
@@ -183,7 +188,8 @@ def _model_rows(spark: SparkSession, sf: str) -> DataFrame:
     early = features.rolling(p.filter("k < 6").withColumn("m", F.col("k") + 1), {"due": "due_installments", "days": "pay_days"}, (3, 6))
     later = p.groupBy("aid").agg(F.max(((F.col("k") >= 6) & (F.col("due_installments") >= 4)).cast("int")).alias("y"))
     a = derived.accounts(spark, sf).join(derived.clients(spark, sf).select("cid", "income", "job_code"), "cid")
-    return early.join(later, "aid").join(a, "aid").withColumn("split", F.when(F.col("fin_period") < 199600, "train").otherwise("oot"))
+    rows = early.join(later, "aid").join(a, "aid").withColumn("split", F.when(F.col("fin_period") < 199600, "train").otherwise("oot"))
+    return rows.persist()  # fits read it many times
 
 
 _NUMERIC = ["due_mean_3", "due_max_6", "days_mean_6", "days_max_3", "loan_amount", "income"]
@@ -207,7 +213,7 @@ def woe_scorecard(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def default_model(spark: SparkSession, sf: str) -> DataFrame:
     """Gini and KS by split of a balanced logit, boosting, and the logit recalibrated."""
-    rows = models.balanced_weights(_model_rows(spark, sf), "y").persist()
+    rows = models.balanced_weights(_model_rows(spark, sf), "y")
     train = rows.filter("split = 'train'")
     logit_ = models.probability(models.fit_logit(train, _NUMERIC, ["job_code"], "y", weight="weight").transform(rows), "pd_logit")
     both = models.probability(models.fit_boosting(train, _NUMERIC, "y", trees=10, depth=3).transform(logit_.drop(*[c for c in logit_.columns if c.endswith(("__i", "__k", "__h"))])), "pd_boost")

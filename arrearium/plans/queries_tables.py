@@ -37,7 +37,7 @@ def duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
     return audits.duplicates(table(spark, sf, "orders"), ["o_custkey", "o_orderdate"])
 
 
-@query("SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(avg((l_quantity = l_extendedprice)::INT), 6) AS equal_share, round(corr(l_quantity, l_extendedprice), 6) AS correlation, FALSE AS duplicate FROM lineitem UNION ALL SELECT 'l_orderkey', 'l_orderkey', 1, 1, TRUE FROM lineitem GROUP BY ALL")
+@query("SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, round(avg((l_quantity = l_extendedprice)::INT), 6) AS equal_share, round(corr(l_quantity, l_extendedprice), 6) AS correlation, FALSE AS duplicate FROM lineitem UNION ALL SELECT 'l_orderkey', 'l_orderkey', 1, 1, TRUE")
 def duplicate_columns(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(audits.duplicate_columns(table(spark, sf, "lineitem"), [("l_quantity", "l_extendedprice"), ("l_orderkey", "l_orderkey")]))
 
@@ -106,21 +106,21 @@ def _psi(group: str, source: str, bucket: str, ref: str) -> str:
       SELECT grp AS "group", round(sum((p - q) * ln(p / q)), 6) AS psi FROM f GROUP BY grp"""
 
 
-@query("WITH e AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity, [" + ", ".join(str(i / 10) for i in range(11)) + "]))) AS e FROM lineitem WHERE year(l_shipdate) < 1995), " + _psi("year(l_shipdate)", "lineitem, e", "len(list_filter(e[2:len(e) - 1], lambda x: x <= l_quantity))", "year(l_shipdate) < 1995"))
+@query("WITH e AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity, [" + ", ".join(str(i / 10) for i in range(11)) + "]))) AS e FROM lineitem WHERE year(l_shipdate) < 1997), " + _psi("year(l_shipdate)", "lineitem, e", "len(list_filter(e[2:len(e) - 1], lambda x: x <= l_quantity))", "year(l_shipdate) < 1997"))
 def psi_numeric(spark: SparkSession, sf: str) -> DataFrame:
     year = F.year("l_shipdate")
-    return rounded(metrics.psi_numeric(table(spark, sf, "lineitem"), "l_quantity", year, year < 1995))
+    return rounded(metrics.psi_numeric(table(spark, sf, "lineitem"), "l_quantity", year, year < 1997))
 
 
-@query("WITH " + _psi("year(o_orderdate)", "orders", "o_orderpriority", "year(o_orderdate) < 1995"))
+@query("WITH " + _psi("year(o_orderdate)", "orders", "o_orderpriority", "year(o_orderdate) < 1997"))
 def psi_categorical(spark: SparkSession, sf: str) -> DataFrame:
     year = F.year("o_orderdate")
-    return rounded(metrics.psi_categorical(table(spark, sf, "orders"), "o_orderpriority", year, year < 1995))
+    return rounded(metrics.psi_categorical(table(spark, sf, "orders"), "o_orderpriority", year, year < 1997))
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, round((avg({c}) FILTER (f) - avg({c}) FILTER (NOT f)) / sqrt((var_samp({c}) FILTER (f) + var_samp({c}) FILTER (NOT f)) / 2), 6) AS smd FROM (SELECT *, year(l_shipdate) < 1995 AS f FROM lineitem)" for c in _RANGE))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, round((avg({c}) FILTER (f) - avg({c}) FILTER (NOT f)) / sqrt((var_samp({c}) FILTER (f) + var_samp({c}) FILTER (NOT f)) / 2), 6) AS smd FROM (SELECT *, year(l_shipdate) < 1997 AS f FROM lineitem)" for c in _RANGE))
 def mean_shift(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.smd(table(spark, sf, "lineitem"), _RANGE, F.year("l_shipdate") < 1995))
+    return rounded(metrics.smd(table(spark, sf, "lineitem"), _RANGE, F.year("l_shipdate") < 1997))
 
 
 @query("SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS last_order, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, count(*) AS n FROM orders GROUP BY o_custkey")
