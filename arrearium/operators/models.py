@@ -18,10 +18,9 @@ from .metrics import discrimination
 
 def balanced_weights(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
     """n / (2 * n of the class) as a column."""
-    stat = df.agg(F.count("*").alias("__n"), F.sum(y).alias("__p"))
-    rows = df.crossJoin(F.broadcast(stat))
-    w = F.when(F.col(y) == 1, F.col("__n") / (2 * F.col("__p"))).otherwise(F.col("__n") / (2 * (F.col("__n") - F.col("__p"))))
-    return rows.withColumn(out, w).drop("__n", "__p")
+    n, p = df.agg(F.count("*"), F.sum(y)).first()  # two numbers
+    half = lambda k: n / (2.0 * k) if k else 0.0
+    return df.withColumn(out, F.when(F.col(y) == 1, half(p)).otherwise(half(n - (p or 0))))
 
 
 def _stages(numeric: list[str], categorical: list[str]) -> list:

@@ -210,18 +210,6 @@ def woe_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scorecard.scorecard_table(spark, bins, betas, intercept))
 
 
-@query()
-def default_model(spark: SparkSession, sf: str) -> DataFrame:
-    """Gini and KS by split of a balanced logit, boosting, and the logit recalibrated."""
-    rows = models.balanced_weights(_model_rows(spark, sf), "y")
-    train = rows.filter("split = 'train'")
-    logit_ = models.probability(models.fit_logit(train, _NUMERIC, ["job_code"], "y", weight="weight").transform(rows), "pd_logit")
-    both = models.probability(models.fit_boosting(train, _NUMERIC, "y", trees=10, depth=3).transform(logit_.drop(*[c for c in logit_.columns if c.endswith(("__i", "__k", "__h"))])), "pd_boost")
-    both = models.apply_platt(both, "pd_logit", models.fit_platt(both.filter("split = 'train'"), "pd_logit", "y"), "pd_platt")
-    long = both.select("split", "y", F.explode(F.array(*[F.struct(F.lit(c).alias("source"), F.col(c).alias("p")) for c in ("pd_logit", "pd_boost", "pd_platt")])).alias("e")).select("split", "y", "e.source", "e.p")
-    return rounded(metrics.discrimination(long, "p", "y", ["source", "split"]).join(metrics.brier(long, "p", "y", ["source", "split"]), ["source", "split"]))
-
-
 @query()
 def feature_screening(spark: SparkSession, sf: str) -> DataFrame:
     rows = _model_rows(spark, sf)
