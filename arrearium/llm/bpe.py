@@ -25,8 +25,10 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .near_dedup import sliced
+
 LEAF = 64
-CACHE = 500_000
+CACHE = 100_000
 NEVER = 1 << 62
 
 
@@ -44,7 +46,7 @@ class Codec:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.stable = lru_cache(200_000)(self._stable)
+        self.stable = lru_cache(50_000)(self._stable)
 
     def merge(self, data: bytes) -> list[int]:
         """Repeatedly merge the adjacent pair whose joint bytes have the lowest rank, the leftmost on ties."""
@@ -167,7 +169,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
-        for b in batches:
+        for b in sliced(batches):
             ids = pa.array([c.encode(t or "") for t in b.column(text).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], ids], names=[*names, out])
 
@@ -182,7 +184,7 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, pattern: str, ids: str = "id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
-        for b in batches:
+        for b in sliced(batches):
             done = pa.array([c.decode(x or []) for x in b.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], done], names=[*names, out])
 
@@ -202,7 +204,7 @@ def bpe_digest(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
         digits = {i: str(i) for i in c.bytes_of}
-        for b in batches:
+        for b in sliced(batches):
             n, ids_sha, decoded_sha = [], [], []
             for t in b.column(text).to_pylist():
                 ids = c.encode(t or "")
@@ -223,7 +225,7 @@ def tokenize(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary, pattern)
-        for b in batches:
+        for b in sliced(batches):
             texts = [t or "" for t in b.column(text).to_pylist()]
             ids = [c.encode(t) for t in texts]
             exact = [c.decode(x) == t.encode("utf-8", "replace") for x, t in zip(ids, texts)]

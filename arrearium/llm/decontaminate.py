@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .near_dedup import BROADCAST_ROWS, _Words, mix
+from .near_dedup import BROADCAST_ROWS, WORDS, _Words, mix, sliced
 
 #: The seeds; 1 is a compared token, 0 an ignored one.
 MASKS = ("11101100111", "11011010111", "10110111011", "11111111")
@@ -42,7 +42,7 @@ class _Tokens(_Words):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > WORDS:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.strip(_STRIP))
         return h
@@ -133,7 +133,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = _Tokens()
             index = Index(block, words)
-            for b in batches:
+            for b in sliced(batches):
                 rows = []
                 for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                     for k, start, end, n in index.leaks(tokens(t, words)):

@@ -36,6 +36,8 @@ BANDS, ROWS = 56, 6
 SMALL_BUCKET = 16
 PIVOT_SALT = 500
 BROADCAST_ROWS = 500_000
+WORDS = 200_000  # word hashes kept by a task
+SLICE = 512  # rows of an Arrow batch worked on at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,12 +47,19 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > WORDS:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
+def sliced(batches: Iterator, rows: int = SLICE) -> Iterator:
+    """Smaller pieces of Arrow batches, so that what is made of them at once stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
@@ -97,7 +106,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, a = _Words(), multipliers(bands * rows // 2)
-        for b in batches:
+        for b in sliced(batches):
             n, keys, out = [], [], []
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, shingle, words)
@@ -124,7 +133,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for b in batches:
+        for b in sliced(batches):
             sets = [shingle_set(t, shingle, words) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "members"])
 
