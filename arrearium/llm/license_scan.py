@@ -1,9 +1,10 @@
 """License scans: a positional rare-token index over licence notices.
 
 Every notice becomes postings (word, template, position). A file's words that occur in the index are
-looked up; its highest-IDF ones propose alignments (template, file position - template position); the
+looked up; each of them proposes alignments (template, file position - template position); the
 postings of all its licence words are intersected at those alignments; an alignment counts when its
 IDF-weighted coverage is high enough and every word of the template's mandatory key phrase stands in place.
+No alignment is dropped before that, so a notice is found whatever else stands in its file.
 
 Document frequencies are counted over the whole table. One pass tokenizes (inside the row, built-in
 functions only) and leaves just the licence words with their positions; that small table is made durable
@@ -19,7 +20,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from .common import durable, let
 
@@ -54,6 +54,7 @@ COMMON = "a all and any are as at by for his her in into is it may not of on or
 
 #: Runs of ASCII characters that belong to no word, upper-case letters being words before lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Read by the SQL only, which still ranks the words of a whole file; the operator tests every alignment.
 ANCHORS = 8
 COVERAGE = 0.7
 
@@ -77,7 +78,6 @@ def license_scan(
     docs: DataFrame,
     templates: list[tuple[str, str, str]] = TEMPLATES,
     phrases: list[tuple[str, str]] = PHRASES,
-    anchors: int = ANCHORS,
     coverage: float = COVERAGE,
     id_col: str = "doc_id",
     text: str = "text",
@@ -126,15 +126,14 @@ def license_scan(
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("t", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("tpos", T.IntegerType()), T.StructField("is_key", T.BooleanType())])
     posts = spark.createDataFrame(index, schema)
     weighed = F.broadcast(idf)
-    ranked = hits.join(weighed, "word").withColumn("rank", F.dense_rank().over(W.partitionBy("__row").orderBy(F.desc("idf"), "word")))
     # A word that no document has weighs as much as one that a single document has.
     most = F.log(F.lit(n_docs) + 1.0)
     totals = posts.join(weighed, "word", "left").groupBy("t").agg(F.sum(F.coalesce("idf", most)).alias("whole"), F.sum(F.col("is_key").cast("int")).alias("n_keys"))
     aligned = (
-        ranked.join(F.broadcast(posts), "word")
+        hits.join(weighed, "word")
+        .join(F.broadcast(posts), "word")
         .groupBy("__row", "t", "label", (F.col("pos") - F.col("tpos")).alias("start"))
-        .agg(F.sum("idf").alias("found"), F.sum(F.col("is_key").cast("int")).alias("keys"), F.min("rank").alias("rank"))
-        .filter(F.col("rank") <= anchors)
+        .agg(F.sum("idf").alias("found"), F.sum(F.col("is_key").cast("int")).alias("keys"))
         .join(F.broadcast(totals), "t")
         .withColumn("coverage", F.col("found") / F.col("whole"))
         .filter((F.col("keys") == F.col("n_keys")) & (F.col("coverage") >= coverage))
