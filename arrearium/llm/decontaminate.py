@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
-from .near_dedup import BROADCAST_ROWS, WORDS, _Words, mix, sliced
+from .near_dedup import BROADCAST_ROWS, WORDS, _Words, mix, row_key, sliced
 
 #: The seeds; 1 is a compared token, 0 an ignored one.
 MASKS = ("11101100111", "11011010111", "10110111011", "11111111")
@@ -157,7 +157,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of `docs` that hold no passage of the benchmark; documents with a null id are judged together."""
-    bad = durable(leaks(docs, benchmark, id_col, text, item_id, item_text).select(F.col("doc_id").alias("__leak")).distinct())
+    """The rows of `docs` that hold no passage of the benchmark; each row goes by its own text, whatever rows share its id."""
+    keyed = docs.withColumn("__key", row_key(id_col, text))
+    bad = durable(leaks(keyed, benchmark, "__key", text, item_id, item_text).select(F.col("doc_id").alias("__leak")).distinct())
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("__leak")), "left_anti")
+    return keyed.join(bad, F.col("__key") == F.col("__leak"), "left_anti").drop("__key")

@@ -24,7 +24,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -243,16 +243,33 @@ def near_dedup(
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def row_key(id_col: str, text: str) -> Column:
+    """64-bit key of a row's id and text; rows that repeat both share it, a null id differs from every other."""
+    page = F.col(f"`{id_col}`")
+    return F.xxhash64(page.isNull(), page, F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` of which one document of each group of near copies stays, the one with the smallest id.
 
-    Texts without words all stay; of rows that repeat both id and text one stays.
+    Each distinct pair of id and text is a document of its own, so that rows which only share an id, or have none, are
+    judged each by its text; a null id comes after all others. Texts without words all stay; of rows that repeat both
+    id and text one stays.
     """
-    found = durable(near_dedup(docs, shingle, similarity, id_col=id_col, text=text))
-    gone = durable(found.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct())
-    kept = docs.join(_small(gone, gone.count()), F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
-    repeated = found.filter("kept and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return kept.withColumn("__text", F.xxhash64(body)).dropDuplicates([id_col, "__text"]).drop("__text")
+    keyed = docs.withColumn("__key", row_key(id_col, text))
+    found = durable(near_dedup(keyed.select("__key", F.col(f"`{text}`").alias("__text")), shingle, similarity, id_col="__key", text="__text").filter("n_shingles > 0"))
+    copies = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), "component_id")
+    # Groups of two or more: the copies, and the node that names their component.
+    linked = durable(copies.union(copies.select("component_id", "component_id")).distinct())
+    page = F.col(f"`{id_col}`")
+    ids = keyed.select("__key", page.isNull().alias("__no_id"), page.alias("__id")).join(_small(linked, linked.count()), F.col("__key") == F.col("__gone"))
+    stays = ids.groupBy("component_id").agg(F.min(F.struct("__no_id", "__id", "__key")).alias("s")).select(F.col("s.__key").alias("__gone"))
+    gone = linked.select("__gone").join(stays, "__gone", "left_anti")
+    repeated = found.groupBy(F.col("doc_id").alias("__gone")).count().filter("count > 1").select("__gone")
+    repeated = durable(repeated.join(gone, "__gone", "left_anti"))
+    n = repeated.count()
+    out = durable(gone.union(repeated))
+    kept = keyed.join(_small(out, out.count()), F.col("__key") == F.col("__gone"), "left_anti")
+    if n:
+        kept = kept.union(keyed.join(_small(repeated, n), F.col("__key") == F.col("__gone"), "left_semi").dropDuplicates(["__key"]))
+    return kept.drop("__key")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from arrearium.llm import license_scan
+from arrearium.llm import decontaminate, license_scan, near_dedup
+
+P = "the quick brown fox jumps over the lazy dog while seven wizards brew strong potions under a pale moon and sing of old rivers that run to the sea"
 
 
 def docs_of(spark, rows):
@@ -16,3 +18,22 @@ def test_license_several_notices(spark):
     got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.license_scan(docs_of(spark, [(i, x) for i, (_, x) in enumerate(texts)])).collect()}
     lost = [(i, {x[0] for x in held} - got[i]) for i, (held, _) in enumerate(texts) if {x[0] for x in held} - got[i]]
     assert not lost
+
+
+def unique(n):
+    return " ".join(f"u{n}w{i}" for i in range(40))
+
+
+def test_near_copies_go_by_row(spark):
+    """Unique rows that share an id with a near copy, or have none as it has, stay; so do all texts without words."""
+    rows = [(9, P), (None, P + " again"), (None, P), (None, P), (None, unique(1)), (None, ""), (None, ""), (None, None), (3, unique(2)), (7, unique(2) + " end"), (7, unique(3)), (7, unique(3)), (8, unique(4)), (8, unique(5))]
+    want = [(9, P), (None, unique(1)), (None, ""), (None, ""), (None, None), (3, unique(2)), (7, unique(3)), (8, unique(4)), (8, unique(5))]
+    order = lambda x: sorted(map(repr, x))
+    assert order(tuple(r) for r in near_dedup.drop_near_copies(docs_of(spark, rows)).collect()) == order(want)
+
+
+def test_leaks_go_by_row(spark):
+    rows = [(None, "x " + P), (None, unique(1)), (None, None), (7, P), (7, unique(2)), (1, unique(3))]
+    bench = spark.createDataFrame([(1, P)], "item_id bigint, text string")
+    got = sorted(repr(tuple(r)) for r in decontaminate.decontaminate(docs_of(spark, rows), bench).collect())
+    assert got == sorted(map(repr, [rows[1], rows[2], rows[4], rows[5]]))
