@@ -16,6 +16,8 @@ start) is removed; matches stay within documents and are judged on the input.
    preceding symbols turns an interleave that is right for j symbols into one for j + 1. The step at which two
    neighbours fall into different blocks is the length of their common prefix; after LENGTH / 4 steps the
    blocks are the repeated intervals. No suffix is sorted again.
+   Contexts of an owner with over HOT_BYTES of them are not dealt by it, for they would all meet in one task: each of
+   their windows is dealt by a 128-bit hash of its own bytes, and an aggregate gives its earliest place.
 4. In each repeated interval all but the earliest place are repeats. Runs of places become byte spans, are
    gathered per document and cut out of its text.
 
@@ -43,6 +45,7 @@ LENGTH = 100  # a multiple of SYMBOL
 OWNER = 32
 SHARD_BYTES = 256_000
 PART_BYTES = 400_000
+HOT_BYTES = 400_000  # an owner with more bytes of distinct contexts is dealt by windows
 COLLAPSE_BYTES = 24_000_000
 BLOCK = 1 << 15
 LAST = np.iinfo(np.int64).max
@@ -306,7 +309,33 @@ def repeats(groups: list[tuple[bytes, int, int]], length: int, shard_bytes: int)
 _SPANS = "doc bigint, tag bigint, start bigint, `end` bigint"
 
 
-def repeated_spans(keyed: DataFrame, length: int = LENGTH, owner: int = OWNER, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def mark_hot(heads: DataFrame, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """`heads` (owner, length, ..) with `hot`: its owner's contexts are too many bytes for one task."""
+    hot = heads.groupBy("owner").agg(F.sum(F.col("length") + SYMBOL).alias("n")).filter(F.col("n") > hot_bytes)
+    hot = durable(hot.select("owner", F.lit(True).alias("hot")))  # at most all their bytes / hot_bytes rows
+    return heads.join(F.broadcast(hot), "owner", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
+def window_spans(texts: DataFrame, length: int) -> DataFrame:
+    """Spans of all but the earliest place of each window in the hot heads of `texts` (doc, tag, text, heads)."""
+    import pyarrow as pa
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for d, t, text, hs in zip(b.column("doc").to_pylist(), b.column("tag").to_pylist(), b.column("text").to_pylist(), b.column("heads").to_pylist()):
+                data = text.encode("utf-8", "replace")
+                at = sorted({i for h in hs if h["hot"] for i in range(h["start"], h["start"] + h["length"] - length + 1)})
+                if at:
+                    keys = [hashlib.blake2b(data[i : i + length], digest_size=16).digest() for i in at]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([d] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([t] * len(at), pa.int64())], names=["key", "doc", "start", "tag"])
+
+    rows = texts.filter(F.exists("heads", lambda h: h["hot"])).mapInArrow(windows, "key binary, doc bigint, start bigint, tag bigint")
+    place = F.struct("doc", "start", "tag")
+    first = rows.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("key", "first")
+    return rows.join(first, "key").filter(place != F.col("first")).select("doc", "tag", "start", (F.col("start") + length).alias("end"))
+
+
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, owner: int = OWNER, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Spans to remove of `keyed` (doc, tag, text): doc, tag, start, end; several spans of a document may overlap."""
     import pyarrow as pa
 
@@ -318,15 +347,16 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, owner: int = OWNER, s
     found = durable(found.select("owner", "doc", "loc", "length", (F.col("kind") + F.when(F.col("rank") > 1, 1).otherwise(0)).cast("int").alias("again"), (F.col("lo") != F.col("hi")).alias("open")))
     spans = found.filter("again > 0").select("doc", tag.alias("tag"), start.alias("start"), (start + F.col("length")).alias("end"))
 
-    heads = found.filter("again = 0 and open").select("owner", "doc", "loc", "length")
-    total = heads.agg(F.sum(F.col("length") + SYMBOL).alias("n")).first()["n"] or 0
-    per_doc = heads.groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("owner", start.cast("int").alias("start"), "length")).alias("heads"))
+    heads = mark_hot(found.filter("again = 0 and open").select("owner", "doc", "loc", "length"), hot_bytes)
+    any_hot = heads.filter("hot").limit(1).count() > 0
+    total = heads.filter("not hot").agg(F.sum(F.col("length") + SYMBOL).alias("n")).first()["n"] or 0
+    per_doc = heads.groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("owner", start.cast("int").alias("start"), "length", "hot")).alias("heads"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for d, t, text, hs in zip(b.column("doc").to_pylist(), b.column("tag").to_pylist(), b.column("text").to_pylist(), b.column("heads").to_pylist()):
                 data = text.encode("utf-8", "replace")
-                hs = list({(h["owner"], h["start"], h["length"]) for h in hs})
+                hs = list({(h["owner"], h["start"], h["length"]) for h in hs if not h["hot"]})
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([h[0] for h in hs], pa.int64()), pa.array([data[h[1] : h[1] + h[2]] for h in hs], pa.binary()), pa.array([d] * len(hs), pa.int64()), pa.array([(h[1] << 32) | t for h in hs], pa.int64())],
                     names=["owner", "data", "doc", "loc"],
@@ -343,18 +373,26 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, owner: int = OWNER, s
         out = repeats([(data, d, loc) for d, loc, data in groups], length, shard_bytes)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc", "tag", "start", "end"])
 
-    return spans.union(dealt.mapInArrow(merge, _SPANS))
+    spans = spans.union(dealt.mapInArrow(merge, _SPANS))
+    return spans.union(window_spans(texts, length)) if any_hot else spans
 
 
 def suffix_dedup(
-    docs: DataFrame, length: int = LENGTH, owner: int = OWNER, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text: str = "text", with_text: bool = False
+    docs: DataFrame,
+    length: int = LENGTH,
+    owner: int = OWNER,
+    shard_bytes: int = SHARD_BYTES,
+    id_col: str = "doc_id",
+    text: str = "text",
+    with_text: bool = False,
+    hot_bytes: int = HOT_BYTES,
 ) -> DataFrame:
     """Per row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if `with_text`."""
     import pyarrow as pa
 
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     keyed = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(int(LAST))).alias("doc"), F.crc32(body.cast("binary")).alias("tag"), body.alias("text"))
-    spans = durable(repeated_spans(keyed, length, owner, shard_bytes))
+    spans = durable(repeated_spans(keyed, length, owner, shard_bytes, hot_bytes))
     per_doc = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = keyed.join(per_doc, ["doc", "tag"], "left").select("doc", "text", "spans")
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]

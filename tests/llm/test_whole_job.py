@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from arrearium.llm import decontaminate, license_scan, near_dedup
+import hashlib
+import random
+
+from arrearium.llm import decontaminate, license_scan, near_dedup, suffix_dedup
 
 P = "the quick brown fox jumps over the lazy dog while seven wizards brew strong potions under a pale moon and sing of old rivers that run to the sea"
 
@@ -37,3 +40,26 @@ def test_leaks_go_by_row(spark):
     bench = spark.createDataFrame([(1, P)], "item_id bigint, text string")
     got = sorted(repr(tuple(r)) for r in decontaminate.decontaminate(docs_of(spark, rows), bench).collect())
     assert got == sorted(map(repr, [rows[1], rows[2], rows[4], rows[5]]))
+
+
+def test_suffix_hot_owner(spark):
+    """A phrase between ever different neighbours: its owner's contexts don't meet in one task, and the result is exact."""
+    rnd = random.Random(4)
+    noise = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    phrase = "THE COMMON PHRASE OF SOME SEVENTY BYTES THAT STANDS IN A THIRD OF ALL"
+    sides = [noise(40) for _ in range(6)]
+    rows = [(i, noise(120) + (sides[i % 6] if i % 2 else noise(40)) + phrase + (sides[i % 5] if i % 3 else noise(40)) + noise(120)) for i in range(90)]
+    seen, want = set(), {}
+    for i, t in rows:
+        b, gone = t.encode(), bytearray(len(t))
+        for s in range(len(b) - 99):
+            if b[s : s + 100] in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(b[s : s + 100])
+        want[i] = (sum(gone), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
+    d = docs_of(spark, rows)
+    for hot_bytes in (1, 2000, 10**9):
+        assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in suffix_dedup.suffix_dedup(d, hot_bytes=hot_bytes).collect()} == want
+    assert sum(w[0] for w in want.values()) > 1000
+    heads = spark.createDataFrame([(1, 100)] * 50 + [(2, 100)] * 3, "owner bigint, length int")
+    assert {tuple(r) for r in suffix_dedup.mark_hot(heads, 2000).select("owner", "hot").collect()} == {(1, True), (2, False)}
