@@ -1,17 +1,22 @@
 """Byte-level BPE by monoid tree reduction.
 
 A text is split by the pre-tokenizer pattern; each match is encoded on its own. A match's bytes are halved
-recursively down to short leaves, which are merged directly, and neighbours are joined by the monoid
-operation `join`: it re-encodes a window around the border, growing it until the tokens outside can't change.
-That is decided pair by pair: a token sequence is the encoding of its bytes exactly when every two adjacent
-tokens, encoded together, give just themselves. Within both halves that holds already, so it is enough that
-the pairs at the two ends of the window hold. Decoding maps ids to bytes and concatenates up the same tree.
+recursively down to leaves, single bytes or tokens whose own bytes encode to just themselves, and neighbours are
+joined by the monoid operation `join`: it re-encodes a window around the border, growing it until the tokens
+outside can't change. That is decided pair by pair: a token sequence is the encoding of its bytes exactly when
+every two adjacent tokens, encoded together, give just themselves. Within both halves that holds already, so it is
+enough that the pairs at the two ends of the window hold. Every match takes this way, however short; only one that
+is a token as a whole is that token, as in the library. Decoding maps ids to bytes and concatenates FAN neighbours
+at a time, level by level up the tree.
+
+Words repeat, and so do their halves: encodings of matches, of short halves and of token pairs are kept in caches
+of a bounded number of short entries, which change the time but no result.
 
 Nothing here depends on other rows: the table is one map over Arrow batches, without a shuffle; memory is
-that of a batch, a bounded cache of encoded matches and the ranks.
+that of a batch, the caches and the ranks.
 
 Defined results: a null text is encoded as an empty one (no ids, empty bytes); repeated rows and null ids are
-encoded row by row; an empty table gives an empty table.
+encoded row by row; an empty table gives an empty table; input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +24,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
@@ -27,30 +31,43 @@ from pyspark.sql import types as T
 
 from .near_dedup import sliced
 
-LEAF = 64
-CACHE = 100_000
+KEPT_BYTES = 24  # longer matches and halves aren't kept in caches
+CACHE = 100_000  # entries of a cache
+WINDOW = 256  # bytes from which a window is merged with a heap
+FAN = 16  # children of a node in decoding
 NEVER = 1 << 62
 
 
+def keep(cache: dict, key, value):
+    """Put an entry into a cache that starts anew when it is full."""
+    if len(cache) >= CACHE:
+        cache.clear()
+    cache[key] = value
+    return value
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 class Codec:
-    """Ranks and pattern, with `encode(text) -> ids` and `decode(ids) -> bytes`."""
+    """Ranks and pattern, with `encode(text) -> ids` and `decode(ids) -> bytes`; splits and joins are counted."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.leaves = {b: (i,) for b, i in ranks.items() if len(b) == 1 or self.merge(b) == (i,)}
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.stable = lru_cache(50_000)(self._stable)
+        self.halves: dict[bytes, tuple[int, ...]] = {}
+        self.pairs: dict[int, tuple[int, ...]] = {}
+        self.splits = self.joins = 0
 
-    def merge(self, data: bytes) -> list[int]:
-        """Repeatedly merge the adjacent pair whose joint bytes have the lowest rank, the leftmost on ties."""
-        if len(data) > 4 * LEAF:
+    def merge(self, data: bytes) -> tuple[int, ...]:
+        """Encode a window: merge the adjacent pair whose joint bytes have the lowest rank, the leftmost on ties."""
+        if len(data) > WINDOW:
             return self.merge_long(data)
         ranks = self.ranks
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -66,7 +83,7 @@ class Codec:
                 near[i - 1] = ranks.get(parts[i - 1] + parts[i], NEVER)
             if i < len(near):
                 near[i] = ranks.get(parts[i] + parts[i + 1], NEVER)
-        return [ranks[p] for p in parts]
+        return tuple([ranks[p] for p in parts])
 
     def merge_long(self, data: bytes) -> list[int]:
         """The same with a heap and linked parts, for windows that had to grow long."""
@@ -95,55 +112,78 @@ class Codec:
         while i < n:
             out.append(ranks[data[i : end[i]]])
             i = end[i]
-        return out
+        return tuple(out)
 
-    def _stable(self, left: int, right: int) -> bool:
-        return self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+    def window(self, tokens: tuple[int, ...]) -> tuple[int, ...]:
+        """The bytes of some adjacent tokens, encoded anew."""
+        data = b"".join(map(self.bytes_of.__getitem__, tokens))
+        got = self.leaves.get(data) or self.halves.get(data)
+        if got is None:
+            got = self.merge(data)
+            if len(data) <= KEPT_BYTES:
+                keep(self.halves, data, got)
+        return got
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def pair(self, left: int, right: int) -> tuple[int, ...]:
+        """The smallest window: two adjacent tokens encoded together."""
+        key = left << 32 | right
+        return self.pairs.get(key) or keep(self.pairs, key, self.window((left, right)))
+
+    def stable(self, left: int, right: int) -> bool:
+        return self.pair(left, right) == (left, right)
+
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """Encoding of the concatenated bytes of two encodings."""
         if not left or not right:
             return left + right
-        if self.stable(left[-1], right[0]):
+        self.joins += 1
+        n, m, i, j = len(left), len(right), 1, 1
+        window = self.pair(left[-1], right[0])
+        if window == (left[-1], right[0]):
             return left + right
-        i, j = 1, 1
         while True:
-            window = self.encode_bytes(self.decode(left[len(left) - i :] + right[:j])) if i + j > LEAF and (i < len(left) or j < len(right)) else self.merge(self.decode(left[len(left) - i :] + right[:j]))
-            on_left = i == len(left) or self.stable(left[len(left) - i - 1], window[0])
-            on_right = j == len(right) or self.stable(window[-1], right[j])
+            on_left = i == n or self.stable(left[n - i - 1], window[0])
+            on_right = j == m or self.stable(window[-1], right[j])
             if on_left and on_right:
-                return left[: len(left) - i] + window + right[j:]
-            i, j = (i if on_left else min(len(left), 2 * i)), (j if on_right else min(len(right), 2 * j))
+                return left[: n - i] + window + right[j:]
+            i, j = (i if on_left else min(n, 2 * i)), (j if on_right else min(m, 2 * j))
+            window = self.window(left[n - i :] + right[:j])
 
-    def encode_bytes(self, data: bytes) -> list[int]:
-        """Tree reduction over halves."""
-        if len(data) <= LEAF:
-            return self.merge(data)
-        half = len(data) // 2
-        return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+    def encode_bytes(self, data: bytes) -> tuple[int, ...]:
+        """Tree reduction over halves, from single bytes up."""
+        got = self.leaves.get(data) or self.halves.get(data)
+        if got is None:
+            size = len(data)
+            if not size:
+                return ()
+            self.splits += 1
+            half = size // 2
+            got = self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
+            if size <= KEPT_BYTES:
+                keep(self.halves, data, got)
+        return got
 
     def piece(self, match: str) -> tuple[int, ...]:
-        got = self.pieces.get(match)
-        if got is None:
-            data = match.encode("utf-8", "replace")
-            whole = self.ranks.get(data)
-            got = (whole,) if whole is not None else tuple(self.encode_bytes(data))
-            if len(match) <= LEAF:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
-                self.pieces[match] = got
+        data = match.encode("utf-8", "replace")
+        whole = self.ranks.get(data)
+        got = (whole,) if whole is not None else self.encode_bytes(data)
+        if len(data) <= KEPT_BYTES:
+            keep(self.pieces, match, got)
         return got
 
     def encode(self, text: str) -> list[int]:
-        pieces, slow, out = self.pieces, self.piece, []
+        get, slow, out = self.pieces.get, self.piece, []
         extend = out.extend
         for m in self.find(text):
-            extend(pieces.get(m) or slow(m))
+            extend(get(m) or slow(m))
         return out
 
     def decode(self, ids: list[int]) -> bytes:
-        """Concatenate the bytes of the ids; halves join up the tree, which for bytes is one linear join."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """Concatenate the bytes of the ids up the tree."""
+        level = list(map(self.bytes_of.__getitem__, ids))
+        while len(level) > 1:
+            level = [b"".join(level[i : i + FAN]) for i in range(0, len(level), FAN)]
+        return level[0] if level else b""
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
