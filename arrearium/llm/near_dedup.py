@@ -4,12 +4,17 @@
 2. Min-max hashing: each multiplicative hash of the set gives two signature values, its minimum and its maximum,
    so BANDS * ROWS values need half as many hash evaluations. At similarity 0.8 all bands miss with
    probability (1 - 0.8^ROWS)^BANDS, 4e-8 for 56 bands of 6.
-3. Every node is compared with the most frequent smallest node of its buckets; links give first components.
+3. Every node is compared with the most central nodes of its buckets, those whose buckets hold most nodes: first with
+   the one most of its buckets agree on, then, where a bucket still holds several components, with each of them. That
+   is at most one comparison a node and band, and links most of what is alike.
 4. Buckets that still hold several components are finished exactly. Small ones are compared pair by pair across
    components. The nodes of large ones go through a prefix join: shingles ordered by rarity, a pair can only be
-   similar enough if it shares one among the rarest of both, within the positional bound of the overlap. A node
-   with too many shingles of its own thereby drops out without being compared with anyone, and nodes already in
-   one component never meet. So no pair is given up, and no group is expanded into all pairs.
+   similar enough if it shares one among the rarest of both, within the positional bound of the overlap, and if the
+   parity bitmaps of both sets differ in no more bits than the sets may in shingles. A node with too many shingles of
+   its own thereby drops out without being compared with anyone. Of each shingle the component with most nodes is
+   found first; only nodes of other components are compared with all that share it, so a group that is one component
+   already never meets itself, and a shingle of many nodes is dealt by salts. So no pair is given up, and no group is
+   expanded into all pairs.
 5. Candidates are confirmed on full sets, recomputed from the texts of just the nodes concerned.
 
 Defined results: texts without words (null, empty) have an empty set, component_id = doc_id, linked with nothing;
@@ -35,8 +40,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 56, 6
 SMALL_BUCKET = 16
 PIVOT_SALT = 500
+SHINGLE_SALT = 500  # nodes that share a shingle, in one task
 BROADCAST_ROWS = 500_000
-WORDS = 200_000  # word hashes kept by a task
+BITMAP = 8  # 64-bit words of the parity bitmap of a set
+WORDS = 100_000  # word hashes kept by a task
 SLICE = 512  # rows of an Arrow batch worked on at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -124,8 +131,14 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def parity(s: np.ndarray) -> list[int]:
+    """Bitmap of a set: each element flips a bit, so two bitmaps differ in at most as many bits as their sets in elements."""
+    bits = (np.bincount((mix(s) >> np.uint64(32)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1).astype(np.uint8)
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str, text: str) -> DataFrame:
-    """(node, n, members): full sets as sorted binary, of the given nodes only."""
+    """(node, n, members, bitmap): full sets as sorted binary, of the given nodes only."""
     import pyarrow as pa
 
     ids = durable(ids)
@@ -135,9 +148,10 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str, tex
         words = _Words()
         for b in sliced(batches):
             sets = [shingle_set(t, shingle, words) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "members"])
+            made = [pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("node"), *made], names=["node", "n", "members", "bitmap"])
 
-    return durable(here.mapInArrow(run, "node bigint, n int, members binary"))
+    return durable(here.mapInArrow(run, "node bigint, n int, members binary, bitmap array<bigint>"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -174,9 +188,9 @@ def prefix_pairs(sets: DataFrame, components: DataFrame, percent: int) -> DataFr
     """All pairs (a, b) of different components that can reach the similarity, by prefix and positional bounds."""
     t = percent / 100
     shingles = sets.join(components, "node").select("node", "component", "n", F.explode(_unpack(F.col("members"))).alias("s"))
-    df = shingles.groupBy("s").agg(F.count("*").alias("df"))
+    df = durable(shingles.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"))
     # What stands on one node only, orders first and can't match; it just shifts the others.
-    ordered = shingles.join(df, "s").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o"))
+    ordered = shingles.join(df, "s", "left").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("o"))
     prefix = (
         ordered.withColumn("o", F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(t) - 1e-9).cast("int") + 1))
         .select("node", "component", "n", F.posexplode("o").alias("pos", "x"))
@@ -184,14 +198,24 @@ def prefix_pairs(sets: DataFrame, components: DataFrame, percent: int) -> DataFr
         .select("node", "component", "n", "pos", F.col("x.s").alias("s"))
     )
     prefix = durable(prefix)
-    open_ = prefix.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("s")
-    prefix = prefix.join(open_, "s", "left_semi")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
+    # The largest component of each shingle that several share.
+    sizes = prefix.groupBy("s", "component").agg(F.count("*").alias("c"))
+    top = sizes.groupBy("s").agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.sum("c").alias("total"), F.count("*").alias("parts")).filter("parts > 1")
+    top = durable(top.select("s", "top", (F.floor(F.col("total") / SHINGLE_SALT) + 1).cast("int").alias("salts")))
+    bits = [f"b{i}" for i in range(BITMAP)]
+    rows = durable(prefix.join(top, "s").join(sets.select("node", *[F.col("bitmap")[i].alias(b) for i, b in enumerate(bits)]), "node"))
+    x = rows.filter("component <> top").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*[F.col(c).alias(f"x_{c}") for c in ("s", "salt", "node", "component", "n", "pos", "top", *bits)])
+    y = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts").cast("bigint")).cast("int")).select("s", "salt", "node", "component", "n", "pos", *bits)
+    n, m = F.col("x_n"), F.col("n")
     need = F.lit(t / (1 + t)) * (n + m) - 1e-6
-    longer = (n > m) | ((n == m) & (F.col("x.node") < F.col("y.node")))
-    on = (F.col("x.s") == F.col("y.s")) & longer & (F.col("x.component") != F.col("y.component")) & (m >= n * F.lit(t) - 1e-6) & (F.least(n - F.col("x.pos"), m - F.col("y.pos")) >= need)
-    return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    once = (F.col("component") == F.col("x_top")) | (F.col("x_node") < F.col("node"))
+    similar = (F.least(n, m) >= F.greatest(n, m) * F.lit(t) - 1e-6) & (F.least(n - F.col("x_pos"), m - F.col("pos")) >= need)
+    apart = F.lit(0)
+    for b in bits:
+        apart = apart + F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(b)))
+    near = apart <= n + m - 2 * F.ceil(need)
+    on = (F.col("x_s") == F.col("s")) & (F.col("x_salt") == F.col("salt")) & (F.col("x_component") != F.col("component")) & once & similar & near
+    return x.join(y, on).select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
 
 
 def _unpack(members: F.Column) -> F.Column:
@@ -199,6 +223,27 @@ def _unpack(members: F.Column) -> F.Column:
     return F.transform(F.sequence(F.lit(0), (F.octet_length(members) / 8).cast("int") - 1), lambda i: F.substring(members, i * 8 + 1, F.lit(8)))
 
 
+def central_pairs(members: DataFrame, components: DataFrame, only_first: bool) -> DataFrame:
+    """(a, b): nodes b with the most central node a of their buckets, where that is of another component.
+
+    Only the node that most buckets name, or each; at most as many pairs as a node has bands.
+    """
+    labelled = members.join(components, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("component"))
+    head = F.max_by(F.struct("node", "component"), F.struct("weight", -F.col("node")))
+    heads = labelled.groupBy("bucket").agg(head.alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    heads = durable(heads.select("bucket", F.col("h.node").alias("a"), F.col("h.component").alias("of_a")))
+    votes = labelled.join(heads, "bucket").filter("component <> of_a").groupBy("node", "a").agg(F.count("*").alias("c"))
+    if not only_first:
+        return votes.select("a", F.col("node").alias("b"))
+    return votes.groupBy("node").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", F.col("node").alias("b"))
+
+
+def _without(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs that aren't among `tried`, in whatever order."""
+    same = (F.least("a", "b") == F.col("__lo")) & (F.greatest("a", "b") == F.col("__hi"))
+    return pairs.join(tried.select(F.least("a", "b").alias("__lo"), F.greatest("a", "b").alias("__hi")).distinct(), same, "left_anti")
+
+
 def near_dedup(
     docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -208,21 +253,26 @@ def near_dedup(
     nodes = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes = durable(nodes)
     banded = nodes.filter("node is not null").select("node", F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("pivot")).filter("size > 1")
+    # Written before it is joined, so that the join's rows of a hot bucket can be split.
+    shared = durable(banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
     members = durable(banded.join(shared, "bucket"))
+    central = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    members = durable(members.join(central, "node"))
 
-    # First links: every node with the most frequent pivot of its buckets.
-    votes = members.filter("pivot < node").groupBy("node", "pivot").agg(F.count("*").alias("c"))
-    first = votes.groupBy("node").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("a")).select("a", F.col("node").alias("b"))
-    first = durable(first)
-    ids = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
-    links = confirm(first, shingle_sets(docs, ids, shingle, id_col, text), percent)
+    sets_of = lambda pairs: shingle_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), shingle, id_col, text)
+    none = members.select("node", F.col("node").alias("component")).limit(0)
+    first = durable(central_pairs(members, none, only_first=True))
+    links = confirm(first, sets_of(first), percent)
+    components = durable(connected_components(links))
+    second = durable(_without(central_pairs(members, components, only_first=False), first))
+    links = durable(links.union(confirm(second, sets_of(second), percent)))
     components = durable(connected_components(links))
+    tried = first.union(second)
 
-    # What the first links leave open.
+    # What these links leave open.
     labelled = members.join(components, "node", "left").select("bucket", "size", "node", "n", F.coalesce("component", "node").alias("component"))
     labelled = durable(labelled)
-    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+    open_ = durable(labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket"))
     labelled = durable(labelled.join(open_, "bucket", "left_semi"))
     small = labelled.filter(F.col("size") <= SMALL_BUCKET)
     x, y = small.alias("x"), small.alias("y")
@@ -231,14 +281,16 @@ def near_dedup(
     pairs = crossing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     large = durable(labelled.filter(F.col("size") > SMALL_BUCKET).select("node", "component").distinct())
     large_sets = shingle_sets(docs, large.select("node"), shingle, id_col, text)
-    pairs = durable(pairs.union(prefix_pairs(large_sets, large, percent)).distinct().join(first, ["a", "b"], "left_anti"))
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    more = confirm(pairs, shingle_sets(docs, ids, shingle, id_col, text), percent)
+    pairs = durable(_without(pairs.union(prefix_pairs(large_sets, large, percent)).distinct(), tried))
+    more = confirm(pairs, sets_of(pairs), percent)
     components = connected_components(links.union(more))
 
     of_set = nodes.join(components, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     of_set = durable(of_set)
-    out = signed.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
+    signed = signed.select("doc_id", "n_shingles", "set_key")
+    empty = F.lit(None).cast("bigint").alias("component_id")
+    # Texts without words share no key; they don't go through the join.
+    out = signed.filter("set_key is not null").join(of_set, "set_key").select("doc_id", "n_shingles", "component_id").union(signed.filter("set_key is null").select("doc_id", "n_shingles", empty))
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
@@ -254,7 +306,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float
 
     Each distinct pair of id and text is a document of its own, so that rows which only share an id, or have none, are
     judged each by its text; a null id comes after all others. Texts without words all stay; of rows that repeat both
-    id and text one stays.
+    id and text the one whose JSON form is smallest stays. Rows are told apart by a 64-bit hash of id and text.
     """
     keyed = docs.withColumn("__key", row_key(id_col, text))
     found = durable(near_dedup(keyed.select("__key", F.col(f"`{text}`").alias("__text")), shingle, similarity, id_col="__key", text="__text").filter("n_shingles > 0"))
@@ -271,5 +323,8 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     out = durable(gone.union(repeated))
     kept = keyed.join(_small(out, out.count()), F.col("__key") == F.col("__gone"), "left_anti")
     if n:
-        kept = kept.union(keyed.join(_small(repeated, n), F.col("__key") == F.col("__gone"), "left_semi").dropDuplicates(["__key"]))
+        again = keyed.join(_small(repeated, n), F.col("__key") == F.col("__gone"), "left_semi")
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        first = again.groupBy("__key").agg(F.min_by(row, F.to_json(row)).alias("r"))  # the first by content, whatever the partitions
+        kept = kept.union(first.select("r.*", "__key"))
     return kept.drop("__key")
