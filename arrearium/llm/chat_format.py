@@ -7,7 +7,10 @@ of these) into canonical turns array<struct<role, text>>. Turns are then rendere
 their two characters, which is undone exactly on reading, so no text can forge a turn. The loss mask is the
 list of spans of the assistant's texts.
 
-Fields that no mapping knows don't enter a fingerprint, so extra columns change nothing.
+A mapping fits where all of its paths are there: the fingerprint of those among a layout's paths is compared with
+the mapping's own, so extra fields change nothing, even those of other mappings. The most specific mapping that fits
+is taken, the first declared on ties. In JSON a path is there if the key is, whatever its value; below an array it is
+there if any element has the key, or if there are no elements.
 
 Defined results: a null text or role is empty; turns are ordered by turn, then role, then text, nulls first;
 repeated rows are repeated turns; rows with a null conv_id form one conversation; an empty table gives an empty
@@ -84,23 +87,24 @@ def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
-def known_paths() -> set[str]:
+def by_specificity() -> list[str]:
+    """Names of the mappings, those with most paths first."""
     _declare()
-    return {p for paths, _ in MAPPINGS.values() for p in paths}
+    return sorted(MAPPINGS, key=lambda name: -len(MAPPINGS[name][0]))
 
 
 def fingerprint(paths) -> str:
-    return hashlib.sha256("\n".join(sorted(set(paths) & known_paths())).encode()).hexdigest()
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
 def select_mapping(df: DataFrame) -> str:
-    """Name of the mapping whose fingerprint is that of the schema."""
-    _declare()
-    by_print = {fingerprint(paths): name for name, (paths, _) in MAPPINGS.items()}
-    found = by_print.get(fingerprint(field_paths(df.schema)))
-    if found is None:
-        raise ValueError(f"no mapping for the fields {sorted(field_paths(df.schema))}")
-    return found
+    """Name of the most specific mapping whose fingerprint is that of its paths among the schema's."""
+    have = set(field_paths(df.schema))
+    for name in by_specificity():
+        paths = MAPPINGS[name][0]
+        if fingerprint(have & set(paths)) == fingerprint(paths):
+            return name
+    raise ValueError(f"no mapping for the fields {sorted(have)}")
 
 
 def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
@@ -114,29 +118,38 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return grouped.select(id_col, F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
 
 
-def canonical_json(df: DataFrame, id_col: str, column: str) -> DataFrame:
-    """(id, layout, turns) of rows of JSON text, each in a layout of its own.
+def _json_paths(value: Column, paths: list[str]) -> Column:
+    """Those of the declared paths that are there in a variant."""
 
-    A row's fingerprint is the hash of the paths that are there; it is compared with the declared ones.
-    """
-    _declare()
-    value = F.try_parse_json(F.col(column))
-    known = sorted(known_paths())
-    path = lambda p: "$." + p.replace("[]", "[0]")
-    here = F.array_compact(F.array(*[F.when(F.try_variant_get(value, path(p), "string").isNotNull(), F.lit(p)) for p in known]))
-    out = df.select(F.col(id_col), F.col(column).alias("__json"), F.sha2(F.array_join(here, "\n"), 256).alias("__print"))
+    def there(path: str) -> Column:
+        top, below, leaf = path.partition("[].")
+        field = F.try_variant_get(value, f"$.{top}", "variant").isNotNull()
+        if not below:
+            return field
+        elements = F.coalesce(F.try_variant_get(value, f"$.{top}", "array<variant>"), F.array().cast("array<variant>"))
+        return field & ((F.size(elements) == 0) | F.exists(elements, lambda e: F.coalesce(F.try_variant_get(e, f"$.{leaf}", "variant").isNotNull(), F.lit(False))))
+
+    return F.array_compact(F.array(*[F.when(there(p), F.lit(p)) for p in paths]))
+
+
+def canonical_json(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """(id, layout, turns) of rows of JSON text, each in a layout of its own, by the fingerprint of its paths."""
+    names = [n for n in by_specificity() if MAPPINGS[n][1] is not None]
+    known = sorted({p for n in names for p in MAPPINGS[n][0]})
+    out = df.select(F.col(id_col), F.col(column).alias("__json"), _json_paths(F.try_parse_json(F.col(column)), known).alias("__paths"))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for name, (paths, build) in MAPPINGS.items():
-        if build is None:
-            continue
-        hit = F.col("__print") == fingerprint(paths)
+    for name in reversed(names):
+        paths, build = MAPPINGS[name]
+        own = F.array(*[F.lit(p) for p in sorted(paths)])
+        hit = F.sha2(F.array_join(F.array_sort(F.array_intersect("__paths", own)), "\n"), 256) == fingerprint(paths)
         fields: dict[str, str] = {}
         for p in paths:
             top, _, leaf = p.partition("[].")
             fields[top] = f"array<struct<{', '.join(f'`{q.partition("[].")[2]}`:string' for q in paths if q.startswith(top + '[].'))}>>" if leaf else "string"
         parsed = F.from_json("__json", ", ".join(f"`{k}` {v}" for k, v in fields.items()))
+        none = F.array().cast(TURNS)
         layout = F.when(hit, name).otherwise(layout)
-        turns = F.when(hit, build(lambda c, parsed=parsed: parsed[c]).cast(TURNS)).otherwise(turns)
+        turns = F.when(hit, F.coalesce(build(lambda c, parsed=parsed: parsed[c]).cast(TURNS), none)).otherwise(turns)
     return out.select(id_col, layout.alias("layout"), turns.alias("turns"))
 
 
