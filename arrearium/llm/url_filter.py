@@ -6,7 +6,9 @@ is the same on reversed edges from the hosts that they block, so that a host whi
 distrusted. A host whose distrust exceeds its trust by the threshold is blocked, every other is allowed.
 
 Each iteration is one join of the rank table with the edges on the giving host and one partial aggregate on
-the receiving one; parallel links are counted into one weighted edge before. Ranks are checkpointed.
+the receiving one; parallel links are counted into one weighted edge before. Ranks are checkpointed, and iterated
+until all changes of an iteration sum to less than TOLERANCE: then no rank is further than TOLERANCE * DAMPING /
+(1 - DAMPING) from its limit, however many links away from a seed a host is.
 
 Defined results: a null url, or one without "://", has an empty host and path, no rule, and the verdict of
 the host "" ("allow" unless linked with blocked hosts); an empty table gives an empty table; rows are judged
@@ -24,8 +26,8 @@ from .common import durable, lower_ascii
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 DAMPING = 0.85
-ITERATIONS = 8
-CHECKPOINT_EVERY = 4
+TOLERANCE = 1e-6
+CHECK_EVERY = 3
 THRESHOLD = 0.0
 _PARTS = r"://([^/?#]*)([^?#]*)"
 
@@ -59,7 +61,7 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return links.filter(F.col("n") > 0).groupBy("src", "dst").agg(F.sum("n").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank (host, rank) of `edges` (src, dst, weight) from `seeds` (host, weight); zero ranks are left out.
 
     What hosts without outgoing edges hold isn't handed on, so ranks sum to at most 1.
@@ -69,24 +71,30 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     shares = durable(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
     ranks = start.select("host", F.col("seed").alias("rank"))
-    for i in range(iterations):
-        given = shares.join(ranks, F.col("src") == F.col("host")).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("given"))
-        parts = given.select(F.col("dst").alias("host"), (F.col("given") * damping).alias("x")).union(start.select("host", F.col("seed") * (1 - damping)))
-        ranks = parts.groupBy("host").agg(F.sum("x").alias("rank"))
-        if (i + 1) % CHECKPOINT_EVERY == 0:
-            ranks = durable(ranks)
-    return ranks
-
-
-def host_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD, iterations: int = ITERATIONS, url: str = "url", html: str = "html") -> DataFrame:
+    zero = F.lit(0.0)
+    while True:
+        for _ in range(CHECK_EVERY):
+            given = shares.join(ranks, F.col("src") == F.col("host")).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("given"))
+            parts = given.select(F.col("dst").alias("host"), (F.col("given") * damping).alias("x"), zero.alias("old"))
+            parts = parts.union(start.select("host", F.col("seed") * (1 - damping), zero)).union(ranks.select("host", zero, "rank"))
+            ranks = parts.groupBy("host").agg(F.sum("x").alias("rank"), F.sum("old").alias("old"))
+            step, ranks = ranks, ranks.select("host", "rank")
+        step = durable(step)
+        ranks = step.select("host", "rank")
+        # An iteration shrinks the summed change by the damping at least, so this ends.
+        if (step.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0) < tolerance:
+            return ranks.filter("rank > 0")
+
+
+def host_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, url: str = "url", html: str = "html") -> DataFrame:
     """(host, trust, distrust, verdict) of every host that has pages or links."""
     edges = durable(host_edges(pages, url, html))
     host, path = host_of(F.col(f"`{url}`")), path_of(F.col(f"`{url}`"))
     judged = pages.select(host.alias("host"), rule_of(host, path, rules)["verdict"].alias("verdict"))
     seeds = durable(judged.groupBy("host").agg(F.count_if(F.col("verdict") == "allow").cast("double").alias("allowed"), F.count_if(F.col("verdict") == "block").cast("double").alias("blocked")))
-    trust = propagate(edges, seeds.filter("allowed > 0").select("host", F.col("allowed").alias("weight")), iterations=iterations)
+    trust = propagate(edges, seeds.filter("allowed > 0").select("host", F.col("allowed").alias("weight")), tolerance=tolerance)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = propagate(back, seeds.filter("blocked > 0").select("host", F.col("blocked").alias("weight")), iterations=iterations)
+    distrust = propagate(back, seeds.filter("blocked > 0").select("host", F.col("blocked").alias("weight")), tolerance=tolerance)
     zero = F.lit(0.0)
     parts = (
         seeds.select("host", zero.alias("trust"), zero.alias("distrust"))
