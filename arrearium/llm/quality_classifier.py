@@ -4,13 +4,16 @@ Two zstandard dictionaries are built from good and from bad labelled text. A tex
 chunk compressed with either dictionary; the difference of the compressed sizes, normalised by the size, and
 the ratio to the raw size go through a logistic function fitted on other labelled rows.
 
-Fitting reads a bounded sample: at most FIT_ROWS labelled rows of each class (those with the smallest hash of
-their id, so that the sample doesn't depend on the partitioning), and of each at most FIT_CHARS characters from
-a hashed place. Scoring is one map over Arrow batches of whole texts.
+Fitting reads a bounded sample of labelled rows: at most FIT_ROWS of each class, those with the smallest hash of
+their id, so that the sample doesn't depend on the partitioning. One half of them makes the dictionaries, from at
+most DICT_CHUNKS chunks of each class, again those with the smallest hash, from anywhere in their whole texts; these
+chunks are the only texts that reach the driver. The other half calibrates: its features are computed in tasks, of
+whole texts, like those of the rows to score. Scoring is one map over Arrow batches of whole texts.
 
 Defined results: null and empty texts have both features 0 and still get a score; a class without labelled rows
 makes the score constant; without any labels it is 0.5; labels that are null, or whose document is missing, are
-left out; repeated rows are scored one by one; an empty table gives an empty table.
+left out; of labelled rows that repeat an id and label one text, the smallest, is fitted; repeated rows are scored
+one by one; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import durable
+
 FIT_ROWS = 1500
-FIT_CHARS = 6000
+DICT_CHUNKS = 1500
 DICT_BYTES = 65536
 CHUNK = 4096
 LEVEL = 3
@@ -89,29 +94,41 @@ def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
     return w.tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> dict:
+def _features(docs: DataFrame, good: bytes, bad: bytes, text: str, make, schema: T.StructType) -> DataFrame:
+    """Arrow map that hands every batch and its rows' features to `make`."""
+
+    def run(batches: Iterator) -> Iterator:
+        of = Compressor(good, bad)
+        for b in batches:
+            yield make(b, np.array([of.features(t or "") for t in b.column(text).to_pylist()]).reshape(-1, 2))
+
+    return docs.mapInArrow(run, schema)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", rows: int = FIT_ROWS, chunks: int = DICT_CHUNKS) -> dict:
     """Model (dictionaries and coefficients) from the given labelled rows; callers leave out what is held out."""
+    import pyarrow as pa
+
     key = F.col(f"`{id_col}`")
-    known = labels.filter(key.isNotNull() & F.col(label).isin(0, 1)).select(key.alias("__id"), F.col(label).cast("int").alias("__y"))
+    known = labels.filter(key.isNotNull() & F.col(label).isin(0, 1)).select(key.alias("__id"), F.col(label).cast("int").alias("__y")).distinct()
     order = F.xxhash64(F.col("__id").cast("string"))
     chosen = [known.filter(F.col("__y") == c).orderBy(order, "__id").limit(rows) for c in (0, 1)]
     sample = chosen[0].union(chosen[1])  # 2 * rows ids at most
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    place = F.pmod(F.xxhash64(key.cast("string")), F.greatest(F.length(body) - chars, F.lit(0)) + 1).cast("int") + 1
-    found = docs.join(F.broadcast(sample), key == F.col("__id")).select("__id", "__y", F.substring(body, place, F.lit(chars)).alias("t")).toPandas()
-    found = found.sort_values(["__id", "__y"], kind="stable")
-    half = np.arange(len(found)) % 2 == 0  # one half makes the dictionaries, the other calibrates
-    y, texts = found["__y"].to_numpy(), found["t"].tolist()
+    joined = docs.select(key.alias("__id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).join(F.broadcast(sample), "__id")
+    found = durable(joined.groupBy("__id", "__y").agg(F.min("t").alias("t")))
+    n = found.count()
+    half = F.pmod(F.xxhash64(F.lit(7), F.col("__id").cast("string")), F.lit(2)) == 0
+    learn, rest = (found.filter(half), found.filter(~half)) if n >= 20 else (found, found)
+    place = F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / CHUNK).cast("int")))
+    pieces = learn.filter("t <> ''").select("__id", "__y", "t", place.alias("k")).select("__id", "__y", "k", F.substring(F.col("t"), F.col("k") * CHUNK + 1, F.lit(CHUNK)).alias("t"))
     made = {}
     for c, name in ((1, "good"), (0, "bad")):
-        own = [t.encode("utf-8", "replace") for t, k, h in zip(texts, y, half) if k == c and (h or len(found) < 20) and t]
-        made[name] = build_dictionary([t[i : i + CHUNK] for t in own for i in range(0, len(t), CHUNK)])
-    if not len(found):
-        return made | {"w": [0.0] * 5}
-    rest = ~half if len(found) >= 20 else np.ones(len(found), bool)
-    of = Compressor(made["good"], made["bad"])
-    x = np.array([of.features(t) for t, r in zip(texts, rest) if r])
-    return made | {"w": calibrate(x, y[rest])}
+        picked = pieces.filter(F.col("__y") == c).orderBy(F.xxhash64(F.col("__id").cast("string"), F.col("k")), "__id", "k").limit(chunks).collect()
+        made[name] = build_dictionary([r["t"].encode("utf-8", "replace") for r in picked])
+    schema = T.StructType([T.StructField("y", T.IntegerType()), T.StructField("d", T.DoubleType()), T.StructField("r", T.DoubleType())])
+    make = lambda b, x: pa.RecordBatch.from_arrays([b.column("__y"), pa.array(x[:, 0], pa.float64()), pa.array(x[:, 1], pa.float64())], names=["y", "d", "r"])
+    x = _features(rest, made["good"], made["bad"], "t", make, schema).orderBy("y", "d", "r").toPandas()  # three numbers for each row of the sample
+    return made | {"w": calibrate(x[["d", "r"]].to_numpy(), x["y"].to_numpy()) if len(x) else [0.0] * 5}
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
@@ -120,13 +137,10 @@ def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score")
 
     keep = [f for f in docs.schema.fields if f.name not in (text, out)]
     names = [f.name for f in keep]
-    good, bad, w = model["good"], model["bad"], np.array(model["w"])
+    w = np.array(model["w"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Compressor(good, bad)
-        for b in batches:
-            x = np.array([of.features(t or "") for t in b.column(text).to_pylist()]).reshape(-1, 2)
-            p = 1 / (1 + np.exp(-np.clip(_design(x) @ w, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(p, pa.float64())], names=[*names, out])
+    def make(b: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
+        p = 1 / (1 + np.exp(-np.clip(_design(x) @ w, -30, 30)))
+        return pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(p, pa.float64())], names=[*names, out])
 
-    return docs.mapInArrow(run, T.StructType([*keep, T.StructField(out, T.DoubleType())]))
+    return _features(docs, model["good"], model["bad"], text, make, T.StructType([*keep, T.StructField(out, T.DoubleType())]))
