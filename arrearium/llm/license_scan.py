@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, let
+from .common import durable, let, lower_ascii
 
 #: Phrases of the base rule and their labels.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
@@ -54,14 +54,12 @@ COMMON = "a all and any are as at by for his her in into is it may not of on or
 
 #: Runs of ASCII characters that belong to no word, upper-case letters being words before lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Read by the SQL only, which still ranks the words of a whole file; the operator tests every alignment.
-ANCHORS = 8
 COVERAGE = 0.7
 
 
 def scan_words(text: Column) -> Column:
-    """Words of a text. Lower-casing beyond A-Z changes neither word borders nor any match with the ASCII index."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
+    """Words of a text, with A-Z lower-cased."""
+    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN), lambda w: w != "")
 
 
 def postings(templates: list[tuple[str, str, str]] = TEMPLATES) -> list[tuple[str, int, str, int, bool]]:

@@ -5,7 +5,9 @@ adds no shuffle: one scan, one projection.
 
 Defined results: a null text counts as an empty one (all metrics 0, base_failed true, kept false);
 rows with equal or null doc_id are judged independently; an empty table gives an empty table; input
-columns that have the name of an output column are replaced, all others are carried along.
+columns that have the name of an output column are replaced, all others are carried along. The rule on stop words
+is for texts of LANGUAGES only, whose words the list has: it passes a null or other language, and every text of a
+table without a language column.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ STOP_WORDS = (
     "el los las y una es se no con lo su para como"
 ).split()
 
+#: Languages of the stop words.
+LANGUAGES = ("en", "fr", "de", "es")
+
 #: (rule, metric, reject if the metric is "<" or ">" the bound, bound). Metrics are those of `metrics()`.
 RULES = [
     ("too_few_words", "n_words", "<", 20.0),
@@ -36,6 +41,7 @@ RULES = [
     ("duplicate_lines", "dup_line_ratio", ">", 0.5),
     ("few_stop_words", "stop_ratio", "<", 0.01),
 ]
+BY_LANGUAGE = ("few_stop_words",)
 BASE_RULES = ("too_few_words", "repeated_windows")
 
 
@@ -98,7 +104,7 @@ def compile_rules(rules: list[tuple[str, str, str, float]]) -> list[tuple[str, C
     return [(name, F.col(m) < F.lit(bound) if op == "<" else F.col(m) > F.lit(bound)) for name, m, op, bound in rules]
 
 
-def quality_rules(docs: DataFrame, rules: list[tuple[str, str, str, float]] = RULES, text: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, rules: list[tuple[str, str, str, float]] = RULES, text: str = "text", lang: str = "lang") -> DataFrame:
     """`docs` with the metrics, `failed_rules` (array), `base_failed` and `kept`."""
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words"]
     ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
@@ -121,6 +127,8 @@ def quality_rules(docs: DataFrame, rules: list[tuple[str, str, str, float]] = RU
         }
     )
     # The ratio 0.3 isn't exact in binary: the base rule is decided on integers.
-    fails = [(name, F.when(F.col("n_words") >= 20, F.col("base_failed")).otherwise(False) if name == "repeated_windows" else c) for name, c in compile_rules(rules)]
+    known = F.coalesce(F.col(f"`{lang}`").isin(*LANGUAGES), F.lit(False)) if lang in flat.columns else F.lit(False)
+    exact = {"repeated_windows": F.when(F.col("n_words") >= 20, F.col("base_failed")).otherwise(False)}
+    fails = [(name, c & known if name in BY_LANGUAGE else exact.get(name, c)) for name, c in compile_rules(rules)]
     failed = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in fails]), lambda x: x.isNotNull())
     return flat.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))

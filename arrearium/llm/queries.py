@@ -17,13 +17,13 @@ from . import quality_classifier as op10
 from . import quality_rules as op5
 from . import suffix_dedup as op1
 from . import url_filter as op9
-from .common import table
+from .common import once, small_batches, table
 
 OP5_COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return op5.quality_rules(docs).select(*OP5_COLUMNS)
 
 
@@ -35,16 +35,17 @@ def quality_sql() -> str:
         "n_words": "n_words", "repeat_ratio": "n_repeat_words / greatest(n_words, 1)", "symbol_ratio": "n_symbols / greatest(n_words, 1)",
         "mean_word_chars": "word_chars / greatest(n_words, 1)", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)", "stop_ratio": "n_stop_words / greatest(n_words, 1)",
     }
-    rejects = " OR ".join(f"{metric[m]} {op} {bound}" for name, m, op, bound in op5.RULES if name not in op5.BASE_RULES)
+    known = f"coalesce(lang, '') IN {op5.LANGUAGES}"
+    rejects = " OR ".join(f"{metric[m]} {op} {bound}" + (f" AND {known}" if name in op5.BY_LANGUAGE else "") for name, m, op, bound in op5.RULES if name not in op5.BASE_RULES)
     return f"""
-    WITH w AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t,
+    WITH w AS (SELECT doc_id, lang, row_number() OVER () AS rid, coalesce(text, '') AS t,
                       list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
                       list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
     win AS (SELECT rid, i, array_to_string(words[i : i + {op5.WINDOW - 1}], ' ') AS g
             FROM (SELECT rid, words, unnest(range(1, len(words) - {op5.WINDOW - 2})) AS i FROM w)),
     dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1),
     rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM dup, (SELECT unnest(range(0, {op5.WINDOW})) AS k) GROUP BY rid),
-    m AS (SELECT doc_id, w.rid, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    m AS (SELECT doc_id, lang, w.rid, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
                  length(t) - length(regexp_replace(t, '[{symbols}]', '', 'g')) AS n_symbols,
                  len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
                  coalesce(rep.n, 0) AS n_repeat_words, len(list_filter(words, lambda x: lower(x) IN ({stops}))) AS n_stop_words
@@ -56,10 +57,12 @@ def quality_sql() -> str:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return op1.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return op2.leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
@@ -81,15 +84,14 @@ def license_sql() -> str:
         for p, label in op3.PHRASES
     )
     return f"""
-    WITH w AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(lower(coalesce(text, '')), '{between}'), lambda x: x <> '') AS ws FROM documents),
+    WITH w AS (SELECT doc_id, row_number() OVER () AS rid, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{between}'), lambda x: x <> '') AS ws FROM documents),
     posts AS (SELECT * FROM (VALUES {posts}) AS v(word, t, label, tpos, is_key)),
     hits AS (SELECT rid, pos, word FROM (SELECT rid, unnest(range(0, len(ws))) AS pos, unnest(ws) AS word FROM w) WHERE word IN (SELECT word FROM posts)),
     n AS (SELECT ln(count(*) + 1.0) AS l FROM w),
     idf AS (SELECT word, l - ln(count(DISTINCT rid)) AS idf FROM hits, n GROUP BY word, l),
     whole AS (SELECT t, sum(coalesce(idf, l)) AS whole, count(*) FILTER (is_key) AS n_keys FROM posts LEFT JOIN idf USING (word), n GROUP BY t),
-    ranked AS (SELECT h.*, idf, dense_rank() OVER (PARTITION BY rid ORDER BY idf DESC, word) AS r FROM hits h JOIN idf USING (word)),
-    al AS (SELECT rid, t, label, pos - tpos AS start, sum(idf) AS found, count(*) FILTER (is_key) AS keys, min(r) AS r FROM ranked JOIN posts USING (word) GROUP BY ALL),
-    ok AS (SELECT rid, label, found / whole AS coverage FROM al JOIN whole USING (t) WHERE r <= {op3.ANCHORS} AND keys = n_keys AND found / whole >= {op3.COVERAGE}),
+    al AS (SELECT rid, t, label, pos - tpos AS start, sum(idf) AS found, count(*) FILTER (is_key) AS keys FROM hits JOIN idf USING (word) JOIN posts USING (word) GROUP BY ALL),
+    ok AS (SELECT rid, label, found / whole AS coverage FROM al JOIN whole USING (t) WHERE keys = n_keys AND found / whole >= {op3.COVERAGE}),
     places AS (SELECT rid, max(coverage) AS best, list(DISTINCT label) AS labels FROM ok GROUP BY rid),
     base AS (SELECT rid, count(*) AS n, min(place) - 1 AS a, max(place) - 1 AS b, list(DISTINCT label) AS labels FROM ({base}) GROUP BY rid)
     SELECT doc_id, len(ws) AS n_words, coalesce(base.n, 0) AS n_base, base.a AS first_word, base.b AS last_word,
@@ -124,6 +126,7 @@ def line_sql() -> str:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return op8.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
 
 
@@ -139,15 +142,42 @@ def tokenizer() -> tuple[str, str]:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return op4.bpe_digest(docs, *tokenizer())
 
 
+def mixed_layouts(turns: DataFrame) -> DataFrame:
+    """(conv_id, body): every conversation as JSON in the layout that its turns suggest.
+
+    A question and its answer are a prompt record, with a system turn before them a system record; of the others those
+    with more than four turns are message arrays in from/value form, the rest in role/content form.
+    """
+    role = lambda i: F.get(F.col("turns"), F.lit(i))["role"]
+    text = lambda i: F.get(F.col("turns"), F.lit(i))["text"]
+    pair = (F.size("turns") == 2) & (role(0) == "user") & (role(1) == "assistant")
+    triple = (F.size("turns") == 3) & (role(0) == "system") & (role(1) == "user") & (role(2) == "assistant")
+    named = lambda r, t: F.transform("turns", lambda x: F.struct(x["role"].alias(r), x["text"].alias(t)))
+    body = (
+        F.when(pair, F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response"))))
+        .when(triple, F.to_json(F.struct(text(0).alias("system"), text(1).alias("prompt"), text(2).alias("response"))))
+        .when(F.size("turns") > 4, F.to_json(F.struct(named("from", "value").alias("conversations"))))
+        .otherwise(F.to_json(F.struct(named("role", "content").alias("messages"))))
+    )
+    return turns.select("conv_id", body.alias("body"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by turn become conversations, these records of four layouts, and the records' fingerprints canonical turns.
+
+    A conversation with a role that other layouts call differently keeps its rows by turn, as its role is to stay.
+    """
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     forged = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", forged), (-1, 1, "assistant", forged)], rows.schema)
-    chats = op6.format_chat(op6.canonical_turns(rows.union(more)))
+    turns = op6.canonical_turns(rows.union(more)).withColumn("own", F.exists("turns", lambda t: t["role"].isin(*op6.ROLES)))
+    records = op6.canonical_json(once(mixed_layouts(turns.filter("not own")), "json", F.col("body")), "conv_id", "json").select("conv_id", "turns")
+    chats = op6.format_chat(records.union(turns.filter("own").select("conv_id", "turns")))
     read = op6.read_chat(F.col("formatted"))
     loss = op6.loss_text(F.col("formatted"), F.col("loss_spans"))
     return chats.select("conv_id", F.length("formatted").cast("bigint").alias("formatted_chars"), read.alias("turns"), loss.alias("loss")).select(
@@ -175,6 +205,7 @@ def chat_sql() -> str:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(op10.fold(F.col("doc_id")) != 1)
     model = op10.fit(docs, labels)
