@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arrearium.functions.periods import period_of
 from arrearium.functions.scalars import ACTIVE, BAD, CLOSED, safe_div
 
+from .features import quantiles
+
 OBSERVED = 12
 RATES = (5, 8, 10, 12, 15)
 
@@ -43,6 +46,25 @@ def observation_status(target: Column, closed: Column) -> Column:
     return F.when(target == 1, "defaulted").when(closed, "closed").when(target.isNull(), "censored").otherwise("performing")
 
 
+def observation_table(panel: DataFrame, boundary: int, last: int | None = None, months: int = OBSERVED) -> DataFrame:
+    """aid, fin_period, obs_period (the last observed month), target with censoring, observed state and split of every account."""
+    k, c = F.col("k"), F.col
+    end = panel.agg(F.max("month_no").alias("__last"))
+    rows = panel.groupBy("aid").agg(
+        F.first("fin_period").alias("fin_period"), F.min(c("month_no") - k).alias("__fin_no"),
+        F.bool_or((c("status") == BAD) & k.between(months, 2 * months - 1)).alias("__bad"), F.bool_or((c("status") == CLOSED) & (k < 2 * months)).alias("__closed"),
+    ).crossJoin(F.broadcast(end))  # one row
+    target = F.when(c("__bad"), 1).when(c("__fin_no") + 2 * months - 1 <= c("__last"), 0)
+    rows = rows.withColumn("obs_period", period_of(c("__fin_no") + months - 1)).withColumn("target", target)
+    return rows.select("aid", "fin_period", "obs_period", "target", observation_status(c("target"), c("__closed")).alias("observed"), split_of(c("fin_period"), boundary, last).alias("split"))
+
+
+def thesis_table(base: DataFrame, thesis: DataFrame, boundary: int) -> DataFrame:
+    """The base table's columns at origination with the account's outcome and its split."""
+    outcome = thesis.select("aid", "installment", "target", "ead", "lgd", "paid_fraction")
+    return base.filter(F.col("period") == F.col("fin_period")).join(outcome, "aid").withColumn("split", split_of(F.col("fin_period"), boundary))
+
+
 def wide_abt(panel: DataFrame, series: list[str], boundary: int, months: int = OBSERVED) -> DataFrame:
     """One row for each eligible account: monthly series, window aggregates, target and split, in one aggregate.
 
@@ -82,9 +104,12 @@ def summary_as_of(wide: DataFrame, summary: DataFrame, columns: list[str], mode:
 def clean(df: DataFrame, numeric: list[str], train: Column, drop: list[str] | None = None) -> DataFrame:
     """Drop listed columns; cap at the train 99th percentile and fill nulls with the train median."""
     df = df.drop(*(drop or []))
-    fit = df.filter(train).agg(*[x for c in numeric for x in (F.percentile(c, F.lit(0.99)).alias(f"__p_{c}"), F.percentile(c, F.lit(0.5)).alias(f"__m_{c}"))])
-    out = df.crossJoin(F.broadcast(fit))
-    out = out.withColumns({c: F.coalesce(F.least(F.col(c).cast("double"), F.col(f"__p_{c}")), F.col(f"__m_{c}")) for c in numeric})
+    out = df
+    for c in numeric:
+        fit = quantiles(df.filter(train), c, [0.99, 0.5]).select(F.col("q")[0].alias(f"__p_{c}"), F.col("q")[1].alias(f"__m_{c}"))
+        out = out.crossJoin(F.broadcast(fit))  # one row
+    cut = lambda c: F.when(F.col(c).isNotNull(), F.least(F.col(c).cast("double"), F.col(f"__p_{c}"))).otherwise(F.col(f"__m_{c}"))
+    out = out.withColumns({c: cut(c) for c in numeric})
     return out.drop(*[c for c in out.columns if c.startswith(("__p_", "__m_"))])
 
 

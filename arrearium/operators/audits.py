@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arrearium.functions.scalars import safe_div
+
 
 def gates(df: DataFrame, bad: dict[str, Column]) -> DataFrame:
     """check_name, n_bad, n: how many rows break each rule; one scan for all."""
@@ -51,6 +53,30 @@ def duplicate_columns(df: DataFrame, pairs: list[tuple[str, str]], least: float
     return out.withColumn("duplicate", (F.col("equal_share") >= least) | (F.coalesce(F.abs("correlation"), F.lit(0.0)) > least))
 
 
+def target_gates(thesis: DataFrame) -> DataFrame:
+    """check_name, n_bad, n: outcomes that don't agree with exposure, loss or the paid share."""
+    c = F.col
+    return gates(
+        thesis,
+        {
+            "bad_without_exposure": (c("target") == 1) & c("ead").isNull(),
+            "good_with_exposure": (c("target") == 0) & c("ead").isNotNull(),
+            "loss_outside_0_1": (c("lgd") < 0) | (c("lgd") > 1),
+            "good_not_paid": (c("target") == 0) & (c("paid_fraction") < 1),
+            "paid_outside_0_1": (c("paid_fraction") < 0) | (c("paid_fraction") > 1),
+        },
+    )
+
+
+def defaulted_economics(thesis: DataFrame, by: list[str]) -> DataFrame:
+    """Exposure, loss and paid share of the defaulted accounts."""
+    bad = thesis.filter(F.col("target") == 1)
+    return bad.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum("ead").alias("ead"), F.avg("lgd").alias("mean_lgd"), F.min("lgd").alias("min_lgd"), F.max("lgd").alias("max_lgd"),
+        safe_div(F.sum("ead"), F.sum("loan_amount")).alias("ead_share"), F.avg("paid_fraction").alias("mean_paid"),
+    )
+
+
 def build_report(steps: dict[str, DataFrame]) -> DataFrame:
     """step, metric, value of the tables of a build."""
     out = None

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 from arrearium.functions.scalars import apr_tier, safe_div
 
 from .economics import with_lifetime
+from .features import cumulative, quantiles
 
 
 def grid(spark: SparkSession, **axes: list) -> DataFrame:
@@ -22,8 +23,9 @@ def grid(spark: SparkSession, **axes: list) -> DataFrame:
 
 
 def strategy_apr(pd_: Column, strategy: Column) -> Column:
-    """APR of a pricing strategy: tiered, tiered_cap24, flat18, flat24."""
-    return F.when(strategy == "tiered", apr_tier(pd_)).when(strategy == "tiered_cap24", apr_tier(pd_, 0.24)).when(strategy == "flat18", 0.18).otherwise(0.24)
+    """APR of a pricing strategy: tiered, tiered_cap<percent>, or flat<percent>."""
+    percent = F.try_to_number(F.regexp_extract(strategy, r"(\d+)$", 1), F.lit("99")).cast("double") / 100
+    return F.when(strategy == "tiered", apr_tier(pd_)).when(F.startswith(strategy, F.lit("tiered_cap")), F.least(apr_tier(pd_), percent)).otherwise(percent)
 
 
 def scenario_rows(accounts: DataFrame, scenarios: DataFrame) -> DataFrame:
@@ -36,11 +38,11 @@ def scenario_rows(accounts: DataFrame, scenarios: DataFrame) -> DataFrame:
 def optimal_cutoffs(rows: DataFrame, by: list[str], pd_: str = "pd_stressed", profit: str = "Expected_Profit", count: str | None = None) -> DataFrame:
     """Per scenario: the acceptance (up to a PD, ties together) with the highest cumulative profit; none if none is positive.
 
-    Accounts are summed by distinct PD before anything is ordered. Rows may stand for `count` accounts each.
+    Accounts are summed by distinct PD before anything is ordered, and the running sums are split by ranges of the PD, so
+    a scenario with as many PDs as accounts isn't one task. Rows may stand for `count` accounts each.
     """
     sums = rows.groupBy(*by, F.col(pd_).alias("p")).agg((F.sum(count) if count else F.count("*")).alias("n"), F.sum(profit).alias("profit"))
-    w = W.partitionBy(*by).orderBy("p")
-    running = sums.withColumn("k", F.sum("n").over(w)).withColumn("cum", F.sum("profit").over(w))
+    running = cumulative(sums, "p", ["n", "profit"], by).withColumn("k", F.col("before_n") + F.col("n")).withColumn("cum", F.col("before_profit") + F.col("profit"))
     best = F.max_by(F.struct("p", "k", "cum"), F.struct("cum", -F.col("k")))
     out = running.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("profit").alias("total_profit"), best.alias("b"))
     ok = F.col("b.cum") > 0
@@ -49,6 +51,25 @@ def optimal_cutoffs(rows: DataFrame, by: list[str], pd_: str = "pd_stressed", pr
     return out.select(*by, "n", "total_profit", F.when(ok, F.col("b.p")).otherwise(0.0).alias("cutoff_pd"), pct.alias("approve_pct"), F.when(ok, F.col("b.cum")).otherwise(0.0).alias("max_profit"), category.alias("category"))
 
 
+def category_pivot(results: DataFrame, parameter: str, category: str = "category", values: tuple[str, ...] = ("approve_all", "interior", "reject_most")) -> DataFrame:
+    """Number of cells of each category by the value of a parameter."""
+    return results.groupBy(parameter).pivot(category, list(values)).agg(F.count(F.lit(1))).na.fill(0, list(values))
+
+
+def adaptive_thresholds(scored: DataFrame, score: str, count: int = 200) -> list[float]:
+    """At most `count` thresholds at equal steps of the score's own distribution, distinct and rounded to 1e-6."""
+    q = quantiles(scored, score, [i / (count - 1) for i in range(count)]).first()["q"]  # `count` numbers
+    return sorted({round(x, 6) for x in q if x is not None})
+
+
+def sweep_audit(sweep: DataFrame, metric: str = "expected_profit") -> DataFrame:
+    """One row: number of thresholds, the best one, whether it is at an end, and how often the approval rate falls."""
+    w = W.orderBy("threshold")  # as many rows as thresholds
+    steps = sweep.withColumn("__fall", (F.col("approval_rate") < F.lag("approval_rate").over(w)).cast("int"))
+    out = steps.agg(F.count("*").alias("n"), F.min("threshold").alias("lo"), F.max("threshold").alias("hi"), F.max_by("threshold", F.struct(metric, -F.col("threshold"))).alias("best"), F.max(metric).alias("most"), F.sum(F.coalesce("__fall", F.lit(0))).alias("n_falls"))
+    return out.select("n", "best", "most", ((F.col("best") == F.col("lo")) | (F.col("best") == F.col("hi"))).alias("at_end"), (F.col("n_falls") == 0).alias("monotone"))
+
+
 def grid_means(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.avg("LT_EL").alias("mean_LT_EL"), F.avg("LT_margin").alias("mean_LT_margin"), F.avg("Expected_Profit").alias("mean_profit"), F.avg((F.col("Expected_Profit") > 0).cast("int")).alias("share_positive"))
 
@@ -86,10 +107,9 @@ def best_threshold(sweep: DataFrame, metric: str) -> DataFrame:
 
 
 def approve_percents(rows: DataFrame, by: list[str], percents: list[int]) -> DataFrame:
-    """Profit when the best `pct` percent (ties by account) are accepted, from accounts ordered within each scenario."""
-    w = W.partitionBy(*by).orderBy("pd_stressed", "aid")
-    ranked = rows.withColumn("rn", F.row_number().over(w)).withColumn("n", F.count("*").over(W.partitionBy(*by)))
-    return ranked.groupBy(*by).agg(*[F.sum(F.when(F.col("rn") <= F.floor(F.col("n") * p / 100), F.col("Expected_Profit")).otherwise(0.0)).alias(f"profit_{p}") for p in percents])
+    """Profit when the best `pct` percent (ties by account) are accepted; accounts are numbered by ranges, not in one task."""
+    numbered = cumulative(rows.select(*by, F.struct("pd_stressed", "aid").alias("o"), "Expected_Profit", F.lit(1).alias("one")), "o", ["one"], by)
+    return numbered.groupBy(*by).agg(*[F.sum(F.when(F.col("before_one") < F.floor(F.col("total_one") * p / 100), F.col("Expected_Profit")).otherwise(0.0)).alias(f"profit_{p}") for p in percents])
 
 
 def stability(coarse: DataFrame, fine: DataFrame, key: str, column: str) -> DataFrame:

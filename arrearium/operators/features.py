@@ -9,51 +9,79 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from arrearium.functions.scalars import clip, log1p_pos, safe_div, sqrt_pos
+from arrearium.sources.shared import durable
 
 MONTHS = (3, 6, 9, 12)
 TREND_MONTHS = (3, 6, 12)
 
 
+def monthly(long: DataFrame, series: Mapping[str, str], months: int, key: str = "aid", month: str = "m") -> DataFrame:
+    """One row for each account with __<series>_<m>, its value in month m; a partial aggregate, so little is shuffled."""
+    value = lambda c, m: F.max(F.when(F.col(month) == m, F.col(c).cast("double")))
+    return long.filter(F.col(month).between(1, months)).groupBy(key).agg(*[value(c, m).alias(f"__{name}_{m}") for name, c in series.items() for m in range(1, months + 1)])
+
+
+def _total(xs: list[Column]) -> Column:
+    out = F.lit(0.0)
+    for x in xs:
+        out = out + x
+    return out
+
+
 def rolling(long: DataFrame, series: Mapping[str, str], months: tuple[int, ...] = MONTHS, key: str = "aid", month: str = "m") -> DataFrame:
-    """mean, std, min, max, median and last value of months 1..L, and the first and last value, in one aggregate."""
-    aggs = []
-    for name, c in series.items():
+    """mean, std, min, max, median and last value of months 1..L, and the first and last value of all.
+
+    An account's months become columns in one aggregate; the statistics are arithmetic on its row. Nulls don't count.
+    """
+    wide = monthly(long, series, max(months), key, month)
+    out: list[Column] = []
+    for name in series:
         for n in months:
-            x = F.when(F.col(month) <= n, F.col(c))
-            aggs += [F.avg(x).alias(f"{name}_mean_{n}"), F.stddev_samp(x).alias(f"{name}_std_{n}"), F.min(x).alias(f"{name}_min_{n}"), F.max(x).alias(f"{name}_max_{n}"), F.median(x).alias(f"{name}_median_{n}")]
-            aggs.append(F.max_by(x, F.when(x.isNotNull(), F.col(month))).alias(f"{name}_last_{n}"))
-        aggs += [F.min_by(c, month).alias(f"{name}_first_value"), F.max_by(c, month).alias(f"{name}_last_value")]
-    return long.groupBy(key).agg(*aggs)
+            xs = [F.col(f"__{name}_{m}") for m in range(1, n + 1)]
+            count = _total([F.when(x.isNotNull(), 1.0).otherwise(0.0) for x in xs])
+            mean = safe_div(_total([F.coalesce(x, F.lit(0.0)) for x in xs]), count)
+            spread = _total([F.coalesce((x - mean) * (x - mean), F.lit(0.0)) for x in xs])
+            ranked = F.sort_array(F.array_compact(F.array(*xs)))
+            half = F.floor((F.size(ranked) - 1) / 2).cast("int")
+            middle = (F.get(ranked, half) + F.get(ranked, F.size(ranked) - 1 - half)) / 2
+            out += [
+                mean.alias(f"{name}_mean_{n}"), F.when(count > 1, F.sqrt(spread / (count - 1))).alias(f"{name}_std_{n}"), F.least(*xs).alias(f"{name}_min_{n}"), F.greatest(*xs).alias(f"{name}_max_{n}"),
+                middle.alias(f"{name}_median_{n}"), F.coalesce(*reversed(xs)).alias(f"{name}_last_{n}"),
+            ]
+        every = [F.col(f"__{name}_{m}") for m in range(1, max(months) + 1)]
+        out += [F.coalesce(*every).alias(f"{name}_first_value"), F.coalesce(*reversed(every)).alias(f"{name}_last_value")]
+    return wide.select(key, *out)
 
 
 def trend(long: DataFrame, series: Mapping[str, str], months: tuple[int, ...] = TREND_MONTHS, key: str = "aid", month: str = "m") -> DataFrame:
-    """slope, intercept and r2 of a straight line through months 1..L, from closed sums.
+    """slope, intercept and r2 of a straight line through months 1..L, on the row of an account's months.
 
     The mean and spread of the months are those of the whole window; missing values only leave the sums of values.
     r2 is null where the values don't vary.
     """
-    sums, out = [], []
-    for name, c in series.items():
+    wide = monthly(long, series, max(months), key, month)
+    out: list[Column] = []
+    for name in series:
         for n in months:
             centre, spread = (n + 1) / 2, n * (n * n - 1) / 12
-            y = F.when(F.col(month) <= n, F.col(c).cast("double"))
-            x = F.when(y.isNotNull(), F.col(month) - F.lit(centre))
-            p = f"__{name}_{n}_"
-            sums += [F.count(y).alias(p + "n"), F.sum(x).alias(p + "x"), F.sum(y).alias(p + "y"), F.sum(x * y).alias(p + "xy"), F.sum(x * x).alias(p + "xx"), F.sum(y * y).alias(p + "yy")]
-            s = lambda k, p=p: F.col(p + k)
-            mean = safe_div(s("y"), s("n"))
-            slope = (s("xy") - mean * s("x")) / F.lit(spread)
-            total = s("yy") - mean * s("y")
-            rest = total - 2 * slope * (s("xy") - mean * s("x")) + slope * slope * s("xx")
+            ys = {m: F.col(f"__{name}_{m}") for m in range(1, n + 1)}
+            add = lambda f, ys=ys: _total([F.coalesce(f(m, y), F.lit(0.0)) for m, y in ys.items()])
+            count = _total([F.when(y.isNotNull(), 1.0).otherwise(0.0) for y in ys.values()])
+            x, y, xy = add(lambda m, y: F.when(y.isNotNull(), m - centre)), add(lambda m, y: y), add(lambda m, y: y * (m - centre))
+            xx, yy = add(lambda m, y: F.when(y.isNotNull(), (m - centre) ** 2)), add(lambda m, y: y * y)
+            mean = safe_div(y, count)
+            slope = (xy - mean * x) / F.lit(spread)
+            total = yy - mean * y
+            rest = total - 2 * slope * (xy - mean * x) + slope * slope * xx
             out += [slope.alias(f"{name}_slope_{n}"), (mean - slope * centre).alias(f"{name}_intercept_{n}"), F.when(total > 1e-12, 1 - rest / total).alias(f"{name}_r2_{n}")]
-    return long.groupBy(key).agg(*sums).select(key, *out)
+    return wide.select(key, *out)
 
 
 def ratios(df: DataFrame, pairs: Mapping[str, tuple[str, str]], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Ratios, cut at their own percentiles; null on a zero denominator."""
     out = df.withColumns({k: safe_div(F.col(a), F.col(b)) for k, (a, b) in pairs.items()})
-    fit = out.agg(*[F.percentile(k, F.array(F.lit(low), F.lit(high))).alias(f"__{k}") for k in pairs])
-    out = out.crossJoin(F.broadcast(fit))
+    for k in pairs:
+        out = out.crossJoin(F.broadcast(quantiles(out, k, [low, high]).withColumnRenamed("q", f"__{k}")))  # one row
     cut = lambda k: F.when(F.col(k).isNotNull(), F.greatest(F.least(F.col(k), F.col(f"__{k}")[1]), F.col(f"__{k}")[0]))
     return out.withColumns({k: cut(k) for k in pairs}).drop(*[f"__{k}" for k in pairs])
 
@@ -97,17 +125,37 @@ def cumulative(counts: DataFrame, order: str, columns: list[str], by: list[str]
     """
     by = by or []
     key = F.col(order).desc() if descending else F.col(order).asc()
-    parts = counts.repartitionByRange(*[F.col(b) for b in by], key).withColumn("__p", F.spark_partition_id())
-    parts = parts.persist()
+    ranged = counts.repartitionByRange(*[F.col(b) for b in by], key)
+    # Written before it is read twice, so that both readers see the same partitions.
+    parts = durable(ranged.withColumn("__p", F.spark_partition_id()))
     per = parts.groupBy(*by, "__p").agg(*[F.sum(c).alias(f"__{c}") for c in columns])
     w = W.partitionBy(*by).orderBy("__p")  # one row for each partition (and group)
     whole = W.partitionBy(*by)
     per = per.select(*by, "__p", *[F.coalesce(F.sum(f"__{c}").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"__b_{c}") for c in columns], *[F.sum(f"__{c}").over(whole).alias(f"total_{c}") for c in columns])
     inner = W.partitionBy(*by, "__p").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
-    out = parts.join(F.broadcast(per), [*by, "__p"])
+    # One row for each partition, and at most one more for each group: groups are adjacent, so few partitions hold several.
+    out = parts.join(per, [*by, "__p"])
     return out.withColumns({f"before_{c}": F.col(f"__b_{c}") + F.coalesce(F.sum(c).over(inner), F.lit(0)) for c in columns}).drop("__p", *[f"__b_{c}" for c in columns])
 
 
+def quantiles(df: DataFrame, column: str, probs: list[float], by: list[str] | None = None) -> DataFrame:
+    """One row (for each group): `q`, the exact quantiles of a column, interpolated linearly between neighbours.
+
+    Read off the counts of distinct values, which are ranged over tasks; no task gets all of them.
+    """
+    ranks = distinct_ranks(df, column, by)
+    end = F.col("before_n") + F.col("n")
+    aggs = []
+    for i, p in enumerate(probs):
+        at = F.lit(float(p)) * (F.col("total_n") - 1)
+        for name, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            aggs.append(F.max(F.when((F.col("before_n") <= place) & (place < end), F.col("value").cast("double"))).alias(f"{name}{i}"))
+        aggs.append(F.max(at - F.floor(at)).alias(f"f{i}"))
+    rows = ranks.groupBy(*(by or [])).agg(*aggs)
+    value = lambda i: F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}")
+    return rows.select(*(by or []), F.array(*[value(i) for i in range(len(probs))]).alias("q"))
+
+
 def rank_features(df: DataFrame, column: str) -> DataFrame:
     """Average rank, percentile (rank - 1) / (n - 1), z-score, log1p and square root of a column."""
     ranks = distinct_ranks(df, column)
@@ -122,7 +170,7 @@ def rank_features(df: DataFrame, column: str) -> DataFrame:
 
 def quantile_edges(df: DataFrame, column: str, q: int) -> Column | DataFrame:
     """One row with the distinct inner quantile edges of a column as an array `edges`."""
-    return df.agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / q) for i in range(q + 1)]))).alias("edges"))
+    return quantiles(df, column, [i / q for i in range(q + 1)]).select(F.array_distinct("q").alias("edges"))
 
 
 def quantile_bin(df: DataFrame, column: str, q: int, out: str = "bin", right: bool = True) -> DataFrame:

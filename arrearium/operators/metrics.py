@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arrearium.functions.scalars import safe_div
 
-from .features import cumulative, quantile_bin
+from .features import cumulative, quantile_bin, quantile_edges
 
 
 def score_table(df: DataFrame, score: str, y: str, by: list[str] | None = None) -> DataFrame:
@@ -55,7 +55,7 @@ def reliability(df: DataFrame, score: str, y: str, key: str, bins: int = 10) ->
 
 def psi_numeric(df: DataFrame, column: str, group: Column, reference: Column, bins: int = 10) -> DataFrame:
     """group, psi against the reference rows' quantile bins; shares are at least 1e-6."""
-    base = df.filter(reference).agg(F.array_distinct(F.percentile(column, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("edges"))
+    base = quantile_edges(df.filter(reference), column, bins)  # one row
     x = F.col(column)
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
     binned = df.filter(x.isNotNull()).crossJoin(F.broadcast(base)).select(group.alias("group"), reference.alias("ref"), F.size(F.filter(inner, lambda e: e <= x)).alias("bin"))
@@ -125,6 +125,22 @@ def jaccard(sets: DataFrame, run: str, item: str) -> DataFrame:
     return out.select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
 
+def selection_frequency(sets: DataFrame, run: str, item: str) -> DataFrame:
+    """item, n_runs, share: in how many of the runs an item was selected."""
+    rows = sets.select(F.col(run).alias("run"), F.col(item).alias("item")).distinct()
+    total = rows.agg(F.count_distinct("run").alias("__n"))
+    out = rows.groupBy("item").agg(F.count("*").alias("n_runs")).crossJoin(F.broadcast(total))  # one row
+    return out.select("item", "n_runs", safe_div(F.col("n_runs"), F.col("__n")).alias("share"))
+
+
+def comparison(scored: DataFrame, scores: list[str], y: str, by: list[str] | None = None) -> DataFrame:
+    """source, n, gini, ks, brier, base_rate, mean_pred of several probability columns, in one pass over an unpivoted table."""
+    by = by or []
+    long = scored.select(*by, F.col(y).alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("source"), F.col(c).cast("double").alias("p")) for c in scores])).alias("e")).select(*by, "y", "e.source", "e.p")
+    keys = ["source", *by]
+    return discrimination(long, "p", "y", keys).join(brier(long, "p", "y", keys), keys)
+
+
 def screen(df: DataFrame, features: list[str], y: str, train: Column, max_null: float = 0.5, min_gini: float = 0.02, max_gap: float = 0.2) -> DataFrame:
     """Stage-one selection: null share over all rows, spread and |gini| on train, and its change out of time."""
     nulls = df.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(f"u_{c}") for c in features], *[F.stddev_samp(F.when(train, F.col(c))).alias(f"s_{c}") for c in features])

@@ -8,12 +8,14 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringInd
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, IsotonicRegression
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arrearium.functions.scalars import logit
+from arrearium.sources.shared import durable
 
-from .metrics import discrimination
+from .audits import top_values
+from .metrics import correlation, discrimination, screen
 
 
 def balanced_weights(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
@@ -113,6 +115,78 @@ def greedy_decorrelate(pairs: list[tuple[str, str, float]], order: list[str], mo
     return kept
 
 
+def hashed_share(key: str, seed: int = 42) -> Column:
+    """Reproducible number in [0, 1) of a row's key, for splits that don't depend on the partitioning."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)) / float(1 << 52)
+
+
+def stratified_sample(df: DataFrame, y: str, key: str, rows: int, seed: int = 42) -> DataFrame:
+    """About `rows` rows with the classes in proportion: a stated sample for fits that take one."""
+    n = df.count()
+    return df if n <= rows else df.filter(hashed_share(key, seed) < rows / n)
+
+
+def prescreen(df: DataFrame, features: list[str], y: str, key: str, max_null: float = 0.5, max_top: float = 0.95, min_gini: float = 0.02, max_gap: float = 0.2, most: float = 0.99, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Selection on the training rows: feature, null_share, top_share, gini and gini_held (70/30 by key), reason of leaving or null.
+
+    A feature leaves by the first of: listed, nulls, one value's share, weak, unstable, correlated with a stronger one.
+    """
+    held = hashed_share(key) >= 0.7
+    info = screen(df, features, y, ~held, max_null, min_gini, max_gap).select("feature", "null_share", F.col("gini_train").alias("gini"), F.col("gini_oot").alias("gini_held"))
+    info = info.join(top_values(df, features).select(F.col("column_name").alias("feature"), F.col("share").alias("top_share")), "feature")
+    reason = (
+        F.when(F.col("feature").isin(*drop) if drop else F.lit(False), "listed").when(F.col("null_share") > max_null, "nulls").when(F.col("top_share") >= max_top, "one_value")
+        .when(F.coalesce(F.col("gini") < min_gini, F.lit(True)), "weak").when(F.coalesce(F.abs(F.col("gini") - F.col("gini_held")) > max_gap, F.lit(True)), "unstable")
+    )
+    info = info.withColumn("reason", reason)
+    rows = info.collect()  # a row for each feature
+    order = [r["feature"] for r in sorted((r for r in rows if r["reason"] is None), key=lambda r: (-r["gini"], r["feature"]))]
+    pairs = [(r["a"], r["b"], r["corr"]) for r in correlation(df, order).collect()] if len(order) > 1 else []
+    kept = greedy_decorrelate(pairs, order, most)
+    gone = [c for c in order if c not in kept]
+    return info.withColumn("reason", F.when(F.col("feature").isin(*gone), "correlated").otherwise(F.col("reason"))) if gone else info
+
+
+def lasso_runs(df: DataFrame, numeric: list[str], y: str, key: str, regs: list[float], seeds: list[int], rows: int = 100_000) -> DataFrame:
+    """(run, reg, seed, feature) of the features that an L1 logit keeps, for each strength and sample."""
+    found = []
+    for seed in seeds:
+        sample = durable(stratified_sample(df, y, key, rows, seed).filter(hashed_share(key, seed) < 0.8))
+        for reg in regs:
+            kept = selected(fit_logit(sample, numeric, [], y, True, reg), numeric)
+            found += [(f"reg {reg}, seed {seed}", float(reg), int(seed), c) for c in kept]
+    return df.sparkSession.createDataFrame(found, "run string, reg double, seed int, feature string")
+
+
+def refit_by(df: DataFrame, numeric: list[str], y: str, group: str, levels: list) -> DataFrame:
+    """group, feature, coefficient, pooled, flipped, ratio: fits of each group against the pooled one; one-class groups are left out."""
+    pooled = dict(coefficients(fit_logit(df, numeric, [], y, reg=0.001), numeric))
+    rows = []
+    for v in levels:
+        part = durable(df.filter(F.col(group) == v))
+        n, pos = part.agg(F.count("*"), F.sum(y)).first()
+        if not pos or pos == n:
+            continue
+        for c, b in coefficients(fit_logit(part, numeric, [], y, reg=0.001), numeric):
+            a = pooled[c]
+            rows.append((str(v), c, b, a, a * b < 0, abs(b / a) if a else None))
+    return df.sparkSession.createDataFrame(rows, "group string, feature string, coefficient double, pooled double, flipped boolean, ratio double")
+
+
+def ablation(train: DataFrame, held: DataFrame, families: dict[str, list[str]], y: str) -> DataFrame:
+    """without, n_features, gini_train, gini_held, loss: the fit again without one family of features after the other."""
+    out, base = [], None
+    for name in ["", *families]:
+        numeric = [c for k, cs in families.items() if k != name for c in cs]
+        if not numeric:
+            continue
+        m = fit_logit(train, numeric, [], y, reg=0.001)
+        g = [discrimination(probability(m.transform(part)), "pd", y).first()["gini"] or 0.0 for part in (train, held)]
+        base = g[1] if base is None else base
+        out.append((name or "nothing", len(numeric), g[0], g[1], base - g[1]))
+    return train.sparkSession.createDataFrame(out, "without string, n_features int, gini_train double, gini_held double, loss double")
+
+
 def fit_platt(df: DataFrame, score: str, y: str, on_logit: bool = True) -> tuple[float, float]:
     """Slope and intercept of a logistic recalibration."""
     x = logit(F.col(score)) if on_logit else F.col(score)
@@ -126,8 +200,9 @@ def apply_platt(df: DataFrame, score: str, fitted: tuple[float, float], out: str
     return df.withColumn(out, 1 / (1 + F.exp(-(fitted[0] * x + fitted[1]))))
 
 
-def isotonic(df: DataFrame, score: str, y: str, out: str) -> DataFrame:
-    m = IsotonicRegression(labelCol=y, featuresCol=score, predictionCol=out).fit(df)
+def isotonic(df: DataFrame, score: str, y: str, out: str, fit: DataFrame | None = None) -> DataFrame:
+    """Monotone recalibration, fitted on `fit` or on `df` itself; scores outside get the nearest value."""
+    m = IsotonicRegression(labelCol=y, featuresCol=score, predictionCol=out).fit(df if fit is None else fit)
     return m.transform(df)
 
 
@@ -138,7 +213,8 @@ def perturb_to_gini(df: DataFrame, score: str, y: str, key: str, target: float,
     """
     u = lambda s: (F.pmod(F.xxhash64(F.lit(s), F.col(key)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     z = F.sqrt(-2 * F.log(u(seed))) * F.cos(2 * F.pi() * u(seed + 1))
-    base = df.withColumn("__z", z).withColumn("__l", logit(F.col(score))).persist()
+    base = df.withColumn("__z", z).withColumn("__l", logit(F.col(score)))
+    base = durable(base)  # read by every step of the search
     low, high = 0.0, 8.0
     for _ in range(steps):
         mid = (low + high) / 2

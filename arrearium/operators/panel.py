@@ -8,9 +8,11 @@ from pyspark.sql.window import Window as W
 
 from arrearium.functions.scalars import ACTIVE, BAD, CLOSED, age_at, safe_div
 
+from .features import distinct_ranks
+
 LENGTHS = (3, 6, 9, 12)
 VARIABLES = ("Due", "Days", "CMax_Days", "CMax_Due")
-STATISTICS = {"Mean": F.avg, "Max": F.max, "Min": F.min}
+STATISTICS = ("Mean", "Max", "Min")
 
 
 def production(accounts: DataFrame, clients: DataFrame) -> DataFrame:
@@ -92,31 +94,67 @@ def customer_account_months(df: DataFrame) -> DataFrame:
 
 
 def customer_max(df: DataFrame) -> DataFrame:
-    """Due and Days of the account, and their maxima over the customer's accounts of the month."""
+    """Due and Days of the account, and their maxima over the customer's accounts of the month.
+
+    Rows are dealt by customer, which also serves windows over (cid, aid) that follow.
+    """
     w = W.partitionBy("cid", "period")
-    out = df.withColumn("Due", F.col("due_installments")).withColumn("Days", F.col("pay_days") + 15)
+    out = df.repartition("cid").withColumn("Due", F.col("due_installments")).withColumn("Days", F.col("pay_days") + 15)
     return out.withColumn("CMax_Days", F.max("Days").over(w)).withColumn("CMax_Due", F.max("Due").over(w))
 
 
-def trailing(df: DataFrame, lengths: tuple[int, ...] = LENGTHS, variables: tuple[str, ...] = VARIABLES) -> DataFrame:
+def _lagged(df: DataFrame, columns: tuple[str, ...], months: int, key: tuple[str, ...]) -> DataFrame:
+    """`df` with __l1 .. __l<months - 1>: the rows before, as structs of `columns` and month_no, on one sort."""
+    w = W.partitionBy(*key).orderBy("month_no")
+    row = F.struct("month_no", *columns)
+    return df.withColumns({f"__l{j}": F.lag(row, j).over(w) for j in range(1, months)})
+
+
+def trailing(df: DataFrame, lengths: tuple[int, ...] = LENGTHS, variables: tuple[str, ...] = VARIABLES, key: tuple[str, ...] = ("aid",)) -> DataFrame:
     """agr and ags statistics of the last L months for every account-month, on one sort.
 
-    agr uses the months that are there; ags is null unless all L are.
+    agr uses the months that are there; ags is null unless all L are. `key` names the account, whose months are
+    distinct; a customer column before aid saves a shuffle where rows are dealt by customer already.
+
+    An account's month reaches back at most max(lengths) - 1 rows, so these come as lags; each length continues the sums
+    and extremes of the one before with the rows that only it covers. Sliding frames would fold each of them anew.
     """
-    new: dict[str, Column] = {}
+    lengths = tuple(sorted(lengths))
+    out = _lagged(df, variables, lengths[-1], key)
+    before: dict[str, dict[str, Column]] = {}
+    least = 0
+    for n in lengths:
+        # Rows whose distance in months is from `least` to n - 1; the row itself belongs to the first length.
+        reach = {j: (F.col("month_no") - F.col(f"__l{j}.month_no")).between(least, n - 1) for j in range(1, n)}
+        held: dict[str, Column] = {f"__in{n}_{j}": c for j, c in reach.items()}
+        out = out.withColumns(held)
+        new: dict[str, Column] = {}
+        for v in variables:
+            xs = [F.when(F.col(f"__in{n}_{j}"), F.col(f"__l{j}.{v}")) for j in range(1, n)]
+            xs = [F.col(v), *xs] if not before.get(v) else xs
+            total, count = F.lit(0), F.lit(0)
+            for x in xs:
+                total, count = total + F.coalesce(x, F.lit(0)), count + F.when(x.isNotNull(), 1).otherwise(0)
+            old = before.get(v, {})
+            extreme = lambda f, k: f(*[*([old[k]] if old else []), *xs]) if len(xs) + bool(old) > 1 else xs[0]  # noqa: B023, E731
+            new[f"__t{n}_{v}"] = total + old["t"] if old else total
+            new[f"__c{n}_{v}"] = count + old["c"] if old else count
+            new[f"__x{n}_{v}"], new[f"__y{n}_{v}"] = extreme(F.greatest, "x"), extreme(F.least, "y")
+            before[v] = {k: F.col(f"__{k}{n}_{v}") for k in "tcxy"}
+        out = out.withColumns(new).drop(*held)
+        least = n
+    made: dict[str, Column] = {}
     for n in lengths:
-        w = W.partitionBy("aid").orderBy("month_no").rangeBetween(-(n - 1), 0)
         for v in variables:
-            full = F.count(v).over(w) >= n
-            for s, f in STATISTICS.items():
-                x = f(F.col(v)).over(w)
-                new[f"agr{n}_{s}_{v}"], new[f"ags{n}_{s}_{v}"] = x, F.when(full, x)
-    return df.withColumns(new)
+            t, c = F.col(f"__t{n}_{v}"), F.col(f"__c{n}_{v}")
+            for s, x in {"Mean": safe_div(t, c), "Max": F.col(f"__x{n}_{v}"), "Min": F.col(f"__y{n}_{v}")}.items():
+                made[f"agr{n}_{s}_{v}"], made[f"ags{n}_{s}_{v}"] = x, F.when(c >= n, x)
+    return out.select(*df.columns, *[x.alias(k) for k, x in made.items()])
 
 
-def arrears_counters(df: DataFrame, months: int = 12) -> DataFrame:
+def arrears_counters(df: DataFrame, months: int = 12, key: tuple[str, ...] = ("aid",)) -> DataFrame:
     """Months in arrears, late, slightly late and with a customer in arrears among the last `months`."""
-    w = W.partitionBy("aid").orderBy("month_no").rangeBetween(-(months - 1), 0)
+    w = W.partitionBy(*key).orderBy("month_no").rangeBetween(-(months - 1), 0)
     tests = {"n_arrears": F.col("Due") >= 1, "n_arrears_days": F.col("Days") > 15, "n_good_days": (F.col("Days") > 0) & (F.col("Days") < 15), "n_cus_arrears": F.col("CMax_Due") >= 1}
     return df.withColumns({f"act{months}_{k}": F.sum(t.cast("int")).over(w) for k, t in tests.items()})
 
@@ -167,10 +205,17 @@ def previous(panel: DataFrame, column: str, out: str, default: int | None = 0) -
 
 
 def half_rank(df: DataFrame, groups: list[str], column: str, out: str) -> DataFrame:
-    """0 for the lower and 1 for the upper half of average ranks within a group; nulls stay null."""
-    w = W.partitionBy(*groups)
-    rank = F.rank().over(w.orderBy(F.col(column).asc_nulls_last())) + (F.count(column).over(W.partitionBy(*groups, column)) - 1) / 2
-    return df.withColumn(out, F.when(F.col(column).isNotNull(), F.floor(rank * 2 / (F.count(column).over(w) + 1)).cast("int")))
+    """0 for the lower and 1 for the upper half of average ranks within a group; nulls stay null.
+
+    Ranks come from counts of distinct values, ranged over tasks, so a group of a third of all rows isn't one task.
+    """
+    ranks = distinct_ranks(df, column, groups)
+    rank = F.col("before_n") + (F.col("n") + 1) / 2
+    half = ranks.select(*[F.col(g).alias(f"__{g}") for g in groups], F.col("value").alias("__value"), F.floor(rank * 2 / (F.col("total_n") + 1)).cast("int").alias(out))
+    on = F.col(column) == F.col("__value")
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    return df.join(half, on, "left").drop("__value", *[f"__{g}" for g in groups])
 
 
 def route_populations(df: DataFrame) -> DataFrame:

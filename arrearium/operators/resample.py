@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from arrearium.functions.scalars import safe_div
 
+from .features import cumulative
+
 
 def _uniform(seed: int, *keys: Column) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -35,9 +36,9 @@ def weights(df: DataFrame, key: str, replicates: int, seed: int = 42) -> DataFra
 def exact_sample(df: DataFrame, strata: list[str], key: str, replicates: int, seed: int = 42) -> DataFrame:
     """As many draws with replacement from every stratum as it has rows, for each replicate.
 
-    Rows are numbered within their stratum by `key`; a draw is a number, found by an equi join.
+    Rows are numbered within their stratum by `key`, in ranges of it; a draw is a number, found by an equi join.
     """
-    numbered = df.withColumn("__rn", F.row_number().over(W.partitionBy(*strata).orderBy(key)))
+    numbered = cumulative(df.withColumn("__one", F.lit(1)), key, ["__one"], strata).withColumn("__rn", (F.col("before___one") + 1).cast("int")).select(*df.columns, "__rn")
     sizes = df.groupBy(*strata).agg(F.count("*").alias("__n"))
     draws = numbered.select(*strata, "__rn").join(F.broadcast(sizes), strata).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     u = _uniform(seed, *[F.col(c) for c in strata], F.col("__rn"), F.col("replicate"))
@@ -48,8 +49,7 @@ def exact_sample(df: DataFrame, strata: list[str], key: str, replicates: int, se
 def profit_cutoff(weighted: DataFrame, by: list[str], score: str, profit: str) -> DataFrame:
     """Profit-optimal acceptance of each replicate from sums by distinct score."""
     sums = weighted.groupBy(*by, F.col(score).alias("p")).agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col(profit)).alias("profit"))
-    w = W.partitionBy(*by).orderBy("p")
-    running = sums.withColumn("k", F.sum("n").over(w)).withColumn("cum", F.sum("profit").over(w))
+    running = cumulative(sums, "p", ["n", "profit"], by).withColumn("k", F.col("before_n") + F.col("n")).withColumn("cum", F.col("before_profit") + F.col("profit"))
     best = F.max_by(F.struct("p", "k", "cum"), F.struct("cum", -F.col("k")))
     out = running.groupBy(*by).agg(F.sum("n").alias("n"), best.alias("b"))
     ok = F.col("b.cum") > 0
@@ -64,6 +64,15 @@ def ci_summary(replicates: DataFrame, by: list[str], metrics: list[str]) -> Data
     return out.withColumn("width", F.col("ci_hi_97_5") - F.col("ci_lo_2_5"))
 
 
+def sanity(replicates: DataFrame, point: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """metric, point, mean, bias_pct, inside: whether the estimate on the data lies in the interval of the replicates."""
+    summary = ci_summary(replicates, by, metrics)
+    long = point.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("point")) for m in metrics])).alias("e")).select(*by, "e.metric", "e.point")
+    out = summary.join(long, [*by, "metric"])
+    bias = 100 * safe_div(F.col("mean") - F.col("point"), F.abs("point"))
+    return out.select(*by, "metric", "point", "mean", bias.alias("bias_pct"), F.col("point").between(F.col("ci_lo_2_5"), F.col("ci_hi_97_5")).alias("inside"))
+
+
 def overlaps(summary: DataFrame, name: str) -> DataFrame:
     """Pairs of anchors whose intervals of a metric overlap."""
     rows = summary.select(F.col(name).alias("a"), "metric", F.col("ci_lo_2_5").alias("lo"), F.col("ci_hi_97_5").alias("hi"))

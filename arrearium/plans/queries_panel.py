@@ -87,7 +87,7 @@ _FRAMES = ", ".join(f"w{n} AS (PARTITION BY aid ORDER BY month_no RANGE BETWEEN
 )
 def trailing_windows(spark: SparkSession, sf: str) -> DataFrame:
     """96 statistics of trailing windows and the arrears counters of every account-month."""
-    df = panel.arrears_counters(panel.trailing(panel.customer_max(derived.panel(spark, sf))))
+    df = panel.arrears_counters(panel.trailing(panel.customer_max(derived.panel(spark, sf)), key=("cid", "aid")), key=("cid", "aid"))
     return rounded(df.select("aid", "period", *[c for c in df.columns if c.startswith(("agr", "ags", "act12_"))]))
 
 
@@ -198,7 +198,7 @@ def half_rank(spark: SparkSession, sf: str) -> DataFrame:
   q AS (SELECT *, unnest(list_filter([CASE WHEN Days = 15 AND paid_installments = 0 AND Due = 0 AND period = fin_period THEN 'app' END, CASE WHEN full3 IS NOT NULL AND Due = 0 THEN 'beh' END,
     CASE WHEN Due = 1 THEN 'col_enter' END, CASE WHEN coll_status >= 2 THEN 'col' END], lambda x: x IS NOT NULL)) AS population FROM t) SELECT population, period, count(*) AS n FROM q GROUP BY ALL""")
 def population_routing(spark: SparkSession, sf: str) -> DataFrame:
-    df = panel.trailing(panel.customer_max(derived.panel(spark, sf)), (3,), ("Due",)).withColumn("act_days", F.col("Days"))
+    df = panel.trailing(panel.customer_max(derived.panel(spark, sf)), (3,), ("Due",), ("cid", "aid")).withColumn("act_days", F.col("Days"))
     return reports.counts(panel.route_populations(df), ["population", "period"])
 
 
@@ -216,7 +216,15 @@ def last_action(spark: SparkSession, sf: str) -> DataFrame:
     return panel.last_action(derived.actions(derived.panel(spark, sf)))
 
 
-@query()
+def _next_stage_sql(due: str, stage: str) -> str:
+    steps = " ".join(f"WHEN {stage} IN ({', '.join(map(str, stages))}) AND {due} = {at} THEN {coming}" for stages, at, coming in reversed(scalars.TRANSITIONS))
+    return f"CASE WHEN {due} = 12 THEN {scalars.WRITE_OFF} {steps} WHEN {due} = 0 AND {stage} <> {scalars.GOOD} THEN {scalars.CURED} ELSE {stage} END"
+
+
+@query(
+    f"WITH RECURSIVE {PANEL_SQL}, st AS (SELECT aid, k, month_no, {_next_stage_sql('due_installments', str(scalars.GOOD))} AS stage FROM panel WHERE k = 0 "
+    f"UNION ALL SELECT p.aid, p.k, p.month_no, {_next_stage_sql('p.due_installments', 'st.stage')} FROM st JOIN panel p ON p.aid = st.aid AND p.k = st.k + 1) SELECT aid, month_no, stage FROM st"
+)
 def collection_stages(spark: SparkSession, sf: str) -> DataFrame:
     """Stage path of every account by the state machine, one row for each month."""
     p = derived.panel(spark, sf)
@@ -241,11 +249,11 @@ def action_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(a.select("aid", "period", h.alias("harshness"), cost.alias("cost"), i.alias("injustice"), scalars.reaction_probability(c("due_installments"), F.lit(0.0), h, i).alias("reaction")))
 
 
-@query(f"{WITH}, {MOVED}, l AS (SELECT *, lead(due_installments) OVER w AS nd, lead(paid_installments) OVER w AS np, lead(month_no) OVER w AS nm FROM panel WINDOW w AS (PARTITION BY aid ORDER BY month_no)) SELECT l.aid, l.period, a.action, l.due_installments AS s_due, l.paid_installments AS s_paid, nd AS next_due, np AS next_paid, round(np - l.paid_installments - 0.75, 6) AS reward0, round((np - l.paid_installments) * installment - {_COST}, 6) AS reward1 FROM l JOIN actions a ON l.aid = a.aid AND l.month_no = a.month_no WHERE l.status = 1 AND nm = l.month_no + 1")
+@query(f"{WITH}, l AS (SELECT *, lead(due_installments) OVER w AS nd, lead(paid_installments) OVER w AS np, lead(month_no) OVER w AS nm FROM panel WINDOW w AS (PARTITION BY aid ORDER BY month_no)), t AS (SELECT l.aid, l.period, a.action, l.due_installments AS s_due, l.paid_installments AS s_paid, nd AS next_due, np AS next_paid, round(np - l.paid_installments - 0.75, 6) AS reward0, (np - l.paid_installments) * installment - {_COST} AS r1 FROM l JOIN actions a ON l.aid = a.aid AND l.month_no = a.month_no WHERE l.status = 1 AND nm = l.month_no + 1) SELECT * EXCLUDE (r1), round(r1, 6) AS reward1, round((r1 - avg(r1) OVER ()) / stddev_samp(r1) OVER (), 6) AS reward2 FROM t")
 def transitions(spark: SparkSession, sf: str) -> DataFrame:
     p = derived.panel(spark, sf)
     t = trajectories.transitions(p, derived.actions(p))
-    return rounded(trajectories.rewards(t).select("aid", "period", "action", "s_due", "s_paid", "next_due", "next_paid", "reward0", "reward1"))
+    return rounded(trajectories.rewards(t).select("aid", "period", "action", "s_due", "s_paid", "next_due", "next_paid", "reward0", "reward1", "reward2"))
 
 
 @query(f"""{WITH}, m AS (SELECT *, round(coalesce(lead(paid_installments) OVER w, paid_installments) - paid_installments - 0.75, 6) AS r FROM panel WINDOW w AS (PARTITION BY aid ORDER BY month_no))

@@ -9,6 +9,7 @@ from arrearium.functions.scalars import apr_tier, one_period_profit
 from arrearium.operators import cutoffs, economics, features, metrics, models, resample, scorecard
 from arrearium.sources import derived
 from arrearium.sources.derived import PANEL_SQL
+from arrearium.sources.shared import durable
 
 from .registry import query, rounded
 
@@ -76,11 +77,11 @@ def apr_lgd_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
 _APR = "CASE WHEN {p} < 0.005 THEN 0.12 WHEN {p} < 0.01 THEN 0.18 WHEN {p} < 0.02 THEN 0.22 WHEN {p} < 0.05 THEN 0.26 ELSE 0.30 END"
 
 
-@query(f"""{WITH}, a AS (SELECT aid, loan_amount, n_installments, 0.18 AS apr FROM accounts WHERE n_installments = 12), m AS (SELECT *, unnest(range(1, n_installments + 1)) AS month, (1 + apr / 12) ** n_installments AS g FROM a)
+@query(f"""{WITH}, a AS (SELECT aid, loan_amount, n_installments, 0.18 AS apr FROM accounts), m AS (SELECT *, unnest(range(1, n_installments + 1)) AS month, (1 + apr / 12) ** n_installments AS g FROM a)
   SELECT aid, month, round(loan_amount * (g - (1 + apr / 12) ** (month - 1)) / (g - 1), 4) AS balance_begin, round(loan_amount * (apr / 12) * g / (g - 1), 4) AS payment,
     round(loan_amount * (g - (1 + apr / 12) ** (month - 1)) / (g - 1) * apr / 12, 4) AS interest FROM m""")
 def amortization(spark: SparkSession, sf: str) -> DataFrame:
-    a = derived.accounts(spark, sf).filter("n_installments = 12").withColumn("apr", F.lit(0.18))
+    a = derived.accounts(spark, sf).withColumn("apr", F.lit(0.18))
     return rounded(economics.amortization(a).select("aid", "month", "balance_begin", "payment", "interest"), 4)
 
 
@@ -145,19 +146,31 @@ def stress_grid(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*_AXES, "n", F.round("total_profit", 0).alias("total_profit"), F.round("approve_pct", 4).alias("approve_pct"), "category")
 
 
-@query()
+_CELLS = {"strategy": ["tiered", "flat12", "flat18", "flat24", "flat30"], "lgd": [0.45, 0.55, 0.65, 0.75, 0.85], "disc": [0.0, 0.05], "op": [0.0, 0.01, 0.02]}
+
+
+@query(f"""{WITH}, cells AS (SELECT strategy, lgd, disc, op FROM (SELECT unnest({_CELLS["strategy"]}) AS strategy) a, (SELECT unnest({_CELLS["lgd"]})::DOUBLE AS lgd) b, (SELECT unnest({_CELLS["disc"]})::DOUBLE AS disc) c, (SELECT unnest({_CELLS["op"]})::DOUBLE AS op) d),
+  ca AS (SELECT loan_amount AS L, n_installments AS n, 1 - (1 - least(score, 0.999)) ** (1 / 12.0) AS h, (CASE strategy WHEN 'tiered' THEN {_APR.format(p="score")} ELSE right(strategy, 2)::DOUBLE / 100 END)::DOUBLE AS apr, cells.* FROM scores, cells),
+  cb AS (SELECT *, 1 / (1 + disc / 12) AS d, (1 + apr / 12) ** n AS g FROM ca), cy AS (SELECT *, (1 - h) * d AS yy, (1 - h) * d * (1 + apr / 12) AS yr FROM cb),
+  cc AS (SELECT *, L * d * (g * {_geo("yy")} - {_geo("yr")}) / (g - 1) AS bal, L * op / 12 * d * {_geo("yy")} AS opc FROM cy), ce AS (SELECT *, h * lgd * bal AS el, apr / 12 * bal - opc AS margin FROM cc)
+  SELECT strategy, lgd, disc, op, round(avg(el), 4) AS mean_LT_EL, round(avg(margin), 4) AS mean_LT_margin, round(avg(margin - el), 4) AS mean_profit, round(avg((margin - el > 0)::INT), 4) AS share_positive FROM ce GROUP BY ALL""")
 def sensitivity_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """150 cells of rate, loss, discount and running cost: mean economics of each."""
-    axes = {"pd_mult": [1.0], "strategy": ["tiered", "tiered_cap24", "flat18", "flat24"], "cof": [0.0], "acq": [0.0], "lgd": [0.25, 0.35, 0.45, 0.6, 0.75], "disc": [0.0, 0.05], "op": [0.0, 0.01, 0.02]}
+    """150 cells of price, loss, discount and running cost: mean economics of each."""
+    axes = {"pd_mult": [1.0], "cof": [0.0], "acq": [0.0], **_CELLS}
     rows = cutoffs.scenario_rows(derived.scores(spark, sf), cutoffs.grid(spark, **axes))
-    return rounded(cutoffs.grid_means(rows, ["strategy", "lgd", "disc", "op"]))
+    return rounded(cutoffs.grid_means(rows, ["strategy", "lgd", "disc", "op"]), 4)
 
 
-@query()
+_SHARES = [50, 60, 70, 80, 90, 100]
+
+
+@query(f"""{WITH}, {_GRID}, rk AS (SELECT a.strategy, s.aid, a.profit, row_number() OVER w AS rn, count(*) OVER (PARTITION BY a.strategy) AS n FROM
+    (SELECT DISTINCT score, n, L, strategy, p, profit FROM ap WHERE pd_mult = 1 AND strategy IN ('tiered', 'flat24') AND cof = 0.03 AND acq = 50 AND lgd = 0.45) a JOIN scores s ON s.score = a.score AND s.n_installments = a.n AND s.loan_amount = a.L WINDOW w AS (PARTITION BY a.strategy ORDER BY a.p, s.aid))
+  SELECT strategy, {", ".join(f"round(sum(CASE WHEN rn <= floor(n * {p} / 100) THEN profit ELSE 0 END), 1) AS profit_{p}" for p in _SHARES)} FROM rk GROUP BY strategy""")
 def approve_percents(spark: SparkSession, sf: str) -> DataFrame:
     axes = {"pd_mult": [1.0], "strategy": ["tiered", "flat24"], "cof": [0.03], "acq": [50.0], "lgd": [0.45]}
     rows = cutoffs.scenario_rows(derived.scores(spark, sf), cutoffs.grid(spark, **axes, **_BASE))
-    return rounded(cutoffs.approve_percents(rows, ["strategy"], [50, 60, 70, 80, 90, 100]), 2)
+    return rounded(cutoffs.approve_percents(rows, ["strategy"], _SHARES), 1)
 
 
 @query()
@@ -189,7 +202,7 @@ def _model_rows(spark: SparkSession, sf: str) -> DataFrame:
     later = p.groupBy("aid").agg(F.max(((F.col("k") >= 6) & (F.col("due_installments") >= 4)).cast("int")).alias("y"))
     a = derived.accounts(spark, sf).join(derived.clients(spark, sf).select("cid", "income", "job_code"), "cid")
     rows = early.join(later, "aid").join(a, "aid").withColumn("split", F.when(F.col("fin_period") < 199600, "train").otherwise("oot"))
-    return rows.persist()  # fits read it many times
+    return durable(rows)  # fits read it many times
 
 
 _NUMERIC = ["due_mean_3", "due_max_6", "days_mean_6", "days_max_3", "loan_amount", "income"]

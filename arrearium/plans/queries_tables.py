@@ -63,10 +63,10 @@ def quantile_one_hot(spark: SparkSession, sf: str) -> DataFrame:
     return features.quantile_one_hot(df, "x", 5).drop("x")
 
 
-@query("WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice / nullif(l_quantity, 0) AS r FROM lineitem), p AS (SELECT quantile_cont(r, [0.01, 0.99]) AS p FROM r) SELECT l_orderkey, l_linenumber, round(greatest(least(r, p[2]), p[1]), 4) AS unit_price FROM r, p")
+@query("WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice / nullif(l_quantity, 0) AS r FROM lineitem), p AS (SELECT quantile_cont(r, [0.01, 0.99]) AS p FROM r) SELECT l_orderkey, l_linenumber, round(greatest(least(r, p[2]), p[1]), 8) AS unit_price FROM r, p")
 def clipped_ratios(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    return rounded(features.ratios(df, {"unit_price": ("l_extendedprice", "l_quantity")}).select("l_orderkey", "l_linenumber", "unit_price"), 4)
+    return rounded(features.ratios(df, {"unit_price": ("l_extendedprice", "l_quantity")}).select("l_orderkey", "l_linenumber", "unit_price"), 8)
 
 
 @query("WITH c AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS code, o_totalprice FROM orders) SELECT o_orderkey, code, round(code * o_totalprice, 2) AS code_x_price, round(o_totalprice * o_totalprice, 1) AS price_squared FROM c")
@@ -93,9 +93,9 @@ def correlation_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.correlation(table(spark, sf, "lineitem"), _RANGE))
 
 
-@query("WITH s AS (SELECT DISTINCT year(l_shipdate) AS r, l_suppkey % 97 AS i FROM lineitem WHERE l_quantity >= 49), n AS (SELECT r, count(*) AS n FROM s GROUP BY r) SELECT x.r AS a, y.r AS b, round(count(*) / (any_value(na.n) + any_value(nb.n) - count(*)), 6) AS jaccard FROM s x JOIN s y ON x.i = y.i AND x.r < y.r JOIN n na ON na.r = x.r JOIN n nb ON nb.r = y.r GROUP BY 1, 2")
+@query("WITH s AS (SELECT DISTINCT year(l_shipdate) AS r, l_suppkey AS i FROM lineitem), n AS (SELECT r, count(*) AS n FROM s GROUP BY r) SELECT x.r AS a, y.r AS b, round(count(*) / (any_value(na.n) + any_value(nb.n) - count(*)), 6) AS jaccard FROM s x JOIN s y ON x.i = y.i AND x.r < y.r JOIN n na ON na.r = x.r JOIN n nb ON nb.r = y.r GROUP BY 1, 2")
 def selection_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, "lineitem").filter("l_quantity >= 49").select(F.year("l_shipdate").alias("r"), (F.col("l_suppkey") % 97).alias("i"))
+    df = table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("r"), F.col("l_suppkey").alias("i"))
     return rounded(metrics.jaccard(df, "r", "i"))
 
 

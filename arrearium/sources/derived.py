@@ -30,6 +30,7 @@ def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 4).alias("number_of_children"),
         income.alias("income"),
         F.floor(income / 3).cast("bigint").alias("spendings"),
+        F.date_add(F.lit("1940-01-01").cast("date"), (k % 15000).cast("int")).alias("date_of_birth"),
     )
 
 
@@ -64,9 +65,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account-months (transactions): one row for each month of an account up to its first final state."""
     acc = accounts(spark, sf_dir)
     aid, n = F.col("aid"), F.col("n_installments")
-    months = F.sequence(F.lit(0), n + 4)
-    end = F.array_min(F.filter(months, lambda k: _status(F.least(n, k) - _due(aid, n, k), _due(aid, n, k), n) != 1))
-    rows = acc.withColumn("k", F.explode(F.sequence(F.lit(0), F.coalesce(end, n + 4))))
+    # The first final month in closed form: 12 due on a bad account, else nothing due from the last installment on.
+    paid = lambda late: F.when(late, n + 1).otherwise(n)
+    bad = F.when(13 + aid % 7 <= n, 13 + aid % 7).otherwise(n + 4)
+    end = F.when(aid % 10 == 0, bad).when((aid % 10).isin(1, 2, 3), paid((n + aid) % 4 != 0)).otherwise(paid((n + aid) % 6 == 0))
+    rows = acc.withColumn("k", F.explode(F.sequence(F.lit(0), end.cast("int"))))
     k = F.col("k")
     rows = rows.withColumn("due_installments", _due(aid, n, k))
     rows = rows.withColumn("paid_installments", F.least(n, k) - F.col("due_installments"))
@@ -99,7 +102,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 PANEL_SQL = """
 clients AS (SELECT c_custkey AS cid, c_custkey % 2 AS gender, 1 + c_custkey % 4 AS job_code, 1 + c_custkey % 3 AS marital_status, 1 + c_custkey % 5 AS city,
   1 + c_custkey % 6 % 3 AS home_status, 1 + c_custkey % 7 % 2 AS cars, c_custkey % 4 AS number_of_children,
-  (500 + floor(abs(c_acctbal)))::BIGINT AS income, ((500 + floor(abs(c_acctbal)))::BIGINT // 3) AS spendings FROM customer),
+  (500 + floor(abs(c_acctbal)))::BIGINT AS income, ((500 + floor(abs(c_acctbal)))::BIGINT // 3) AS spendings, DATE '1940-01-01' + (c_custkey % 15000)::INT AS date_of_birth FROM customer),
 accounts AS (SELECT *, ((fin_no - 1) // 12) * 100 + (fin_no - 1) % 12 + 1 AS fin_period, installment * n_installments AS loan_amount FROM (
   SELECT o_orderkey AS aid, o_custkey AS cid, year(o_orderdate) * 12 + month(o_orderdate) AS fin_no, 12 * (1 + o_orderkey % 3) AS n_installments,
   1 + floor(o_totalprice / 1000)::BIGINT AS installment, o_orderkey % 5 AS branch FROM orders)),
@@ -109,11 +112,11 @@ dues AS (SELECT *, CASE WHEN aid % 10 = 0 THEN least(12, greatest(0, least(n_ins
 paids AS (SELECT *, least(n_installments, k) - due_installments AS paid_installments FROM dues),
 stats AS (SELECT *, CASE WHEN paid_installments >= n_installments THEN 3 WHEN due_installments >= 12 THEN 2 ELSE 1 END AS status FROM paids),
 ends AS (SELECT *, min(k) FILTER (status <> 1) OVER (PARTITION BY aid) AS last_k FROM stats),
-panel AS (SELECT *, fin_no + k AS month_no, ((fin_no + k - 1) // 12) * 100 + (fin_no + k - 1) % 12 + 1 AS period,
+panel AS MATERIALIZED (SELECT *, fin_no + k AS month_no, ((fin_no + k - 1) // 12) * 100 + (fin_no + k - 1) % 12 + 1 AS period,
   CASE WHEN due_installments >= 12 THEN 8 WHEN due_installments >= 10 THEN 6 WHEN due_installments >= 7 THEN 5 WHEN due_installments >= 5 THEN 4
        WHEN due_installments >= 4 THEN 3 WHEN due_installments >= 1 THEN 2 ELSE 1 END AS coll_status,
   30 * due_installments + (aid + k) % 10 - 15 AS pay_days FROM ends WHERE k <= coalesce(last_k, k)),
-actions AS (SELECT period, month_no, aid, cid, coll_status, CASE WHEN due_installments >= 3 THEN ((aid + k) % 3 + 1)::VARCHAR || ((aid + k) % 2 + 1)::VARCHAR ELSE ((aid + k) % 3 + 1)::VARCHAR END AS action
+actions AS MATERIALIZED (SELECT period, month_no, aid, cid, coll_status, CASE WHEN due_installments >= 3 THEN ((aid + k) % 3 + 1)::VARCHAR || ((aid + k) % 2 + 1)::VARCHAR ELSE ((aid + k) % 3 + 1)::VARCHAR END AS action
   FROM panel WHERE due_installments >= 1),
 scores AS (SELECT aid, max((due_installments >= 4)::INT) AS y, any_value(loan_amount) AS loan_amount, any_value(n_installments) AS n_installments, any_value(fin_period) AS fin_period,
   ((aid * 7919) % 1000 + 1) / 1002.0 AS score FROM panel GROUP BY aid)
