@@ -55,6 +55,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """`df`, written durably, in as many partitions as its rows call for: what a shuffle left in many nearly empty
+    partitions would otherwise make each later shuffle write as many files again."""
+    df = durable(df)
+    return df.coalesce(df.count() // rows + 1)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
     """Session settings for Python workers: Arrow batches of at most so many rows and bytes, whatever the texts' length."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, sized
 
 
 def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -15,17 +15,18 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
     its smaller ones. Each step is one aggregate and one join on the node; a hot node is a key whose one-row side
     is the aggregate, so the adaptive join can split its rows. Every round is checkpointed.
     """
-    star = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    star = sized(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    parts = star.rdd.getNumPartitions()  # edges never become more
     before = None
     for _ in range(limit):
         both = star.union(star.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
-        large = both.join(least, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").coalesce(parts).distinct()
         # u > v now on every row
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k"))
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        star = durable(small.distinct())
+        star = durable(small.coalesce(parts).distinct().coalesce(parts))
         state = star.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first()
         if state == before:
             break

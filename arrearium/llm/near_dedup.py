@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, sized
 from .components import connected_components
 
 SHINGLE = 5
@@ -44,6 +44,7 @@ SHINGLE_SALT = 500  # nodes that share a shingle, in one task
 BROADCAST_ROWS = 500_000
 BITMAP = 8  # 64-bit words of the parity bitmap of a set
 WORDS = 100_000  # word hashes kept by a task
+SETS = 20_000  # sets of a partition
 SLICE = 512  # rows of an Arrow batch worked on at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -141,7 +142,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str, tex
     """(node, n, members, bitmap): full sets as sorted binary, of the given nodes only."""
     import pyarrow as pa
 
-    ids = durable(ids)
+    ids = sized(ids)
     here = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("node"), F.col(f"`{text}`").alias("text")).join(_small(ids, ids.count()), "node", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str, tex
             made = [pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("node"), *made], names=["node", "n", "members", "bitmap"])
 
-    return durable(here.mapInArrow(run, "node bigint, n int, members binary, bitmap array<bigint>"))
+    return sized(here.mapInArrow(run, "node bigint, n int, members binary, bitmap array<bigint>"), SETS)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -162,7 +163,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     import pyarrow as pa
 
     counts = pairs.groupBy("a").agg(F.count("*").alias("c")).select("a", (F.floor(F.col("c") / PIVOT_SALT) + 1).cast("int").alias("salts"))
-    counts = durable(counts)
+    counts = sized(counts)
     left = sets.select(F.col("node").alias("a"), F.col("members").alias("set_a")).join(counts, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     right = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts").cast("bigint")).cast("int")).drop("salts")
     right = right.join(sets.select(F.col("node").alias("b"), F.col("members").alias("set_b")), "b")
@@ -181,14 +182,14 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return durable(joined.mapInArrow(run, "a bigint, b bigint").distinct())
+    return sized(joined.mapInArrow(run, "a bigint, b bigint").distinct())
 
 
 def prefix_pairs(sets: DataFrame, components: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of different components that can reach the similarity, by prefix and positional bounds."""
     t = percent / 100
     shingles = sets.join(components, "node").select("node", "component", "n", F.explode(_unpack(F.col("members"))).alias("s"))
-    df = durable(shingles.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"))
+    df = sized(shingles.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"))
     # What stands on one node only, orders first and can't match; it just shifts the others.
     ordered = shingles.join(df, "s", "left").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s"))).alias("o"))
     prefix = (
@@ -197,13 +198,13 @@ def prefix_pairs(sets: DataFrame, components: DataFrame, percent: int) -> DataFr
         .filter("x.df > 1")
         .select("node", "component", "n", "pos", F.col("x.s").alias("s"))
     )
-    prefix = durable(prefix)
+    prefix = sized(prefix)
     # The largest component of each shingle that several share.
     sizes = prefix.groupBy("s", "component").agg(F.count("*").alias("c"))
     top = sizes.groupBy("s").agg(F.max_by("component", F.struct("c", "component")).alias("top"), F.sum("c").alias("total"), F.count("*").alias("parts")).filter("parts > 1")
-    top = durable(top.select("s", "top", (F.floor(F.col("total") / SHINGLE_SALT) + 1).cast("int").alias("salts")))
+    top = sized(top.select("s", "top", (F.floor(F.col("total") / SHINGLE_SALT) + 1).cast("int").alias("salts")))
     bits = [f"b{i}" for i in range(BITMAP)]
-    rows = durable(prefix.join(top, "s").join(sets.select("node", *[F.col("bitmap")[i].alias(b) for i, b in enumerate(bits)]), "node"))
+    rows = sized(prefix.join(top, "s").join(sets.select("node", *[F.col("bitmap")[i].alias(b) for i, b in enumerate(bits)]), "node"))
     x = rows.filter("component <> top").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*[F.col(c).alias(f"x_{c}") for c in ("s", "salt", "node", "component", "n", "pos", "top", *bits)])
     y = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts").cast("bigint")).cast("int")).select("s", "salt", "node", "component", "n", "pos", *bits)
     n, m = F.col("x_n"), F.col("n")
@@ -231,7 +232,7 @@ def central_pairs(members: DataFrame, components: DataFrame, only_first: bool) -
     labelled = members.join(components, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("component"))
     head = F.max_by(F.struct("node", "component"), F.struct("weight", -F.col("node")))
     heads = labelled.groupBy("bucket").agg(head.alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    heads = durable(heads.select("bucket", F.col("h.node").alias("a"), F.col("h.component").alias("of_a")))
+    heads = sized(heads.select("bucket", F.col("h.node").alias("a"), F.col("h.component").alias("of_a")))
     votes = labelled.join(heads, "bucket").filter("component <> of_a").groupBy("node", "a").agg(F.count("*").alias("c"))
     if not only_first:
         return votes.select("a", F.col("node").alias("b"))
@@ -254,34 +255,34 @@ def near_dedup(
     nodes = durable(nodes)
     banded = nodes.filter("node is not null").select("node", F.col("n").cast("int").alias("n"), F.explode("bands").alias("bucket"))
     # Written before it is joined, so that the join's rows of a hot bucket can be split.
-    shared = durable(banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
-    members = durable(banded.join(shared, "bucket"))
+    shared = sized(banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
+    members = sized(banded.join(shared, "bucket"))
     central = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = durable(members.join(central, "node"))
+    members = sized(members.join(central, "node"))
 
     sets_of = lambda pairs: shingle_sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), shingle, id_col, text)
     none = members.select("node", F.col("node").alias("component")).limit(0)
-    first = durable(central_pairs(members, none, only_first=True))
+    first = sized(central_pairs(members, none, only_first=True))
     links = confirm(first, sets_of(first), percent)
-    components = durable(connected_components(links))
-    second = durable(_without(central_pairs(members, components, only_first=False), first))
-    links = durable(links.union(confirm(second, sets_of(second), percent)))
-    components = durable(connected_components(links))
+    components = sized(connected_components(links))
+    second = sized(_without(central_pairs(members, components, only_first=False), first))
+    links = sized(links.union(confirm(second, sets_of(second), percent)))
+    components = sized(connected_components(links))
     tried = first.union(second)
 
     # What these links leave open.
     labelled = members.join(components, "node", "left").select("bucket", "size", "node", "n", F.coalesce("component", "node").alias("component"))
-    labelled = durable(labelled)
-    open_ = durable(labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket"))
-    labelled = durable(labelled.join(open_, "bucket", "left_semi"))
+    labelled = sized(labelled)
+    open_ = sized(labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket"))
+    labelled = sized(labelled.join(open_, "bucket", "left_semi"))
     small = labelled.filter(F.col("size") <= SMALL_BUCKET)
     x, y = small.alias("x"), small.alias("y")
     ratio = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     crossing = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & ratio)
     pairs = crossing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    large = durable(labelled.filter(F.col("size") > SMALL_BUCKET).select("node", "component").distinct())
+    large = sized(labelled.filter(F.col("size") > SMALL_BUCKET).select("node", "component").distinct())
     large_sets = shingle_sets(docs, large.select("node"), shingle, id_col, text)
-    pairs = durable(_without(pairs.union(prefix_pairs(large_sets, large, percent)).distinct(), tried))
+    pairs = sized(_without(pairs.union(prefix_pairs(large_sets, large, percent)).distinct(), tried))
     more = confirm(pairs, sets_of(pairs), percent)
     components = connected_components(links.union(more))
 
@@ -312,15 +313,15 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     found = durable(near_dedup(keyed.select("__key", F.col(f"`{text}`").alias("__text")), shingle, similarity, id_col="__key", text="__text").filter("n_shingles > 0"))
     copies = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"), "component_id")
     # Groups of two or more: the copies, and the node that names their component.
-    linked = durable(copies.union(copies.select("component_id", "component_id")).distinct())
+    linked = sized(copies.union(copies.select("component_id", "component_id")).distinct())
     page = F.col(f"`{id_col}`")
     ids = keyed.select("__key", page.isNull().alias("__no_id"), page.alias("__id")).join(_small(linked, linked.count()), F.col("__key") == F.col("__gone"))
     stays = ids.groupBy("component_id").agg(F.min(F.struct("__no_id", "__id", "__key")).alias("s")).select(F.col("s.__key").alias("__gone"))
     gone = linked.select("__gone").join(stays, "__gone", "left_anti")
     repeated = found.groupBy(F.col("doc_id").alias("__gone")).count().filter("count > 1").select("__gone")
-    repeated = durable(repeated.join(gone, "__gone", "left_anti"))
+    repeated = sized(repeated.join(gone, "__gone", "left_anti"))
     n = repeated.count()
-    out = durable(gone.union(repeated))
+    out = sized(gone.union(repeated))
     kept = keyed.join(_small(out, out.count()), F.col("__key") == F.col("__gone"), "left_anti")
     if n:
         again = keyed.join(_small(repeated, n), F.col("__key") == F.col("__gone"), "left_semi")
