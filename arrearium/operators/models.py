@@ -97,12 +97,17 @@ def fit_with_p_values(df: DataFrame, numeric: list[str], y: str, most: float = 0
 
 
 def vif(df: DataFrame, numeric: list[str]) -> list[tuple[str, float]]:
-    """Variance inflation: diagonal of the inverse correlation matrix, features x features."""
+    """Variance inflation 1 / (1 - R2) of each feature on the others, from the correlation matrix; infinite for exact copies."""
     import numpy as np
 
     data = VectorAssembler(inputCols=numeric, outputCol="v", handleInvalid="skip").transform(df)
     m = Correlation.corr(data, "v").first()[0].toArray()
-    return list(zip(numeric, map(float, np.diag(np.linalg.pinv(m)))))
+    out = []
+    for j, c in enumerate(numeric):
+        rest = [i for i in range(len(numeric)) if i != j]
+        left = 1 - float(m[rest, j] @ np.linalg.pinv(m[np.ix_(rest, rest)]) @ m[rest, j])
+        out.append((c, 1 / left if left > 1e-15 else float("inf")))
+    return out
 
 
 def greedy_decorrelate(pairs: list[tuple[str, str, float]], order: list[str], most: float = 0.99) -> list[str]:

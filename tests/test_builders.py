@@ -80,7 +80,7 @@ def _data(spark, n=3000):
     for i in range(n):
         a, b = rnd.gauss(0, 1), rnd.gauss(0, 1)
         p = 1 / (1 + np.exp(-(1.6 * a - 1.0)))
-        out.append((i, a, a * 2 + 1e-6 * b, b, 1.0, None if i % 5 else b, 12 * (1 + i % 3), int(rnd.random() < p)))
+        out.append((i, a, a * 2 + 0.01 * rnd.gauss(0, 1), b, 1.0, None if i % 5 else b, 12 * (1 + i % 3), int(rnd.random() < p)))
     return spark.createDataFrame(out, "aid int, a double, twin double, noise double, same double, sparse double, tenor int, y int")
 
 
