@@ -66,6 +66,7 @@ def _declare() -> None:
     MAPPINGS.update(
         {
             "turn_rows": (("conv_id", "turn", "role", "text"), None),
+            "turn_list": (("turns[].role", "turns[].text"), lambda field: F.transform(field("turns"), lambda m: _turn(m["role"], m["text"]))),
             "messages": (("messages[].role", "messages[].content"), _messages("messages", "role", "content")),
             "from_value": (("conversations[].from", "conversations[].value"), _messages("conversations", "from", "value")),
             "instruction": (("instruction", "input", "output"), _instruction),
