@@ -121,42 +121,49 @@ def trailing(df: DataFrame, lengths: tuple[int, ...] = LENGTHS, variables: tuple
     """
     lengths = tuple(sorted(lengths))
     out = _lagged(df, variables, lengths[-1], key)
-    before: dict[str, dict[str, Column]] = {}
+    # Written as SQL text: hundreds of terms are parsed at once instead of being built call by call.
+    before: dict[str, dict[str, str]] = {}
     least = 0
     for n in lengths:
         # Rows whose distance in months is from `least` to n - 1; the row itself belongs to the first length.
-        reach = {j: (F.col("month_no") - F.col(f"__l{j}.month_no")).between(least, n - 1) for j in range(1, n)}
-        held: dict[str, Column] = {f"__in{n}_{j}": c for j, c in reach.items()}
+        held = {f"__in{n}_{j}": F.expr(f"month_no - __l{j}.month_no BETWEEN {least} AND {n - 1}") for j in range(1, n)}
         out = out.withColumns(held)
         new: dict[str, Column] = {}
         for v in variables:
-            xs = [F.when(F.col(f"__in{n}_{j}"), F.col(f"__l{j}.{v}")) for j in range(1, n)]
-            xs = [F.col(v), *xs] if not before.get(v) else xs
-            total, count = F.lit(0), F.lit(0)
-            for x in xs:
-                total, count = total + F.coalesce(x, F.lit(0)), count + F.when(x.isNotNull(), 1).otherwise(0)
-            old = before.get(v, {})
-            extreme = lambda f, k: f(*[*([old[k]] if old else []), *xs]) if len(xs) + bool(old) > 1 else xs[0]  # noqa: B023, E731
-            new[f"__t{n}_{v}"] = total + old["t"] if old else total
-            new[f"__c{n}_{v}"] = count + old["c"] if old else count
-            new[f"__x{n}_{v}"], new[f"__y{n}_{v}"] = extreme(F.greatest, "x"), extreme(F.least, "y")
-            before[v] = {k: F.col(f"__{k}{n}_{v}") for k in "tcxy"}
+            old = before.get(v)
+            xs = [f"CASE WHEN __in{n}_{j} THEN __l{j}.`{v}` END" for j in range(1, n)]
+            xs = xs if old else [f"`{v}`", *xs]
+            parts = {"t": [f"coalesce({x}, 0)" for x in xs], "c": [f"CASE WHEN {x} IS NOT NULL THEN 1 ELSE 0 END" for x in xs], "x": xs, "y": xs}
+            for k, terms in parts.items():
+                terms = [*([old[k]] if old else []), *terms]
+                text = " + ".join(terms) if k in "tc" else f"{'greatest' if k == 'x' else 'least'}({', '.join(terms)})" if len(terms) > 1 else terms[0]
+                new[f"__{k}{n}_{v}"] = F.expr(text)
+            before[v] = {k: f"`__{k}{n}_{v}`" for k in "tcxy"}
         out = out.withColumns(new).drop(*held)
         least = n
-    made: dict[str, Column] = {}
+    made: list[str] = []
     for n in lengths:
         for v in variables:
-            t, c = F.col(f"__t{n}_{v}"), F.col(f"__c{n}_{v}")
-            for s, x in {"Mean": safe_div(t, c), "Max": F.col(f"__x{n}_{v}"), "Min": F.col(f"__y{n}_{v}")}.items():
-                made[f"agr{n}_{s}_{v}"], made[f"ags{n}_{s}_{v}"] = x, F.when(c >= n, x)
-    return out.select(*df.columns, *[x.alias(k) for k, x in made.items()])
+            t, c, x, y = (f"`__{k}{n}_{v}`" for k in "tcxy")
+            for s, value in {"Mean": f"try_divide(CAST({t} AS DOUBLE), CAST({c} AS DOUBLE))", "Max": x, "Min": y}.items():
+                made += [f"{value} AS `agr{n}_{s}_{v}`", f"CASE WHEN {c} >= {n} THEN {value} END AS `ags{n}_{s}_{v}`"]
+    return out.selectExpr(*[f"`{c}`" for c in df.columns], *made)
 
 
 def arrears_counters(df: DataFrame, months: int = 12, key: tuple[str, ...] = ("aid",)) -> DataFrame:
     """Months in arrears, late, slightly late and with a customer in arrears among the last `months`."""
-    w = W.partitionBy(*key).orderBy("month_no").rangeBetween(-(months - 1), 0)
     tests = {"n_arrears": F.col("Due") >= 1, "n_arrears_days": F.col("Days") > 15, "n_good_days": (F.col("Days") > 0) & (F.col("Days") < 15), "n_cus_arrears": F.col("CMax_Due") >= 1}
-    return df.withColumns({f"act{months}_{k}": F.sum(t.cast("int")).over(w) for k, t in tests.items()})
+    marks = {f"__{k}": F.coalesce(t.cast("int"), F.lit(0)) for k, t in tests.items()}
+    rows = _lagged(df.withColumns(marks), tuple(marks), months, key)
+    near = {j: F.col("month_no") - F.col(f"__l{j}.month_no") < months for j in range(1, months)}
+
+    def count(mark: str) -> Column:
+        total = F.col(mark)
+        for j, ok in near.items():
+            total = total + F.when(ok, F.col(f"__l{j}.{mark}")).otherwise(0)
+        return total.cast("bigint")
+
+    return rows.select(*df.columns, *[count(f"__{k}").alias(f"act{months}_{k}") for k in tests])
 
 
 def default_flags(transactions: DataFrame, horizons: tuple[int, ...] = LENGTHS) -> DataFrame:
