@@ -15,6 +15,7 @@ from . import line_dedup as op7
 from . import near_dedup as op8
 from . import quality_classifier as op10
 from . import quality_rules as op5
+from . import spelling_variants as op12
 from . import suffix_dedup as op1
 from . import url_filter as op9
 from .common import once, small_batches, table
@@ -214,6 +215,33 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def variants_sql() -> str:
+    """DuckDB SQL of the spelling variants: checksums byte by byte, near words by equal deletions."""
+    lap = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END"
+    table = "list_transform(range(0, 256), lambda b: list_reduce(range(0, 8), lambda c, i: " + lap + ", b::BIGINT))"
+    return f"""
+    WITH RECURSIVE
+    crcs AS MATERIALIZED (SELECT {table} AS t),
+    runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+    r AS MATERIALIZED (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS x FROM runs WHERE length(run) >= {op12.MIN_LENGTH} GROUP BY ALL),
+    h AS (SELECT run, n, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM r, crcs),
+    c AS (SELECT CASE WHEN h % {op12.PERIOD} = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+    w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM c WHERE length(word) >= {op12.MIN_LENGTH} GROUP BY word HAVING sum(n) >= {op12.MIN_COUNT}),
+    v AS MATERIALIZED (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word)))::INT AS i FROM w)),
+    near AS (SELECT a.word, b.word AS other, b.n FROM v a JOIN v b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+             UNION SELECT a.word, b.word, b.n FROM v a JOIN w b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM v a JOIN w b ON a.rest = b.word),
+    best AS (SELECT word, count(*) AS n_near, min(struct_pack(less := -n, other := other)) AS b FROM near GROUP BY word),
+    f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= {op12.RATIO} * w.n THEN b.other END AS form, CASE WHEN -b.less >= {op12.RATIO} * w.n THEN -b.less END AS form_n FROM w LEFT JOIN best USING (word)),
+    walk AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL),
+    ends AS (SELECT walk.word, walk.at AS root FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NULL)
+    SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN ends USING (word)
+    """
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
@@ -225,5 +253,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_spelling_variants": op12_spelling_variants,
 }
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": license_sql(), "op5_quality_rules": quality_sql(), "op6_chat_format": chat_sql(), "op7_line_dedup": line_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": license_sql(), "op5_quality_rules": quality_sql(), "op6_chat_format": chat_sql(), "op7_line_dedup": line_sql(), "op12_spelling_variants": variants_sql()}
