@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ann as op11
 from . import bpe as op4
 from . import chat_format as op6
+from . import conversation_repair as op13
 from . import decontaminate as op2
 from . import license_scan as op3
 from . import line_dedup as op7
@@ -215,6 +217,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return op11.nearest(vectors, F.pmod("vec_id", F.lit(20)) == 0)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -242,6 +249,10 @@ def variants_sql() -> str:
     """
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.repair(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontamination": op2_decontamination,
@@ -253,6 +264,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {"op3_license_scan": license_sql(), "op5_quality_rules": quality_sql(), "op6_chat_format": chat_sql(), "op7_line_dedup": line_sql(), "op12_spelling_variants": variants_sql()}
