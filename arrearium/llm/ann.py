@@ -3,8 +3,9 @@
 Every vector x is written as centre + norm * o, o of length one. A random rotation into CODE_BITS dimensions or more
 turns o into a code of one sign bit a dimension. With the code's own inner product <code, o> kept as a correction
 scalar, <code, q> / <code, o> estimates <o, q> without bias, and its error is below ERROR * |q| * sqrt(1 / <code, o>^2
-- 1) / sqrt(bits - 1) but with a small probability. Of the rows that share a task, those whose upper bound reaches the
-k-th largest lower bound are ranked again by exact inner products in double precision; nothing else is dropped.
+- 1) / sqrt(bits - 1) but with a small probability. Of the rows that share a task, the 2 k with the best estimates give
+an exact k-th best product, and all whose upper bound reaches it are ranked again by exact inner products in double
+precision; nothing else is dropped.
 
 Centres come from k-means on a sample of about FIT_ROWS rows, one for LIST_ROWS rows and MAX_LISTS at most; every row
 is indexed, in the list of its nearest centre. A query looks into the lists with the largest inner products; how many
@@ -105,7 +106,7 @@ def padded(vectors: pd.Series, size: int) -> np.ndarray:
 
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Row by row inner products in double precision; equal rows give equal results wherever they stand."""
-    return (x * q).sum(axis=1)
+    return (x * q).sum(axis=-1)
 
 
 def valid_rows(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str) -> DataFrame:
@@ -186,29 +187,36 @@ def rank_block(near: pd.DataFrame, asked: pd.DataFrame, codes: Codes, k: int, er
     near = near.sort_values(["vec", "vec_id", "rid"]).groupby("vec", sort=False).head(k + 1)
     size, (_, bits) = codes.size, codes.rotation.shape
     x, rid, vec_id = matrix(near["vec"], size), near["rid"].to_numpy(), near["vec_id"].to_numpy()
-    norm, dot = near["norm"].to_numpy()[None, :], near["dot"].to_numpy()[None, :]
-    signs = (np.unpackbits(np.frombuffer(b"".join(near["code"]), np.uint8).reshape(len(near), -1), axis=1).astype(np.float32) * 2 - 1).T / math.sqrt(bits)
-    bound = norm * (np.sqrt(np.maximum(1 - dot * dot, 0)) / dot * error / math.sqrt(bits - 1) + 1e-5)
+    norm, dot = near["norm"].to_numpy(), near["dot"].to_numpy()
+    signs = (np.unpackbits(np.frombuffer(b"".join(near["code"]), np.uint8).reshape(len(near), -1), axis=1).astype(np.float32) * 2 - 1).T
+    signs *= (norm / dot / math.sqrt(bits)).astype(np.float32)
+    bound = (norm * (np.sqrt(np.maximum(1 - dot * dot, 0)) / dot * error / math.sqrt(bits - 1) + 1e-5)).astype(np.float32)
     centre = codes.centres[int(near["list"].iloc[0])]
+    first = min(2 * k, len(near))
     out = []
     for at in range(0, len(asked), CHUNK):
         part = asked.iloc[at : at + CHUNK]
         q, qid = matrix(part["qvec"], size), part["qid"].to_numpy()
-        unit = q / np.sqrt((q * q).sum(1))[:, None]
-        guess = (unit @ centre)[:, None] + norm * ((unit @ codes.rotation).astype(np.float32) @ signs) / dot
-        own = rid[None, :] == qid[:, None]
-        low = np.where(own, -np.inf, guess - bound)
-        if low.shape[1] > k:
-            least = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-            keep = ~own & (guess + bound >= least[:, None])
-        else:
-            keep = ~own
+        length = np.sqrt((q * q).sum(1))
+        unit = q / length[:, None]
+        guess = (unit @ codes.rotation).astype(np.float32) @ signs
+        guess += (unit @ centre).astype(np.float32)[:, None]
+        guess[rid[None, :] == qid[:, None]] = -np.inf
+        keep, least = guess > -np.inf, np.full(len(part), -np.inf)
+        if len(near) > first:
+            # The k-th best exact product of those that look best is reached by k rows, so what can't reach it is out.
+            best = np.argpartition(guess, len(near) - first, axis=1)[:, len(near) - first :]
+            score = exact(x[best], q[:, None, :])
+            score[~np.isfinite(np.take_along_axis(guess, best, axis=1))] = -np.inf
+            least = np.partition(score, first - k, axis=1)[:, first - k]
+            keep &= guess + bound >= ((least - 1e-6 * np.abs(least)) / length).astype(np.float32)[:, None]
         i, j = np.nonzero(keep)
-        score = np.concatenate([exact(x[b], q[a]) for a, b in zip(np.array_split(i, len(i) // 65536 + 1), np.array_split(j, len(j) // 65536 + 1), strict=True)])
+        score = np.concatenate([exact(x[j[a : a + 4096]], q[i[a : a + 4096]]) for a in range(0, len(i), 4096)] or [np.zeros(0)])
+        reach = score >= least[i]
+        i, j, score = i[reach], j[reach], score[reach]
         order = np.lexsort((rid[j], vec_id[j], -score, i))
         i, j, score = i[order], j[order], score[order]
-        first = np.searchsorted(i, i)  # where each query's rows begin
-        top = np.arange(len(i)) - first < k
+        top = np.arange(len(i)) - np.searchsorted(i, i) < k  # counted from where each query's rows begin
         i, j = i[top], j[top]
         out.append(pd.DataFrame({"qid": qid[i], "query_id": part["query_id"].to_numpy()[i], "rid": rid[j], "vec_id": vec_id[j], "score": score[top]}))
     return pd.concat(out)
