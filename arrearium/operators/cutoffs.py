@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from arrearium.functions.scalars import apr_tier, safe_div
 
-from .economics import with_lifetime
+from .economics import exposure, with_lifetime
 from .features import cumulative, quantiles
+from .prefix import best_prefixes
 
 
 def grid(spark: SparkSession, **axes: list) -> DataFrame:
@@ -51,6 +54,66 @@ def optimal_cutoffs(rows: DataFrame, by: list[str], pd_: str = "pd_stressed", pr
     return out.select(*by, "n", "total_profit", F.when(ok, F.col("b.p")).otherwise(0.0).alias("cutoff_pd"), pct.alias("approve_pct"), F.when(ok, F.col("b.cum")).otherwise(0.0).alias("max_profit"), category.alias("category"))
 
 
+#: Parameters that lifetime profit is linear in; all their combinations come from the same sums.
+LINEAR = ("cof", "acq", "lgd", "op")
+
+
+def linear_grid(accounts: DataFrame, axes: Mapping[str, list], disc: float = 0.05, score: str = "score", fixed_cutoffs: Mapping[tuple[float, str], float] | None = None) -> DataFrame:
+    """Totals and profit-optimal cut-off of every cell of pd_mult x strategy x cof x acq x lgd x op.
+
+    Only pd_mult and strategy change an account's hazard and balance: accounts are ranged by stressed PD once for each
+    pair of them, and the other axes are columns of one running sum. So rows don't grow with the cells, and continuous
+    scores need no pooling. With `fixed_cutoffs` (by pd_mult and strategy) the profit and share up to these PDs are added.
+    """
+    pairs = list(product(axes["pd_mult"], axes["strategy"]))
+    cells = np.array(list(product(*[axes[k] for k in LINEAR])), dtype=float)
+    cof, acq, lgd, op = (cells[:, i][None, :] for i in range(4))
+    small = accounts.sparkSession.createDataFrame([(i, float(m), str(s)) for i, (m, s) in enumerate(pairs)], "g int, pd_mult double, strategy string")
+    rows = accounts.select(F.col(score).cast("double").alias("score"), F.col("loan_amount").cast("double").alias("loan"), F.col("n_installments").alias("n")).crossJoin(F.broadcast(small))
+    rows = rows.withColumn("p", F.least(F.col("score") * F.col("pd_mult"), F.lit(0.999))).withColumn("apr", strategy_apr(F.col("score"), F.col("strategy")))
+    rows = rows.withColumns(exposure(F.col("p"), F.col("loan"), F.col("n"), F.col("apr"), F.lit(disc))).select("g", "p", "apr", "balance", (F.col("hazard") * F.col("balance")).alias("lost"), "instalment_base")
+    limits = {i: fixed_cutoffs[m, s] for i, (m, s) in enumerate(pairs)} if fixed_cutoffs else {}
+
+    def make(g: int, x: Mapping[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        balance, lost, base = x["balance"][:, None], x["lost"][:, None], x["instalment_base"][:, None]
+        profit = np.maximum(x["apr"][:, None] - cof, 0.0) / 12 * balance - op * base - lgd * lost - acq
+        inside = (x["p"] <= limits.get(g, -1.0))[:, None]
+        return np.ones_like(profit), profit, [(profit > 0).sum(0).astype(float), (profit * inside).sum(0), np.full(len(cells), float(inside.sum()))]
+
+    out = []
+    for g, b in best_prefixes(rows, "g", "p", make, len(cells), 3).items():
+        for k, cell in enumerate(cells):
+            pct = 100 * b.best_n[k] / b.n[k]
+            category = "approve_all" if pct >= 99 else "interior" if pct >= 50 else "reject_most"
+            more = (float(b.extras[1][k]), float(100 * b.extras[2][k] / b.n[k])) if limits else (None, None)
+            out.append((float(pairs[g][0]), pairs[g][1], *map(float, cell), int(b.n[k]), float(b.total[k]), float(b.total[k] / b.n[k]), float(b.extras[0][k] / b.n[k]), float(b.best_at[k]), float(pct), float(b.best[k]), category, *more))
+    schema = "pd_mult double, strategy string, cof double, acq double, lgd double, op double, n bigint, total_profit double, mean_profit double, share_positive double, cutoff_pd double, approve_pct double, max_profit double, category string, profit_at_fixed double, approve_pct_fixed double"
+    return accounts.sparkSession.createDataFrame(out, schema)  # one row a cell
+
+
+def linear_thresholds(scored: DataFrame, score: str, count: int = 200, pad: float = 1.05) -> list[float]:
+    """`count` equal steps from 0 to a little over the largest score."""
+    top = scored.agg(F.max(score)).first()[0]
+    return [] if top is None else [float(x) for x in np.linspace(0.0, float(top) * pad, count)]
+
+
+def sweep_identities(sweep: DataFrame, base_rate: float, tolerance: float = 1e-9) -> DataFrame:
+    """check_name, n_bad, n: identities that hold between the columns of any sweep."""
+    c = F.col
+    approved_bad = c("n_approved") * c("default_rate_approved")
+    rejected = c("n_all") - c("n_approved")
+    w = W.orderBy("threshold")  # as many rows as thresholds
+    rows = sweep.crossJoin(F.broadcast(sweep.agg(F.max(F.when(c("approval_rate") > 0, c("n_approved") / c("approval_rate"))).alias("n_all"))))  # one row
+    rows = rows.withColumn("n_fall", (c("n_approved") < F.lag("n_approved").over(w)).cast("int"))
+    checks = {
+        "youden_is_tpr_minus_fpr": F.abs(c("youden_j") - (c("tpr") - c("fpr"))) > tolerance, "approval_rate_in_0_1": ~c("approval_rate").between(0, 1),
+        "counts_never_fall": c("n_fall") == 1, "rates_reconcile": (c("n_approved") > 0) & (F.abs(approved_bad + c("tpr") * base_rate * c("n_all") - base_rate * c("n_all")) > 1e-6 * c("n_all")),
+        "rejected_not_negative": rejected < -tolerance,
+    }
+    one = rows.agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(x, F.lit(False))).alias(k) for k, x in checks.items()])
+    return one.select("n", F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in checks]), F.array(*checks))).alias("check_name", "n_bad"))
+
+
 def category_pivot(results: DataFrame, parameter: str, category: str = "category", values: tuple[str, ...] = ("approve_all", "interior", "reject_most")) -> DataFrame:
     """Number of cells of each category by the value of a parameter."""
     return results.groupBy(parameter).pivot(category, list(values)).agg(F.count(F.lit(1))).na.fill(0, list(values))

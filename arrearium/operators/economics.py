@@ -13,11 +13,12 @@ def geometric(x: Column, n: Column) -> Column:
     return F.when(F.abs(x - 1) < 1e-12, n.cast("double")).otherwise((F.pow(x, n) - 1) / (x - 1))
 
 
-def lifetime(pd_12m: Column, loan: Column, n: Column, apr: Column, lgd: Column, op: Column, disc: Column, cof: Column, acq: Column) -> dict[str, Column]:
-    """LT_EL, LT_margin and Expected_Profit of a loan.
+def exposure(pd_12m: Column, loan: Column, n: Column, apr: Column, disc: Column) -> dict[str, Column]:
+    """hazard, balance and instalment_base of a loan: what the economics are linear in.
 
     Survival is (1 - h)^(t-1), discounting (1 + disc/12)^-t and the balance that of an annuity at the gross rate, so
-    every sum over months is a difference of geometric sums. Interest is earned at the rate net of funding.
+    every sum over months is a difference of geometric sums. Expected loss is hazard * lgd * balance, interest a
+    twelfth of the net rate times the balance, running cost the yearly rate times instalment_base.
     """
     h = monthly_hazard(pd_12m)
     q, d, r = 1 - h, 1 / (1 + disc / 12), apr / 12
@@ -25,9 +26,14 @@ def lifetime(pd_12m: Column, loan: Column, n: Column, apr: Column, lgd: Column,
     grown = F.pow(1 + r, n)
     annuity = (grown * geometric(y, n) - geometric(y * (1 + r), n)) / (grown - 1)
     straight = F.when(F.abs(y - 1) < 1e-9, (n + 1) / 2.0).otherwise((n - y * geometric(y, n)) / (n * (1 - y)))
-    balance = loan * d * F.when(r > 0, annuity).otherwise(straight)
-    el = h * lgd * balance
-    margin = F.greatest(apr - cof, F.lit(0.0)) / 12 * balance - loan * op / 12 * d * geometric(y, n)
+    return {"hazard": h, "balance": loan * d * F.when(r > 0, annuity).otherwise(straight), "instalment_base": loan / 12 * d * geometric(y, n)}
+
+
+def lifetime(pd_12m: Column, loan: Column, n: Column, apr: Column, lgd: Column, op: Column, disc: Column, cof: Column, acq: Column) -> dict[str, Column]:
+    """LT_EL, LT_margin and Expected_Profit of a loan; interest is earned at the rate net of funding."""
+    x = exposure(pd_12m, loan, n, apr, disc)
+    el = x["hazard"] * lgd * x["balance"]
+    margin = F.greatest(apr - cof, F.lit(0.0)) / 12 * x["balance"] - op * x["instalment_base"]
     return {"LT_EL": el, "LT_margin": margin, "Expected_Profit": margin - el - acq}
 
 

@@ -15,6 +15,7 @@ from arrearium.functions.scalars import logit
 from arrearium.sources.shared import durable
 
 from .audits import top_values
+from .batch_fits import Fit, fit_all, scales_of
 from .metrics import correlation, discrimination, screen
 
 
@@ -47,14 +48,14 @@ def fit_boosting(df: DataFrame, numeric: list[str], y: str, validation: str | No
     return Pipeline(stages=[*_stages(numeric, []), gbt.setValidationIndicatorCol(validation) if validation else gbt]).fit(df)
 
 
-def random_search(df: DataFrame, numeric: list[str], y: str, tries: int = 5, seed: int = 42) -> tuple[PipelineModel, list[dict]]:
+def random_search(df: DataFrame, numeric: list[str], y: str, key: str = "aid", tries: int = 5, seed: int = 42) -> tuple[PipelineModel, list[dict]]:
     """Boosting parameters drawn at random, chosen by area under the curve on a held-out share."""
     import random
 
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
     rnd, done = random.Random(seed), []
-    train, held = df.randomSplit([0.7, 0.3], seed)
+    train, held = df.filter(hashed_share(key, seed) < 0.7), df.filter(hashed_share(key, seed) >= 0.7)
     best = None
     for _ in range(tries):
         p = {"trees": rnd.choice([10, 20, 40]), "depth": rnd.choice([2, 3, 4, 5])}
@@ -153,43 +154,47 @@ def prescreen(df: DataFrame, features: list[str], y: str, key: str, max_null: fl
 
 
 def lasso_runs(df: DataFrame, numeric: list[str], y: str, key: str, regs: list[float], seeds: list[int], rows: int = 100_000) -> DataFrame:
-    """(run, reg, seed, feature) of the features that an L1 logit keeps, for each strength and sample."""
-    found = []
-    for seed in seeds:
-        sample = durable(stratified_sample(df, y, key, rows, seed).filter(hashed_share(key, seed) < 0.8))
-        for reg in regs:
-            kept = selected(fit_logit(sample, numeric, [], y, True, reg), numeric)
-            found += [(f"reg {reg}, seed {seed}", float(reg), int(seed), c) for c in kept]
+    """(run, reg, seed, feature) of the features that an L1 logit keeps, for each strength and sample; all runs share their scans."""
+    n = df.count()
+    drawn = lambda seed: (hashed_share(key, seed) < min(rows / max(n, 1), 1.0) * 0.8).cast("double")
+    fits = [(reg, seed, Fit(f"reg {reg}, seed {seed}", drawn(seed), numeric, float(reg))) for seed in seeds for reg in regs]
+    fit_all(df, [f for _, _, f in fits], y)
+    found = [(f.name, float(reg), int(seed), c) for reg, seed, f in fits for c in f.selected()]
     return df.sparkSession.createDataFrame(found, "run string, reg double, seed int, feature string")
 
 
-def refit_by(df: DataFrame, numeric: list[str], y: str, group: str, levels: list) -> DataFrame:
-    """group, feature, coefficient, pooled, flipped, ratio: fits of each group against the pooled one; one-class groups are left out."""
-    pooled = dict(coefficients(fit_logit(df, numeric, [], y, reg=0.001), numeric))
-    rows = []
-    for v in levels:
-        part = durable(df.filter(F.col(group) == v))
-        n, pos = part.agg(F.count("*"), F.sum(y)).first()
-        if not pos or pos == n:
-            continue
-        for c, b in coefficients(fit_logit(part, numeric, [], y, reg=0.001), numeric):
-            a = pooled[c]
-            rows.append((str(v), c, b, a, a * b < 0, abs(b / a) if a else None))
+def refit_by(df: DataFrame, numeric: list[str], y: str, group: str, levels: list, l2: float = 0.001) -> DataFrame:
+    """group, feature, coefficient, pooled, flipped, ratio: fits of each group against the pooled one, all in the same scans.
+
+    Coefficients are those of features standardised over all groups; one-class groups are left out.
+    """
+    sizes = {r[0]: (r[1], r[2]) for r in df.filter(F.col(group).isin(levels)).groupBy(group).agg(F.count(y), F.sum(y)).collect()}
+    usable = [v for v in levels if v in sizes and 0 < (sizes[v][1] or 0) < sizes[v][0]]
+    fits = [Fit("pooled", F.lit(1.0), numeric, 0.0, l2), *[Fit(str(v), (F.col(group) == v).cast("double"), numeric, 0.0, l2) for v in usable]]
+    fit_all(df, fits, y)
+    pooled = fits[0].coefficients
+    rows = [(f.name, c, b, pooled[c], pooled[c] * b < 0, abs(b / pooled[c]) if pooled[c] else None) for f in fits[1:] for c, b in f.coefficients.items()]
     return df.sparkSession.createDataFrame(rows, "group string, feature string, coefficient double, pooled double, flipped boolean, ratio double")
 
 
-def ablation(train: DataFrame, held: DataFrame, families: dict[str, list[str]], y: str) -> DataFrame:
-    """without, n_features, gini_train, gini_held, loss: the fit again without one family of features after the other."""
-    out, base = [], None
-    for name in ["", *families]:
-        numeric = [c for k, cs in families.items() if k != name for c in cs]
-        if not numeric:
-            continue
-        m = fit_logit(train, numeric, [], y, reg=0.001)
-        g = [discrimination(probability(m.transform(part)), "pd", y).first()["gini"] or 0.0 for part in (train, held)]
-        base = g[1] if base is None else base
-        out.append((name or "nothing", len(numeric), g[0], g[1], base - g[1]))
-    return train.sparkSession.createDataFrame(out, "without string, n_features int, gini_train double, gini_held double, loss double")
+def ablation(train: DataFrame, held: DataFrame, families: dict[str, list[str]], y: str, l1: float = 0.002, l2: float = 0.001) -> DataFrame:
+    """without, n_features, n_selected, gini_train, gini_held, loss: selection and fit again without one family after the other.
+
+    Two batches of fits: lassos that select for every case, then the fits on what each selected. All cases are scored and
+    judged in one pass of each part.
+    """
+    cases = {name or "nothing": [c for k, cs in families.items() if k != name for c in cs] for name in ["", *families]}
+    cases = {k: v for k, v in cases.items() if v}
+    scales = scales_of(train, sorted({c for v in cases.values() for c in v}))
+    chosen = fit_all(train, [Fit(k, F.lit(1.0), v, l1) for k, v in cases.items()], y, scales)
+    last = fit_all(train, [Fit(f.name, F.lit(1.0), f.selected() or list(cases[f.name]), 0.0, l2) for f in chosen], y, scales)
+    gini: dict[tuple[str, int], float] = {}
+    for i, part in enumerate((train, held)):
+        scored = part.select(F.col(y).alias("y"), F.explode(F.array(*[F.struct(F.lit(f.name).alias("case"), f.score(scales).alias("p")) for f in last])).alias("e")).select("y", "e.case", "e.p")
+        gini |= {(r["case"], i): r["gini"] or 0.0 for r in discrimination(scored, "p", "y", ["case"]).collect()}
+    base = gini.get(("nothing", 1), 0.0)
+    out = [(f.name, len(cases[f.name]), len(f.features), gini.get((f.name, 0), 0.0), gini.get((f.name, 1), 0.0), base - gini.get((f.name, 1), 0.0)) for f in last]
+    return train.sparkSession.createDataFrame(out, "without string, n_features int, n_selected int, gini_train double, gini_held double, loss double")
 
 
 def fit_platt(df: DataFrame, score: str, y: str, on_logit: bool = True) -> tuple[float, float]:
@@ -211,28 +216,31 @@ def isotonic(df: DataFrame, score: str, y: str, out: str, fit: DataFrame | None
     return m.transform(df)
 
 
-def perturb_to_gini(df: DataFrame, score: str, y: str, key: str, target: float, seed: int = 42, steps: int = 12) -> DataFrame:
+def perturb_to_gini(df: DataFrame, score: str, y: str, key: str, target: float, seed: int = 42, rounds: int = 4, at_once: int = 8) -> DataFrame:
     """Scores blurred on the logit scale until their Gini falls to the target, shifted back to the mean.
 
-    The noise column is fixed by the row's key; only the scale is searched.
+    The noise column is fixed by the row's key; only scale and shift are searched, many candidates in each pass.
     """
     u = lambda s: (F.pmod(F.xxhash64(F.lit(s), F.col(key)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     z = F.sqrt(-2 * F.log(u(seed))) * F.cos(2 * F.pi() * u(seed + 1))
     base = df.withColumn("__z", z).withColumn("__l", logit(F.col(score)))
-    base = durable(base)  # read by every step of the search
+    base = durable(base)  # read by every pass of the search
     low, high = 0.0, 8.0
-    for _ in range(steps):
-        mid = (low + high) / 2
-        g = discrimination(base.withColumn("__s", F.col("__l") + mid * F.col("__z")), "__s", y).first()["gini"]
-        low, high = (mid, high) if g is not None and g > target else (low, mid)
+    for _ in range(rounds):
+        scales = [low + (high - low) * i / at_once for i in range(1, at_once)]
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.col("__l") + s * F.col("__z")).alias("s")) for i, s in enumerate(scales)])).alias("e")
+        found = {r["i"]: r["gini"] for r in discrimination(base.select(F.col(y).alias("y"), cells).select("y", "e.i", "e.s"), "s", "y", ["i"]).collect()}
+        above = [s for i, s in enumerate(scales) if found.get(i) is not None and found[i] > target]
+        low, high = max(above, default=low), min((s for s in scales if s > max(above, default=low)), default=high)
     scale = (low + high) / 2
+    p = lambda shift: 1 / (1 + F.exp(-(F.col("__l") + scale * F.col("__z") + shift)))
     mean = base.agg(F.avg(score)).first()[0]
     a, b = -10.0, 10.0
-    for _ in range(16):
-        shift = (a + b) / 2
-        m = base.agg(F.avg(1 / (1 + F.exp(-(F.col("__l") + scale * F.col("__z") + shift))))).first()[0]
-        a, b = (shift, b) if m < mean else (a, shift)
-    return base.withColumn(f"{score}_perturbed", 1 / (1 + F.exp(-(F.col("__l") + scale * F.col("__z") + shift)))).drop("__z", "__l")
+    for _ in range(rounds if mean is not None else 0):
+        shifts = [a + (b - a) * i / 32 for i in range(1, 32)]
+        means = base.agg(*[F.avg(p(x)) for x in shifts]).first()
+        a, b = max((x for x, m in zip(shifts, means) if m < mean), default=a), min((x for x, m in zip(shifts, means) if m >= mean), default=b)
+    return base.withColumn(f"{score}_perturbed", p((a + b) / 2)).drop("__z", "__l")
 
 
 def gates(checks: dict[str, tuple[float, float, float]], spark) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arrearium.functions.scalars import safe_div
 
 from .features import cumulative
+from .prefix import CELLS, best_prefixes
 
 
 def _uniform(seed: int, *keys: Column) -> Column:
@@ -56,6 +61,116 @@ def profit_cutoff(weighted: DataFrame, by: list[str], score: str, profit: str) -
     return out.select(*by, F.when(ok, F.col("b.p")).otherwise(0.0).alias("cutoff"), F.when(ok, 100 * F.col("b.k") / F.col("n")).otherwise(0.0).alias("approve_pct"), F.when(ok, F.col("b.cum")).otherwise(0.0).alias("max_profit"))
 
 
+def poisson_cdf(most: int = 12) -> np.ndarray:
+    """Distribution function of Poisson(1) at 0, 1, ..."""
+    return np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, most)]))
+
+
+def draws(hashes: np.ndarray, replicates: int) -> np.ndarray:
+    """Poisson(1) draws, rows x replicates, that depend on nothing but a row's hash and the replicate's number."""
+    with np.errstate(over="ignore"):
+        z = hashes.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, replicates + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(poisson_cdf(), ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53).astype(float)
+
+
+def stratum_factors(rows: DataFrame, stratum: str, replicates: int, hashes: str = "h") -> np.ndarray:
+    """strata x replicates: what brings each stratum's weights in a replicate to the stratum's own size.
+
+    Sums over all rows are made in tasks; a task sends one row of `replicates` numbers for each stratum in it.
+    """
+    step = max(CELLS // replicates, 1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            s, h = batch.column("s").to_numpy(), batch.column("h").to_numpy()
+            for a in range(0, len(s), step):
+                w = draws(h[a : a + step], replicates)
+                for k in np.unique(s[a : a + step]):
+                    mine = w[s[a : a + step] == k]
+                    total[int(k)] = total.get(int(k), 0) + np.concatenate([[len(mine)], mine.sum(0)])
+        if total:
+            yield pa.RecordBatch.from_pydict({"s": list(total), "w": [x.tobytes() for x in total.values()]}, pa.schema([("s", pa.int32()), ("w", pa.binary())]))
+
+    found: dict[int, np.ndarray] = {}
+    for r in rows.select(F.col(stratum).cast("int").alias("s"), F.col(hashes).alias("h")).mapInArrow(sums, "s int, w binary").collect():
+        found[r["s"]] = found.get(r["s"], 0) + np.frombuffer(r["w"])
+    out = np.ones((max(found, default=-1) + 1, replicates))
+    for k, x in found.items():
+        out[k] = np.where(x[1:] > 0, x[0] / np.maximum(x[1:], 1), 0.0)
+    return out
+
+
+METRICS = ["profit_at_kstar", "approve_pct_kstar", "cutoff_pd_star", "profit_at_fixed", "approve_pct_fixed", "cutoff_gap", "profit_uplift", "profit_uplift_pct", "default_rate"]
+
+
+def cutoff_bootstrap(rows: DataFrame, anchors: list[str], replicates: int, fixed: Mapping[str, float], anchor: str = "anchor", key: str = "aid", stratum: str = "n_installments", pd_: str = "pd_stressed", profit: str = "Expected_Profit", y: str = "y", seed: int = 42) -> DataFrame:
+    """METRICS of the profit-optimal and of a fixed cut-off for each anchor in each replicate of a stratified bootstrap.
+
+    A row's weights in all replicates are an array of Poisson draws from its key, alike for every anchor, scaled to the
+    size of its stratum. One sorted pass sums them: rows are not multiplied by replicates. Replicate 0 is the data itself.
+    """
+    levels = sorted(r[0] for r in rows.select(stratum).filter(F.col(stratum).isNotNull()).distinct().collect())  # the strata
+    base = rows.select(
+        (F.array_position(F.array(*[F.lit(a) for a in anchors]), F.col(anchor)) - 1).cast("int").alias("g"), (F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(stratum)) - 1).cast("int").alias("s"),
+        F.col(pd_).cast("double").alias("p"), F.col(profit).cast("double").alias("profit"), F.col(y).cast("double").alias("y"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"),
+    ).filter("g >= 0 and s >= 0")
+    factors = stratum_factors(base.filter("g = 0"), "s", replicates)
+    limits = [float(fixed[a]) for a in anchors]
+
+    def make(g: int, x: Mapping[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        w = np.concatenate([np.ones((len(x["h"]), 1)), draws(x["h"], replicates) * factors[x["s"]]], axis=1)
+        value, inside = w * x["profit"][:, None], (x["p"] <= limits[g])[:, None]
+        return w, value, [(value * inside).sum(0), (w * inside).sum(0), (w * np.nan_to_num(x["y"])[:, None]).sum(0)]
+
+    out = []
+    for g, b in best_prefixes(base, "g", "p", make, replicates + 1, 3).items():
+        n = np.where(b.n > 0, b.n, 1.0)
+        pct, fixed_pct, uplift = 100 * b.best_n / n, 100 * b.extras[1] / n, b.best - b.extras[0]
+        share = np.divide(uplift, np.abs(b.extras[0]), out=np.full_like(uplift, np.nan), where=b.extras[0] != 0)
+        columns = np.stack([b.best, pct, b.best_at, b.extras[0], fixed_pct, pct - fixed_pct, uplift, share, b.extras[2] / n])
+        out += [(k, anchors[g], *[None if v != v else float(v) for v in columns[:, k]]) for k in range(replicates + 1)]
+    return rows.sparkSession.createDataFrame(out, "replicate int, anchor string, " + ", ".join(f"{m} double" for m in METRICS))  # anchors x replicates
+
+
+def bootstrap_checks(replicates: DataFrame, again: DataFrame | None = None, drift: float = 0.001) -> DataFrame:
+    """anchor, check_name, value, ok of a `cutoff_bootstrap`: strata kept, numbers finite, intervals ordered and around the
+    data's own value (replicate 0), and, with a second run of some replicates, reproduced."""
+    drawn, point = replicates.filter("replicate > 0"), replicates.filter("replicate = 0")
+    core = [m for m in METRICS if m != "profit_uplift_pct"]
+    bad = F.count_if(~F.greatest(*[F.coalesce(F.isnan(m) | (F.abs(m) == float("inf")), F.lit(True)).cast("int") for m in core]).isin(0))
+    q = lambda p: F.percentile("profit_uplift", F.lit(p))
+    stats = drawn.groupBy("anchor").agg(F.avg("default_rate").alias("dr"), bad.cast("double").alias("n_bad"), q(0.025).alias("lo"), q(0.5).alias("mid"), q(0.975).alias("hi"))
+    rows = stats.join(point.select("anchor", F.col("default_rate").alias("dr0"), F.col("profit_uplift").alias("at")), "anchor")
+    c = F.col
+    checks = [
+        ("strata_kept", F.abs(c("dr") - c("dr0")), F.abs(c("dr") - c("dr0")) < drift), ("finite", c("n_bad"), c("n_bad") == 0), ("interval_ordered", c("hi") - c("lo"), (c("lo") <= c("mid")) & (c("mid") <= c("hi"))),
+        ("point_inside", c("at"), c("at").between(c("lo"), c("hi"))),
+    ]
+    out = rows.select("anchor", F.explode(F.array(*[F.struct(F.lit(k).alias("check_name"), v.alias("value"), ok.alias("ok")) for k, v, ok in checks])).alias("x")).select("anchor", "x.*")
+    if again is not None:
+        both = again.filter("replicate > 0").select("anchor", "replicate", c("profit_uplift").alias("b")).join(drawn.select("anchor", "replicate", "profit_uplift"), ["anchor", "replicate"])
+        gap = both.groupBy("anchor").agg(F.max(F.abs(c("b") - c("profit_uplift"))).alias("value"))
+        out = out.union(gap.select("anchor", F.lit("reproduced"), "value", c("value") < 1e-8))
+    return out
+
+
+def cutoff_probabilities(replicates: DataFrame) -> DataFrame:
+    """anchor with the shares of replicates that approve all, some or few, that accept more than the fixed cut-off, and that gain."""
+    pct = F.col("approve_pct_kstar")
+    share = lambda e: F.avg(e.cast("int"))
+    return replicates.filter("replicate > 0").groupBy("anchor").agg(
+        share(pct >= 99).alias("p_approve_all"), share((pct >= 50) & (pct < 99)).alias("p_interior"), share(pct < 50).alias("p_reject_most"), share(F.col("cutoff_gap") > 0).alias("p_more_permissive"), share(F.col("profit_uplift") > 0).alias("p_uplift"),
+    )
+
+
+def uplift_verdict(low: Column, high: Column) -> Column:
+    """What an interval of an uplift in percent says."""
+    return F.when(low > 5, "STAT_SIG_AND_MEANINGFUL").when(low > 0, "STAT_SIG_SMALL_EFFECT").when((low <= 0) & (high > 0), "NOT_SIGNIFICANT").when(high <= 0, "NEGATIVE_UPLIFT").otherwise("UNDEFINED")
+
+
 def ci_summary(replicates: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """metric, mean, median, std, interval and its width over the replicates."""
     long = replicates.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])).alias("e")).select(*by, "e.metric", "e.x")

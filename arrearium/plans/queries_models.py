@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrearium.operators import metrics, models
+from arrearium.operators import batch_fits, metrics, models
 
 from .queries_scores import _NUMERIC, _model_rows
 from .registry import query, rounded
@@ -30,6 +30,15 @@ def lasso_stability(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.jaccard(runs, "run", "feature"))
 
 
+@query()
+def lasso_cv_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Held-out loss of five penalties in five folds, and what each keeps on all rows; thirty fits in common scans."""
+    train, _ = _parts(spark, sf)
+    fold = F.floor(models.hashed_share("aid", 7) * 5).cast("int")
+    loss, whole = batch_fits.lasso_path_cv(train, _NUMERIC, "y", fold, 5, [0.001, 0.003, 0.01, 0.03, 0.1])
+    return rounded(spark.createDataFrame([(f.l1, loss[f.l1], len(f.selected()), ",".join(sorted(f.selected()))) for f in whole], "l1 double, held_out_loss double, n_selected int, selected string"), 5)
+
+
 @query()
 def logit_inference(spark: SparkSession, sf: str) -> DataFrame:
     """p-values of the features that a binomial regression keeps, with their variance inflation."""
