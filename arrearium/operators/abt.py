@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arrearium.functions.periods import period_of
 from arrearium.functions.scalars import ACTIVE, BAD, CLOSED, safe_div
 
-from .features import quantiles
+from .wide import profiles
 
 OBSERVED = 12
 RATES = (5, 8, 10, 12, 15)
@@ -93,24 +93,18 @@ def wide_abt(panel: DataFrame, series: list[str], boundary: int, months: int = O
     return wide.withColumn("target", target).withColumn("split", split_of(c("fin_period"), boundary)).drop("__fin_no", "__n", "__early", "__bad", "__last")
 
 
-def summary_as_of(wide: DataFrame, summary: DataFrame, columns: list[str], mode: str = "as_of") -> DataFrame:
-    """Summary columns of the account at its own obs_period; `first_seen` takes the account's earliest row instead."""
-    if mode == "first_seen":
-        first = summary.groupBy("aid").agg(F.min_by(F.struct(*columns), "period").alias("s")).select("aid", "s.*")
-        return wide.join(first, "aid", "left")
-    return wide.join(summary.select("aid", F.col("period").alias("obs_period"), *columns), ["aid", "obs_period"], "left")
+def first_seen(wide: DataFrame, summary: DataFrame, columns: list[str]) -> DataFrame:
+    """Summary columns of the account's earliest row, whatever its month; as-of joins are in `asof`."""
+    first = summary.groupBy("aid").agg(F.min_by(F.struct(*columns), "period").alias("s")).select("aid", "s.*")
+    return wide.join(first, "aid", "left")
 
 
 def clean(df: DataFrame, numeric: list[str], train: Column, drop: list[str] | None = None) -> DataFrame:
-    """Drop listed columns; cap at the train 99th percentile and fill nulls with the train median."""
+    """Drop listed columns; cap at the train 99th percentile and fill nulls with the train median, all columns in one scan."""
     df = df.drop(*(drop or []))
-    out = df
-    for c in numeric:
-        fit = quantiles(df.filter(train), c, [0.99, 0.5]).select(F.col("q")[0].alias(f"__p_{c}"), F.col("q")[1].alias(f"__m_{c}"))
-        out = out.crossJoin(F.broadcast(fit))  # one row
-    cut = lambda c: F.when(F.col(c).isNotNull(), F.least(F.col(c).cast("double"), F.col(f"__p_{c}"))).otherwise(F.col(f"__m_{c}"))
-    out = out.withColumns({c: cut(c) for c in numeric})
-    return out.drop(*[c for c in out.columns if c.startswith(("__p_", "__m_"))])
+    found = profiles(df.filter(train), numeric, [0.5, 0.99])
+    cut = lambda c: F.when(F.col(c).isNotNull(), F.least(F.col(c).cast("double"), F.lit(found[c].quantiles[1]))).otherwise(F.lit(found[c].quantiles[0]))
+    return df.withColumns({c: cut(c) for c in numeric if found[c].n})
 
 
 def exclusion_reasons(df: DataFrame) -> DataFrame:

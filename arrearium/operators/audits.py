@@ -26,6 +26,41 @@ def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.explode(pairs).alias("x"), "n").select("x.column_name", "n", "x.n_null", "x.n_distinct")
 
 
+def null_audit(df: DataFrame, columns: list[str], allowed: list[str] = []) -> DataFrame:  # noqa: B006
+    """column_name, n, n_null, allowed, ok: nulls are fine only in columns of the allow-list; one scan, unpivoted."""
+    marks = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).isNull().alias("u")) for c in columns])).alias("x")
+    rows = df.select(marks).groupBy("x.column_name").agg(F.count("*").alias("n"), F.count_if("x.u").alias("n_null"))
+    listed = F.col("column_name").isin(*allowed) if allowed else F.lit(False)
+    return rows.select("column_name", "n", "n_null", listed.alias("allowed"), ((F.col("n_null") == 0) | listed).alias("ok"))
+
+
+def split_purity(df: DataFrame, split: str, period: str, key: str, first: str = "train", second: str = "oot") -> DataFrame:
+    """One row: the last period of the first split, the first of the second, accounts in both, and whether time parts them."""
+    at = lambda f, s: f(F.when(F.col(split) == s, F.col(period)))
+    both = df.filter(F.col(split).isin(first, second)).groupBy(key).agg(F.count_distinct(split).alias("s")).agg(F.count_if(F.col("s") > 1).alias("n_shared"))
+    out = df.agg(at(F.max, first).alias("last_first"), at(F.min, second).alias("first_second")).crossJoin(F.broadcast(both))  # one row each
+    return out.withColumn("pure", (F.col("last_first") < F.col("first_second")) & (F.col("n_shared") == 0))
+
+
+def step_report(steps: dict[str, DataFrame], groups: dict[str, list[str]] = {}, key: str = "aid") -> DataFrame:  # noqa: B006
+    """step, metric, value: rows, distinct keys and columns of each table of a build, and the null share by group of columns.
+
+    Each step is one aggregate over its own table.
+    """
+    out = None
+    for name, df in steps.items():
+        have = {g: [c for c in cs if c in df.columns] for g, cs in groups.items()}
+        aggs = [F.count("*").cast("double").alias("rows"), F.count_distinct(key).cast("double").alias("accounts"), F.lit(float(len(df.columns))).alias("columns")]
+        for g, cs in have.items():
+            if cs:
+                total = sum((F.count_if(F.col(c).isNull()) for c in cs), F.lit(0))
+                aggs.append(safe_div(total.cast("double"), F.count("*") * len(cs)).alias(f"null_share_{g}"))
+        one = df.agg(*aggs)
+        long = one.select(F.lit(name).alias("step"), F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in one.columns]), F.array(*one.columns))).alias("metric", "value"))
+        out = long if out is None else out.unionByName(long)
+    return out
+
+
 def top_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_name, value, share of each column's most frequent value (the smallest on ties), in one scan."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("x.*")

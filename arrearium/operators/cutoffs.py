@@ -91,6 +91,32 @@ def linear_grid(accounts: DataFrame, axes: Mapping[str, list], disc: float = 0.0
     return accounts.sparkSession.createDataFrame(out, schema)  # one row a cell
 
 
+def linear_means(accounts: DataFrame, strategies: list[str], lgds: list[float], discs: list[float], ops: list[float], score: str = "score") -> DataFrame:
+    """strategy, disc, lgd, op with the mean loss, margin and profit and the share of profitable accounts of every cell.
+
+    One row for each account, strategy and discount; losses and running costs are columns of one aggregate.
+    """
+    pairs = accounts.sparkSession.createDataFrame([(str(a), float(d)) for a, d in product(strategies, discs)], "strategy string, disc double")
+    rows = accounts.crossJoin(F.broadcast(pairs)).withColumn("__p", F.least(F.col(score).cast("double"), F.lit(0.999))).withColumn("__apr", strategy_apr(F.col(score), F.col("strategy")))
+    rows = rows.withColumns(exposure(F.col("__p"), F.col("loan_amount").cast("double"), F.col("n_installments"), F.col("__apr"), F.col("disc")))
+    cells, aggs = list(product(lgds, ops)), []
+    for k, (lgd, op) in enumerate(cells):
+        el = F.col("hazard") * lgd * F.col("balance")
+        margin = F.col("__apr") / 12 * F.col("balance") - op * F.col("instalment_base")
+        aggs += [F.avg(el).alias(f"e{k}"), F.avg(margin).alias(f"m{k}"), F.avg(margin - el).alias(f"p{k}"), F.avg((margin - el > 0).cast("int")).alias(f"s{k}")]
+    one = rows.groupBy("strategy", "disc").agg(*aggs)
+    parts = [F.struct(F.lit(lgd).alias("lgd"), F.lit(op).alias("op"), F.col(f"e{k}").alias("mean_LT_EL"), F.col(f"m{k}").alias("mean_LT_margin"), F.col(f"p{k}").alias("mean_profit"), F.col(f"s{k}").alias("share_positive")) for k, (lgd, op) in enumerate(cells)]
+    return one.select("strategy", "disc", F.explode(F.array(*parts)).alias("x")).select("strategy", "disc", "x.*")
+
+
+def monotone_uplift(results: DataFrame, level: str, uplift: str, tolerance: float = 0.0) -> DataFrame:
+    """One row: whether the uplift never falls, never rises, or neither, in the order of a level; results are few."""
+    w = W.orderBy(level)  # as many rows as levels
+    steps = results.withColumn("__d", F.col(uplift) - F.lag(uplift).over(w))
+    rising, falling = F.min("__d") >= -tolerance, F.max("__d") <= tolerance
+    return steps.agg(F.count("*").alias("n"), F.when(F.count("__d") == 0, "single").when(rising, "MONOTONE_UP").when(falling, "MONOTONE_DOWN").otherwise("NON_MONOTONE").alias("verdict"))
+
+
 def linear_thresholds(scored: DataFrame, score: str, count: int = 200, pad: float = 1.05) -> list[float]:
     """`count` equal steps from 0 to a little over the largest score."""
     top = scored.agg(F.max(score)).first()[0]

@@ -77,15 +77,6 @@ def trend(long: DataFrame, series: Mapping[str, str], months: tuple[int, ...] =
     return wide.select(key, *out)
 
 
-def ratios(df: DataFrame, pairs: Mapping[str, tuple[str, str]], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Ratios, cut at their own percentiles; null on a zero denominator."""
-    out = df.withColumns({k: safe_div(F.col(a), F.col(b)) for k, (a, b) in pairs.items()})
-    for k in pairs:
-        out = out.crossJoin(F.broadcast(quantiles(out, k, [low, high]).withColumnRenamed("q", f"__{k}")))  # one row
-    cut = lambda k: F.when(F.col(k).isNotNull(), F.greatest(F.least(F.col(k), F.col(f"__{k}")[1]), F.col(f"__{k}")[0]))
-    return out.withColumns({k: cut(k) for k in pairs}).drop(*[f"__{k}" for k in pairs])
-
-
 def label_codes(df: DataFrame, column: str, out: str) -> DataFrame:
     """Dense code of a category in sorted order, from 0."""
     levels = df.select(column).filter(F.col(column).isNotNull()).distinct()
@@ -98,15 +89,20 @@ def interactions(df: DataFrame, products: Mapping[str, tuple[str, str]], squares
 
 
 def group_stats(df: DataFrame, key: str, value: str, train: Column) -> DataFrame:
-    """mean, std, median and count of `value` by `key` on the training rows, with the global value for unseen keys."""
-    stats = {"mean": F.avg, "std": F.stddev_samp, "median": F.median, "count": F.count}
+    """mean, std, median and count of `value` by `key` on the training rows, with the global value for unseen keys.
+
+    Medians come from ranged counts of distinct values, of the groups and of all rows.
+    """
+    stats = {"mean": F.avg, "std": F.stddev_samp, "count": F.count}
     fit = df.filter(train)
-    by = fit.filter(F.col(key).isNotNull()).groupBy(key).agg(*[f(value).alias(f"{value}_{s}_by_{key}") for s, f in stats.items()])
-    whole = fit.agg(*[f(value).alias(f"__{s}") for s, f in stats.items()])
+    known = fit.filter(F.col(key).isNotNull())
+    by = known.groupBy(key).agg(*[f(value).alias(f"{value}_{s}_by_{key}") for s, f in stats.items()])
+    by = by.join(quantiles(known, value, [0.5], [key]).select(F.col(key).alias("__key"), F.col("q")[0].alias(f"{value}_median_by_{key}")), F.col(key) == F.col("__key"), "left").drop("__key")
+    whole = fit.agg(*[f(value).alias(f"__{s}") for s, f in stats.items()]).crossJoin(F.broadcast(quantiles(fit, value, [0.5]).select(F.col("q")[0].alias("__median"))))  # a row each
     out = df.join(by, key, "left").crossJoin(F.broadcast(whole))
     out = out.withColumn(f"{value}_by_{key}_fallback", F.col(f"{value}_count_by_{key}").isNull())
-    names = {s: f"{value}_{s}_by_{key}" for s in stats}
-    return out.withColumns({n: F.coalesce(n, f"__{s}" if s != "count" else F.lit(0)) for s, n in names.items()}).drop(*[f"__{s}" for s in stats])
+    names = {s: f"{value}_{s}_by_{key}" for s in [*stats, "median"]}
+    return out.withColumns({n: F.coalesce(n, f"__{s}" if s != "count" else F.lit(0)) for s, n in names.items()}).drop(*[f"__{s}" for s in names])
 
 
 def distinct_ranks(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from arrearium.functions.scalars import safe_div
 
 from .features import cumulative, quantile_bin, quantile_edges
+from .wide import correlations
 
 
 def score_table(df: DataFrame, score: str, y: str, by: list[str] | None = None) -> DataFrame:
@@ -109,10 +110,8 @@ def univariate(df: DataFrame, features: list[str], y: str) -> DataFrame:
 
 
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, corr of all pairs, in one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*[F.corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("corr")) for k, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+    """a, b, corr of all pairs, by blocks of columns."""
+    return correlations(df, columns)
 
 
 def jaccard(sets: DataFrame, run: str, item: str) -> DataFrame:

@@ -241,9 +241,3 @@ def perturb_to_gini(df: DataFrame, score: str, y: str, key: str, target: float,
         means = base.agg(*[F.avg(p(x)) for x in shifts]).first()
         a, b = max((x for x, m in zip(shifts, means) if m < mean), default=a), min((x for x, m in zip(shifts, means) if m >= mean), default=b)
     return base.withColumn(f"{score}_perturbed", p((a + b) / 2)).drop("__z", "__l")
-
-
-def gates(checks: dict[str, tuple[float, float, float]], spark) -> DataFrame:
-    """name, value, low, high, ok."""
-    rows = [(k, float(v), float(lo), float(hi), lo <= v <= hi) for k, (v, lo, hi) in checks.items()]
-    return spark.createDataFrame(rows, "name string, value double, low double, high double, ok boolean")

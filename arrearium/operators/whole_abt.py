@@ -60,8 +60,9 @@ def split_of_cohort(target: Column, fin_period: Column, first: int, train_last:
     return F.when(labelled & fin_period.between(first, train_last), "train").when(labelled & (fin_period > train_last) & (fin_period <= oot_last), "oot").otherwise("exclude")
 
 
-def assembled(base: DataFrame, transactions: DataFrame, accounts: DataFrame, summary: DataFrame, first: int, train_last: int, oot_last: int) -> DataFrame:
-    """COLUMNS, and summary_period, of all eligible accounts from cohort `first` on, excluded ones included.
+def assembled(base: DataFrame, transactions: DataFrame, accounts: DataFrame, summary: DataFrame | None, first: int, train_last: int, oot_last: int) -> DataFrame:
+    """COLUMNS, and summary_period, of all eligible accounts from cohort `first` on, excluded ones included; without the
+    summary's columns if there is no summary.
 
     Eligible: active in all twelve months, and no write-off up to the observation month. The summary's statistics are
     those of its latest month at or before the observation month.
@@ -81,6 +82,8 @@ def assembled(base: DataFrame, transactions: DataFrame, accounts: DataFrame, sum
         F.when(target == 1, "defaulted").when(target == 0, "closed").otherwise("censored").alias("observation_status"), split_of_cohort(target, fin, first, train_last, oot_last).alias("split"),
         period_of(month_no(fin) + 12).cast("int").alias("obs_period"),
     )
+    if summary is None:
+        return wide
     return as_of_join(wide, summary.select("aid", "period", *SUMMARY), ["aid"], "obs_period", "period", SUMMARY, "summary_period")
 
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -214,6 +215,51 @@ def rank_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return out.withColumns(more).drop("__ranks")
 
 
+#: Columns of a block of the correlation matrix.
+BLOCK = 256
+
+
+def correlations(df: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
+    """a, b, corr of all pairs of columns in their order, over the rows where both have a value; null if one is constant.
+
+    Sums of products are made by blocks of columns with matrix products in the tasks, and added up by block, so the plan
+    is the same for six columns and for two thousand. Values are centred at their means first.
+    """
+    centre = [m[2] or 0.0 for m in moments(df, columns).values()]
+    cuts = list(range(0, len(columns), block))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) - centre
+            known = np.isfinite(x)
+            z, m = np.where(known, x, 0.0), known.astype(float)
+            for i, a in enumerate(cuts):
+                for j, b in enumerate(cuts[i:], i):
+                    za, ma, zb, mb = z[:, a : a + block], m[:, a : a + block], z[:, b : b + block], m[:, b : b + block]
+                    new = np.stack([ma.T @ mb, za.T @ mb, ma.T @ zb, za.T @ zb, (za * za).T @ mb, ma.T @ (zb * zb)])
+                    total[i, j] = total[i, j] + new if (i, j) in total else new
+        if total:
+            yield pa.RecordBatch.from_pydict({"i": [i for i, _ in total], "j": [j for _, j in total], "sums": [v.tobytes() for v in total.values()]}, pa.schema([("i", pa.int32()), ("j", pa.int32()), ("sums", pa.binary())]))
+
+    def finish(part: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
+        na, nb = len(columns[cuts[i] : cuts[i] + block]), len(columns[cuts[j] : cuts[j] + block])
+        n, sa, sb, ab, aa, bb = np.sum([np.frombuffer(s) for s in part["sums"]], axis=0).reshape(6, na, nb)
+        with np.errstate(all="ignore"):
+            va, vb = aa - sa * sa / n, bb - sb * sb / n
+            r = np.where((va > 1e-12 * aa) & (vb > 1e-12 * bb), (ab - sa * sb / n) / np.sqrt(va * vb), np.nan)
+        p, q = np.nonzero(np.triu(np.ones((na, nb)), 1) if i == j else np.ones((na, nb)))
+        return pd.DataFrame({"a": (cuts[i] + p).astype("int32"), "b": (cuts[j] + q).astype("int32"), "corr": r[p, q]})
+
+    packed = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    out = packed.mapInArrow(sums, "i int, j int, sums binary").groupBy("i", "j").applyInPandas(finish, "a int, b int, corr double")
+    names = F.array(*[F.lit(c) for c in columns])
+    return out.select(F.get(names, F.col("a")).alias("a"), F.get(names, F.col("b")).alias("b"), F.when(~F.isnan("corr"), F.col("corr")).alias("corr"))
+
+
 def bins_of(df: DataFrame, specs: Mapping[str, tuple[int, ...]]) -> dict[tuple[str, int], list[float]]:
     """Inner edges of quantile bins, duplicates dropped, for every column and number of bins; one scan."""
     every = sorted({i / q for qs in specs.values() for q in qs for i in range(q + 1)})
@@ -247,3 +293,58 @@ def ratio_columns(df: DataFrame, pairs: Mapping[str, tuple[str, str]], low: floa
     found = profiles(out, list(pairs), [low, high])
     cut = lambda k: F.when(F.col(k).isNotNull(), F.greatest(F.least(F.col(k), F.lit(found[k].quantiles[1])), F.lit(found[k].quantiles[0])))
     return out.withColumns({k: cut(k) for k in pairs if found[k].n})
+
+
+def _window_statistics(x: np.ndarray, months: tuple[int, ...], trends: tuple[int, ...]) -> np.ndarray:
+    """rows x series x statistics of the months of each series (rows x series x months, NaN where missing)."""
+    out: list[np.ndarray] = []
+
+    def at(part: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return np.take_along_axis(part, np.clip(place, 0, part.shape[2] - 1)[:, :, None], axis=2)[:, :, 0]
+
+    with np.errstate(all="ignore"):
+        for n in months:
+            part = x[:, :, :n]
+            known = ~np.isnan(part)
+            count = known.sum(2)
+            mean = np.where(known, part, 0.0).sum(2) / count
+            spread = np.where(known, (part - mean[:, :, None]) ** 2, 0.0).sum(2)
+            ordered = np.sort(part, axis=2)  # missing values last
+            middle = (at(ordered, (count - 1) // 2) + at(ordered, count // 2)) / 2
+            last = at(part, n - 1 - np.argmax(known[:, :, ::-1], axis=2))
+            some = count > 0
+            out += [mean, np.where(count > 1, np.sqrt(spread / (count - 1)), np.nan), *[np.where(some, v, np.nan) for v in (ordered[:, :, 0], at(ordered, count - 1), middle, last)]]
+        known = ~np.isnan(x)
+        out += [at(x, np.argmax(known, axis=2)), at(x, x.shape[2] - 1 - np.argmax(known[:, :, ::-1], axis=2))]
+        for n in trends:
+            part, place = x[:, :, :n], np.arange(1, n + 1) - (n + 1) / 2
+            known = ~np.isnan(part)
+            y = np.where(known, part, 0.0)
+            count = known.sum(2)
+            mean, xy, xs, xx, yy = y.sum(2) / count, (y * place).sum(2), (known * place).sum(2), (known * place**2).sum(2), (y * y).sum(2)
+            slope = (xy - mean * xs) / (n * (n * n - 1) / 12)
+            total = yy - mean * y.sum(2)
+            rest = total - 2 * slope * (xy - mean * xs) + slope * slope * xx
+            out += [slope, mean - slope * (n + 1) / 2, np.where(total > 1e-12, 1 - rest / total, np.nan)]
+    return np.stack(out, axis=2)
+
+
+def window_columns(df: DataFrame, key: str, series: list[str], months: tuple[int, ...] = (3, 6, 9, 12), trends: tuple[int, ...] = (3, 6, 12), width: int = 12) -> DataFrame:
+    """key with mean, std, min, max, median and last of months 1..L, first and last value, and slope, intercept and r2 of
+    every series, from its columns <series>_m1 .. _m<width>.
+
+    All statistics of a batch of accounts are array operations in the task, so the plan holds one array, not a term for
+    each statistic. Missing months count as in `features.rolling` and `features.trend`.
+    """
+    names = [f"{m}_{n}" for n in months for m in ("mean", "std", "min", "max", "median", "last")] + ["first_value", "last_value"] + [f"{m}_{n}" for n in trends for m in ("slope", "intercept", "r2")]
+    packed = df.select(key, F.array(*[F.coalesce(F.col(f"{s}_m{m}").cast("double"), F.lit(float("nan"))) for s in series for m in range(1, width + 1)]).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            made = _window_statistics(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, len(series), width), months, trends).reshape(n, len(series) * len(names))
+            flat = pa.array(made.ravel(), pa.float64(), mask=np.isnan(made).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * made.shape[1], flat)], names=[key, "v"])
+
+    out = packed.mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, v array<double>")
+    return out.select(key, *[F.col("v")[i].alias(f"{s}_{name}") for i, (s, name) in enumerate((s, name) for s in series for name in names)])

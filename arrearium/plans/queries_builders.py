@@ -34,12 +34,12 @@ def ledger_window(spark: SparkSession, sf: str) -> DataFrame:
     return back.groupBy("period").agg(F.count("*").alias("n"), F.count_distinct("aid").alias("n_accounts"), F.sum(F.length("action")).alias("n_digits"))
 
 
-@query(f"{WITH} SELECT period, aid::VARCHAR AS aid, status, due_installments, paid_installments, pay_days FROM panel WHERE period <= 199312")
+@query(f"{WITH} SELECT period, aid::VARCHAR AS aid, status, due_installments, paid_installments, pay_days FROM panel")
 def typed_transactions(spark: SparkSession, sf: str) -> DataFrame:
     """Transactions written as CSV and read by their declared schema."""
     path = f"{shared_folder(spark)}/transactions-{uuid.uuid4().hex}"
     names = tables.SCHEMAS["transactions"].names
-    derived.panel(spark, sf).filter("period <= 199312").select(*names).write.csv(path, header=True)
+    derived.panel(spark, sf).select(*names).write.csv(path, header=True)
     df = tables.require_columns(tables.load_table(spark, path, "transactions", "csv"), names)
     return df.select("period", "aid", "status", "due_installments", "paid_installments", "pay_days")
 
@@ -130,7 +130,7 @@ def enriched_panel(spark: SparkSession, sf: str) -> DataFrame:
     return panel.enrich(t, panel.production(derived.accounts(spark, sf), derived.clients(spark, sf))).select("aid", "period", "due_installments", "income", "city")
 
 
-@query(f"{WITH} SELECT aid, period, status FROM panel WHERE period <= 199701 AND aid IN (SELECT aid FROM panel WHERE period = 199701 AND status = 1)")
+@query(f"{WITH}, ids AS MATERIALIZED (SELECT DISTINCT aid FROM panel WHERE period = 199701 AND status = 1) SELECT p.aid, period, p.status FROM panel p JOIN ids USING (aid) WHERE period <= 199701")
 def active_accounts(spark: SparkSession, sf: str) -> DataFrame:
     return panel.active_history(derived.panel(spark, sf), 199701).select("aid", "period", "status")
 

@@ -137,12 +137,9 @@ _GRID = f"""sc AS (SELECT pd_mult, strategy, cof, acq, lgd FROM (SELECT unnest({
 def stress_grid(spark: SparkSession, sf: str) -> DataFrame:
     """576 scenarios with totals and the profit-optimal cut-off of each.
 
-    Economics are proportional to the loan, so accounts of one score and tenor are summed before they meet the scenarios.
+    Profit is linear in all parameters but the stress of the PD and the price, so accounts meet 16 scenarios, not 576.
     """
-    pooled = derived.scores(spark, sf).groupBy("score", "n_installments").agg(F.sum("loan_amount").alias("loan_amount"), F.count("*").alias("cnt"))
-    rows = cutoffs.scenario_rows(pooled, cutoffs.grid(spark, **_AXES, **_BASE))
-    rows = rows.withColumn("Expected_Profit", F.col("LT_margin") - F.col("LT_EL") - F.col("acq") * F.col("cnt"))
-    out = cutoffs.optimal_cutoffs(rows, list(_AXES), count="cnt")
+    out = cutoffs.linear_grid(derived.scores(spark, sf), {**_AXES, "op": _BASE["op"]}, _BASE["disc"][0])
     return out.select(*_AXES, "n", F.round("total_profit", 0).alias("total_profit"), F.round("approve_pct", 4).alias("approve_pct"), "category")
 
 
@@ -156,9 +153,8 @@ _CELLS = {"strategy": ["tiered", "flat12", "flat18", "flat24", "flat30"], "lgd":
   SELECT strategy, lgd, disc, op, round(avg(el), 4) AS mean_LT_EL, round(avg(margin), 4) AS mean_LT_margin, round(avg(margin - el), 4) AS mean_profit, round(avg((margin - el > 0)::INT), 4) AS share_positive FROM ce GROUP BY ALL""")
 def sensitivity_grid(spark: SparkSession, sf: str) -> DataFrame:
     """150 cells of price, loss, discount and running cost: mean economics of each."""
-    axes = {"pd_mult": [1.0], "cof": [0.0], "acq": [0.0], **_CELLS}
-    rows = cutoffs.scenario_rows(derived.scores(spark, sf), cutoffs.grid(spark, **axes))
-    return rounded(cutoffs.grid_means(rows, ["strategy", "lgd", "disc", "op"]), 4)
+    out = cutoffs.linear_means(derived.scores(spark, sf), _CELLS["strategy"], _CELLS["lgd"], _CELLS["disc"], _CELLS["op"])
+    return rounded(out, 4)
 
 
 _SHARES = [50, 60, 70, 80, 90, 100]

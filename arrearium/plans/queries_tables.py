@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from arrearium.functions import periods
-from arrearium.operators import audits, features, metrics
+from arrearium.operators import audits, features, metrics, wide
 from arrearium.sources.derived import table
 from arrearium.streaming.month_close import event_counts
 
@@ -66,7 +66,7 @@ def quantile_one_hot(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice / nullif(l_quantity, 0) AS r FROM lineitem), p AS (SELECT quantile_cont(r, [0.01, 0.99]) AS p FROM r) SELECT l_orderkey, l_linenumber, round(greatest(least(r, p[2]), p[1]), 8) AS unit_price FROM r, p")
 def clipped_ratios(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    return rounded(features.ratios(df, {"unit_price": ("l_extendedprice", "l_quantity")}).select("l_orderkey", "l_linenumber", "unit_price"), 8)
+    return rounded(wide.ratio_columns(df, {"unit_price": ("l_extendedprice", "l_quantity")}).select("l_orderkey", "l_linenumber", "unit_price"), 8)
 
 
 @query("WITH c AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS code, o_totalprice FROM orders) SELECT o_orderkey, code, round(code * o_totalprice, 2) AS code_x_price, round(o_totalprice * o_totalprice, 1) AS price_squared FROM c")

@@ -114,6 +114,37 @@ def factory_at_width(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.select(cells).groupBy("e.feature").agg(F.count("e.x").alias("n"), F.sum("e.x").alias("total"), F.max("e.x").alias("most")), 4)
 
 
+_WINDOWED = ["act_due", "act_utl", "act_dueinc", "act_days", "act_cus_utl", "act_cus_n_loans_hist"]
+
+
+def _windows_sql() -> str:
+    out = []
+    for s in _WINDOWED:
+        for n in (3, 6, 9, 12):
+            f = f"FILTER (m <= {n})"
+            out += [f"round({e} {f}, 5) AS {s}_{name}_{n}" for name, e in {"mean": f"avg({s})", "std": f"stddev_samp({s})", "min": f"min({s})::DOUBLE", "max": f"max({s})::DOUBLE", "median": f"quantile_cont({s}::DOUBLE, 0.5)", "last": f"max_by({s}, m)"}.items()]
+        out += [f"round(min_by({s}, m), 5) AS {s}_first_value", f"round(max_by({s}, m), 5) AS {s}_last_value"]
+        for n in (3, 6, 12):
+            f = f"FILTER (m <= {n})"
+            out += [f"round(regr_slope({s}, m) {f}, 5) AS {s}_slope_{n}", f"round(regr_intercept({s}, m) {f}, 5) AS {s}_intercept_{n}", f"round(CASE WHEN var_pop({s}) {f} * {n} > 1e-12 THEN regr_r2({s}, m) {f} END, 5) AS {s}_r2_{n}"]
+    return ", ".join(out)
+
+
+@query(f"{WITH}, {_BASE_SQL}, {_PIVOT_SQL} SELECT aid, {_windows_sql()} FROM bm JOIN (SELECT aid FROM wp) USING (aid) WHERE m BETWEEN 1 AND 12 GROUP BY aid")
+def window_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Rolling and trend statistics of six series: 210 features of every account."""
+    return rounded(wide.window_columns(_months_rows(spark, sf), "aid", _WINDOWED), 5)
+
+
+@query()
+def windows_at_width(spark: SparkSession, sf: str) -> DataFrame:
+    """Rolling and trend statistics of all 17 series (595 features), summed up by feature."""
+    rows = wide.window_columns(_months_rows(spark, sf), "aid", whole_abt.SERIES)
+    made = [c for c in rows.columns if c != "aid"]
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in made])).alias("e")
+    return rounded(rows.select(cells).groupBy("e.feature").agg(F.count("e.x").alias("n"), F.sum("e.x").alias("total"), F.max("e.x").alias("most")), 4)
+
+
 _BINNED = {f"{s}_m{m}": (10, 4) if s in ("act_cc", "act_loaninc", "act_days") else (10,) for s in ("act_cc", "act_loaninc", "act_days", "act_utl", "act_dueinc", "act_cus_utl", "act_cus_cc", "act_due", "coll_status") for m in (2, 6, 12)}
 
 

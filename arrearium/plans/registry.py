@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 Build = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Build, str | None]] = {}
-_MODULES = ("queries_panel", "queries_scores", "queries_tables", "queries_builders", "queries_models", "queries_wide")
+_MODULES = ("queries_panel", "queries_scores", "queries_tables", "queries_builders", "queries_models", "queries_wide", "queries_factory")
 
 
 def query(sql: str | None = None) -> Callable[[Build], Build]:
