@@ -319,13 +319,13 @@ def _window_statistics(x: np.ndarray, months: tuple[int, ...], trends: tuple[int
         for n in trends:
             part, place = x[:, :, :n], np.arange(1, n + 1) - (n + 1) / 2
             known = ~np.isnan(part)
-            y = np.where(known, part, 0.0)
             count = known.sum(2)
-            mean, xy, xs, xx, yy = y.sum(2) / count, (y * place).sum(2), (known * place).sum(2), (known * place**2).sum(2), (y * y).sum(2)
-            slope = (xy - mean * xs) / (n * (n * n - 1) / 12)
-            total = yy - mean * y.sum(2)
-            rest = total - 2 * slope * (xy - mean * xs) + slope * slope * xx
-            out += [slope, mean - slope * (n + 1) / 2, np.where(total > 1e-12, 1 - rest / total, np.nan)]
+            mean = np.where(known, part, 0.0).sum(2) / count
+            d = np.where(known, part - mean[:, :, None], 0.0)
+            xy, xx, total = (d * place).sum(2), (known * place**2).sum(2), (d * d).sum(2)
+            slope = xy / (n * (n * n - 1) / 12)
+            rest = total - 2 * slope * xy + slope * slope * xx
+            out += [np.where(count > 0, slope, np.nan), mean - slope * (n + 1) / 2, np.where(total > 1e-12, 1 - rest / total, np.nan)]
     return np.stack(out, axis=2)
 
 

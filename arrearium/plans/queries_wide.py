@@ -121,16 +121,21 @@ def _windows_sql() -> str:
     out = []
     for s in _WINDOWED:
         for n in (3, 6, 9, 12):
-            f = f"FILTER (m <= {n})"
-            out += [f"round({e} {f}, 5) AS {s}_{name}_{n}" for name, e in {"mean": f"avg({s})", "std": f"stddev_samp({s})", "min": f"min({s})::DOUBLE", "max": f"max({s})::DOUBLE", "median": f"quantile_cont({s}::DOUBLE, 0.5)", "last": f"max_by({s}, m)"}.items()]
-        out += [f"round(min_by({s}, m), 5) AS {s}_first_value", f"round(max_by({s}, m), 5) AS {s}_last_value"]
+            x = f"l_{s}[1:{n}]"
+            out += [f"round(list_aggregate({x}, '{e}'), 5) AS {s}_{name}_{n}" for name, e in {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max", "median": "median"}.items()] + [f"round(l_{s}[{n}], 5) AS {s}_last_{n}"]
+        out += [f"round(l_{s}[1], 5) AS {s}_first_value", f"round(l_{s}[12], 5) AS {s}_last_value"]
         for n in (3, 6, 12):
-            f = f"FILTER (m <= {n})"
-            out += [f"round(regr_slope({s}, m) {f}, 5) AS {s}_slope_{n}", f"round(regr_intercept({s}, m) {f}, 5) AS {s}_intercept_{n}", f"round(CASE WHEN var_pop({s}) {f} * {n} > 1e-12 THEN regr_r2({s}, m) {f} END, 5) AS {s}_r2_{n}"]
+            x, spread, centre = f"l_{s}[1:{n}]", n * (n * n - 1) / 12, (n + 1) / 2
+            slope = f"list_dot_product({x}, [{', '.join(str(m - centre) for m in range(1, n + 1))}]) / {spread}"
+            total = f"(list_aggregate({x}, 'var_pop') * {n})"
+            out += [f"round({slope}, 5) AS {s}_slope_{n}", f"round(list_aggregate({x}, 'avg') - {slope} * {centre}, 5) AS {s}_intercept_{n}", f"round(CASE WHEN {total} > 1e-12 THEN ({slope}) ** 2 * {spread} / {total} END, 5) AS {s}_r2_{n}"]
     return ", ".join(out)
 
 
-@query(f"{WITH}, {_BASE_SQL}, {_PIVOT_SQL} SELECT aid, {_windows_sql()} FROM bm JOIN (SELECT aid FROM wp) USING (aid) WHERE m BETWEEN 1 AND 12 GROUP BY aid")
+_LISTS_SQL = f"wl AS (SELECT aid, {', '.join(f'list({s}::DOUBLE ORDER BY m) AS l_{s}' for s in _WINDOWED)} FROM bm JOIN (SELECT aid FROM wp) USING (aid) WHERE m BETWEEN 1 AND 12 GROUP BY aid)"
+
+
+@query(f"{WITH}, {_BASE_SQL}, {_PIVOT_SQL}, {_LISTS_SQL} SELECT aid, {_windows_sql()} FROM wl")
 def window_columns(spark: SparkSession, sf: str) -> DataFrame:
     """Rolling and trend statistics of six series: 210 features of every account."""
     return rounded(wide.window_columns(_months_rows(spark, sf), "aid", _WINDOWED), 5)

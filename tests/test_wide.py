@@ -226,3 +226,20 @@ def test_batched_fits(spark):
     assert p == pytest.approx(1 / (1 + np.exp(-(fits[0].intercept + s @ b))))
     loss, whole = batch_fits.lasso_path_cv(df, names, "y", F.col("id") % 4, 4, [0.001, 0.02, 1.0])
     assert loss[0.001] < loss[1.0] and len(whole) == 3 and {"a", "b"} <= set(whole[0].selected())
+
+
+def test_window_columns_are_rolling_and_trend(spark):
+    """The array form against the operators that work on terms, with months missing."""
+    from arrearium.operators import features
+
+    draw = random.Random(7)
+    cells = {(i, m): None if draw.random() < 0.25 or i == 5 else round(draw.gauss(2, 3), 1) for i in range(60) for m in range(1, 13)}
+    long = spark.createDataFrame([(i, m, v) for (i, m), v in cells.items()], "aid long, m int, x double")
+    flat = spark.createDataFrame([(i, *[cells[i, m] for m in range(1, 13)]) for i in range(60)], "aid long, " + ", ".join(f"x_m{m} double" for m in range(1, 13)))
+    got = {r.aid: r for r in wide.window_columns(flat, "aid", ["x"]).collect()}
+    for made in (features.rolling(long, {"x": "x"}), features.trend(long, {"x": "x"})):
+        for r in made.collect():
+            for c in made.columns:
+                want = r[c]
+                assert got[r.aid][c] == (None if want is None else pytest.approx(want, abs=1e-9)), (c, r.aid)
+    assert len(got[0]) == 36
