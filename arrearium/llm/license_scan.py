@@ -1,10 +1,10 @@
 """License scans: a positional rare-token index over licence notices.
 
-Every notice becomes postings (word, template, position). A file's words that occur in the index are
-looked up; each of them proposes alignments (template, file position - template position); the
-postings of all its licence words are intersected at those alignments; an alignment counts when its
-IDF-weighted coverage is high enough and every word of the template's mandatory key phrase stands in place.
-No alignment is dropped before that, so a notice is found whatever else stands in its file.
+Every notice becomes postings (word, template, position). Its rarest words nominate alignments (template, file
+position - template position): those of highest IDF, as many as weigh together more than an alignment may lack, so
+that whatever reaches the coverage holds one of them, whatever else stands in its file. The postings of all licence
+words are intersected at nominated alignments only; one counts when its IDF-weighted coverage is high enough and
+every word of the template's mandatory key phrase stands in place.
 
 Document frequencies are counted over the whole table. One pass tokenizes (inside the row, built-in
 functions only) and leaves just the licence words with their positions; that small table is made durable
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from .common import durable, let, lower_ascii
 
@@ -72,6 +73,15 @@ def postings(templates: list[tuple[str, str, str]] = TEMPLATES) -> list[tuple[st
     return rows
 
 
+def rare_postings(weighed: DataFrame, totals: DataFrame, coverage: float) -> DataFrame:
+    """The rarest postings of each template, until what they weigh together is more than an alignment may lack.
+
+    An alignment that reaches the coverage isn't without all of them. Ties in weight go by position.
+    """
+    before = F.coalesce(F.sum("idf").over(W.partitionBy("t").orderBy(F.desc("idf"), "tpos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    return weighed.withColumn("__before", before).join(totals, "t").filter(F.col("__before") <= F.col("whole") * (1 - coverage + 1e-9))
+
+
 def license_scan(
     docs: DataFrame,
     templates: list[tuple[str, str, str]] = TEMPLATES,
@@ -123,14 +133,17 @@ def license_scan(
     idf = idf.select("word", F.log((F.lit(n_docs) + 1.0) / F.col("df")).alias("idf"))
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("t", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("tpos", T.IntegerType()), T.StructField("is_key", T.BooleanType())])
     posts = spark.createDataFrame(index, schema)
-    weighed = F.broadcast(idf)
     # A word that no document has weighs as much as one that a single document has.
-    most = F.log(F.lit(n_docs) + 1.0)
-    totals = posts.join(weighed, "word", "left").groupBy("t").agg(F.sum(F.coalesce("idf", most)).alias("whole"), F.sum(F.col("is_key").cast("int")).alias("n_keys"))
+    weighed = durable(posts.join(F.broadcast(idf), "word", "left").withColumn("idf", F.coalesce("idf", F.log(F.lit(n_docs) + 1.0))))
+    totals = weighed.groupBy("t").agg(F.sum("idf").alias("whole"), F.sum(F.col("is_key").cast("int")).alias("n_keys"))
+    rare = rare_postings(weighed, totals, coverage)
+    start = (F.col("pos") - F.col("tpos")).alias("start")
+    nominated = hits.join(F.broadcast(rare.select("word", "t", "tpos")), "word").select("__row", "t", start).distinct()
     aligned = (
-        hits.join(weighed, "word")
-        .join(F.broadcast(posts), "word")
-        .groupBy("__row", "t", "label", (F.col("pos") - F.col("tpos")).alias("start"))
+        hits.join(F.broadcast(weighed), "word")
+        .select("__row", "t", "label", start, "idf", "is_key")
+        .join(nominated, ["__row", "t", "start"], "left_semi")
+        .groupBy("__row", "t", "label", "start")
         .agg(F.sum("idf").alias("found"), F.sum(F.col("is_key").cast("int")).alias("keys"))
         .join(F.broadcast(totals), "t")
         .withColumn("coverage", F.col("found") / F.col("whole"))
