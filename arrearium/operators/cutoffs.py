@@ -58,27 +58,29 @@ def optimal_cutoffs(rows: DataFrame, by: list[str], pd_: str = "pd_stressed", pr
 LINEAR = ("cof", "acq", "lgd", "op")
 
 
-def linear_grid(accounts: DataFrame, axes: Mapping[str, list], disc: float = 0.05, score: str = "score", fixed_cutoffs: Mapping[tuple[float, str], float] | None = None) -> DataFrame:
+def linear_grid(accounts: DataFrame, axes: Mapping[str, list], disc: float = 0.05, score: str = "score", fixed_cutoffs: Mapping[tuple[float, str], float] | None = None, shares: bool = True) -> DataFrame:
     """Totals and profit-optimal cut-off of every cell of pd_mult x strategy x cof x acq x lgd x op.
 
     Only pd_mult and strategy change an account's hazard and balance: accounts are ranged by stressed PD once for each
     pair of them, and the other axes are columns of one running sum. So rows don't grow with the cells, and continuous
-    scores need no pooling. With `fixed_cutoffs` (by pd_mult and strategy) the profit and share up to these PDs are added.
+    scores need no pooling. With `fixed_cutoffs` (by pd_mult and strategy) the profit and share up to these PDs are added. Without
+    `shares` there is no share of profitable accounts, and accounts of one score and tenor are summed first.
     """
     pairs = list(product(axes["pd_mult"], axes["strategy"]))
     cells = np.array(list(product(*[axes[k] for k in LINEAR])), dtype=float)
     cof, acq, lgd, op = (cells[:, i][None, :] for i in range(4))
     small = accounts.sparkSession.createDataFrame([(i, float(m), str(s)) for i, (m, s) in enumerate(pairs)], "g int, pd_mult double, strategy string")
-    rows = accounts.select(F.col(score).cast("double").alias("score"), F.col("loan_amount").cast("double").alias("loan"), F.col("n_installments").alias("n")).crossJoin(F.broadcast(small))
+    rows = accounts.select(F.col(score).cast("double").alias("score"), F.col("loan_amount").cast("double").alias("loan"), F.col("n_installments").alias("n"), F.lit(1.0).alias("k"))
+    rows = (rows if shares else rows.groupBy("score", "n").agg(F.sum("loan").alias("loan"), F.sum("k").alias("k"))).crossJoin(F.broadcast(small))
     rows = rows.withColumn("p", F.least(F.col("score") * F.col("pd_mult"), F.lit(0.999))).withColumn("apr", strategy_apr(F.col("score"), F.col("strategy")))
-    rows = rows.withColumns(exposure(F.col("p"), F.col("loan"), F.col("n"), F.col("apr"), F.lit(disc))).select("g", "p", "apr", "balance", (F.col("hazard") * F.col("balance")).alias("lost"), "instalment_base")
+    rows = rows.withColumns(exposure(F.col("p"), F.col("loan"), F.col("n"), F.col("apr"), F.lit(disc))).select("g", "p", "k", "apr", "balance", (F.col("hazard") * F.col("balance")).alias("lost"), "instalment_base")
     limits = {i: fixed_cutoffs[m, s] for i, (m, s) in enumerate(pairs)} if fixed_cutoffs else {}
 
     def make(g: int, x: Mapping[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        balance, lost, base = x["balance"][:, None], x["lost"][:, None], x["instalment_base"][:, None]
-        profit = np.maximum(x["apr"][:, None] - cof, 0.0) / 12 * balance - op * base - lgd * lost - acq
+        balance, lost, base, k = x["balance"][:, None], x["lost"][:, None], x["instalment_base"][:, None], x["k"][:, None]
+        profit = np.maximum(x["apr"][:, None] - cof, 0.0) / 12 * balance - op * base - lgd * lost - acq * k
         inside = (x["p"] <= limits.get(g, -1.0))[:, None]
-        return np.ones_like(profit), profit, [(profit > 0).sum(0).astype(float), (profit * inside).sum(0), np.full(len(cells), float(inside.sum()))]
+        return np.broadcast_to(k, profit.shape), profit, [(profit > 0).sum(0).astype(float), (profit * inside).sum(0), np.full(len(cells), float((k * inside).sum()))]
 
     out = []
     for g, b in best_prefixes(rows, "g", "p", make, len(cells), 3).items():
@@ -86,7 +88,7 @@ def linear_grid(accounts: DataFrame, axes: Mapping[str, list], disc: float = 0.0
             pct = 100 * b.best_n[k] / b.n[k]
             category = "approve_all" if pct >= 99 else "interior" if pct >= 50 else "reject_most"
             more = (float(b.extras[1][k]), float(100 * b.extras[2][k] / b.n[k])) if limits else (None, None)
-            out.append((float(pairs[g][0]), pairs[g][1], *map(float, cell), int(b.n[k]), float(b.total[k]), float(b.total[k] / b.n[k]), float(b.extras[0][k] / b.n[k]), float(b.best_at[k]), float(pct), float(b.best[k]), category, *more))
+            out.append((float(pairs[g][0]), pairs[g][1], *map(float, cell), int(b.n[k]), float(b.total[k]), float(b.total[k] / b.n[k]), float(b.extras[0][k] / b.n[k]) if shares else None, float(b.best_at[k]), float(pct), float(b.best[k]), category, *more))
     schema = "pd_mult double, strategy string, cof double, acq double, lgd double, op double, n bigint, total_profit double, mean_profit double, share_positive double, cutoff_pd double, approve_pct double, max_profit double, category string, profit_at_fixed double, approve_pct_fixed double"
     return accounts.sparkSession.createDataFrame(out, schema)  # one row a cell
 

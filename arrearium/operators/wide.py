@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arrearium.functions.scalars import log1p_pos, safe_div, sqrt_pos
+from arrearium.functions.scalars import safe_div
 from arrearium.sources.shared import durable
 
 from .features import cumulative
@@ -177,42 +177,60 @@ def long_ranks(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return parts.mapInArrow(rank, f"`{key}` {dict(parts.dtypes)[key]}, c int, rank double")
 
 
-def rank_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """`df` with <column>_rank, _pct, _z, _log1p and _sqrt of every column: average ranks, (rank - 1) / (rows - 1), z-scores.
+TRANSFORMS = ("rank", "pct", "z", "log1p", "sqrt")
+
+
+def rank_arrays(df: DataFrame, key: str, columns: list[str], out: str = "features") -> tuple[DataFrame, list[str]]:
+    """`df` with one array of <column>_rank, _pct, _z, _log1p and _sqrt of every column, and the names of its elements.
 
-    Columns with few distinct values are ranked in the row from a table of LEVELS numbers or so; the others by one ranged
-    sort of all of them, whose ranks come back by key in one aggregate. `key` has to be unique.
+    Average ranks, (rank - 1) / (rows - 1), z-scores (0 for a constant), logs and roots, for which negative and
+    missing values count as 0. Columns with few distinct values are ranked by a table of LEVELS numbers or so; the others by one
+    ranged sort of all of them, whose ranks come back by key in one aggregate. The rest is arithmetic on a batch's matrix
+    in the task, so that the plan doesn't grow with the columns. `key` has to be unique.
     """
     known = moments(df, columns)
-    few = [c for c in columns if known[c][1] <= LEVELS]
-    many = [c for c in columns if c not in few]
-    levels = level_ranks(df, few) if few else {}
-    total = df.count()
-    out = df
+    many = [c for c in columns if known[c][1] > LEVELS]
+    levels = level_ranks(df, [c for c in columns if c not in many])
+    tables = {columns.index(c): (np.array(v), np.array(r)) for c, (v, r) in levels.items() if v}
+    total, place = df.count(), np.array([columns.index(c) for c in many], dtype=int)
+    mean, std = (np.array([x if x is not None else 0.0 for x in col]) for col in zip(*[known[c][2:] for c in columns]))
+    rows = df.withColumn("__x", F.array(*[F.col(c).cast("double") for c in columns]))
     if many:
-        cells = long_ranks(df, key, many).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("c", "rank"))).alias("__ranks"))
-        out = df.join(cells, key, "left")
+        cells = long_ranks(df, key, many).groupBy(key).agg(F.collect_list(F.struct("c", "rank")).alias("__r"))
+        rows = rows.join(cells, key, "left").withColumns({"__c": F.coalesce("__r.c", F.array().cast("array<int>")), "__rank": F.coalesce("__r.rank", F.array().cast("array<double>"))}).drop("__r")
+    kept, own = [f"`{c}` {kind}" for c, kind in df.dtypes], df.columns
 
-    def rank(c: str) -> Column:
-        x = F.col(c).cast("double")
-        if c in levels:
-            values, ranks = levels[c]
-            if not values:
-                return F.lit(None).cast("double")
-            return F.get(F.array(*[F.lit(float(r)) for r in ranks]), F.array_position(F.array(*[F.lit(float(v)) for v in values]), x + 0.0).cast("int") - 1)
-        return F.col("__ranks")[many.index(c)]
-
-    def z(c: str) -> Column:
-        _, _, mean, std = known[c]
-        x = F.col(c).cast("double")
-        return F.when(x.isNotNull(), (x - mean) / std if std and std > 0 else F.lit(0.0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            x = batch.column("__x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1) + 0.0
+            v = np.full((n, x.shape[1], 5), np.nan)
+            for j, (values, ranks) in tables.items():
+                v[:, j, 0] = np.where(np.isnan(x[:, j]), np.nan, ranks[np.minimum(np.searchsorted(values, x[:, j]), len(values) - 1)])
+            if many:
+                c, rank = batch.column("__c"), batch.column("__rank")
+                row = np.repeat(np.arange(n), c.value_lengths().to_numpy(zero_copy_only=False))
+                v[row, place[c.flatten().to_numpy()], 0] = rank.flatten().to_numpy(zero_copy_only=False)
+            v[:, :, 1] = (v[:, :, 0] - 1) / max(total - 1, 1)
+            v[:, :, 2] = np.where(std > 0, (x - mean) / np.where(std > 0, std, 1.0), np.where(np.isnan(x), np.nan, 0.0))
+            above = np.where(x > 0, x, 0.0)
+            v[:, :, 3], v[:, :, 4] = np.log1p(above), np.sqrt(above)
+            made = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * v[0].size if n else np.zeros(1, np.int32), pa.array(v.ravel(), pa.float64(), mask=np.isnan(v).ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(kept))], made], names=[*own, out])
+
+    return rows.mapInArrow(run, f"{', '.join(kept)}, `{out}` array<double>"), [f"{c}_{t}" for c in columns for t in TRANSFORMS]
 
-    out = out.withColumns({f"{c}_rank": rank(c) for c in columns})
-    more = {}
-    for c in columns:
-        x = F.col(c).cast("double")
-        more |= {f"{c}_pct": (F.col(f"{c}_rank") - 1) / max(total - 1, 1), f"{c}_z": z(c), f"{c}_log1p": log1p_pos(x), f"{c}_sqrt": sqrt_pos(x)}
-    return out.withColumns(more).drop("__ranks")
+
+def rank_columns(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """`df` with the five columns of `rank_arrays` for every column."""
+    made, names = rank_arrays(df, key, columns, "__features")
+    return made.select(*df.columns, *[F.col("__features")[i].alias(c) for i, c in enumerate(names)])
+
+
+def summary(arrays: DataFrame, names: list[str], column: str = "features") -> DataFrame:
+    """feature, n, total, most of every element of an array column."""
+    cells = arrays.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.count("x").alias("n"), F.sum("x").alias("total"), F.max("x").alias("most"))
+    return cells.select(F.get(F.array(*[F.lit(c) for c in names]), F.col("i")).alias("feature"), "n", "total", "most")
 
 
 #: Columns of a block of the correlation matrix.
@@ -329,9 +347,9 @@ def _window_statistics(x: np.ndarray, months: tuple[int, ...], trends: tuple[int
     return np.stack(out, axis=2)
 
 
-def window_columns(df: DataFrame, key: str, series: list[str], months: tuple[int, ...] = (3, 6, 9, 12), trends: tuple[int, ...] = (3, 6, 12), width: int = 12) -> DataFrame:
-    """key with mean, std, min, max, median and last of months 1..L, first and last value, and slope, intercept and r2 of
-    every series, from its columns <series>_m1 .. _m<width>.
+def window_arrays(df: DataFrame, key: str, series: list[str], months: tuple[int, ...] = (3, 6, 9, 12), trends: tuple[int, ...] = (3, 6, 12), width: int = 12, out: str = "features") -> tuple[DataFrame, list[str]]:
+    """key with one array of mean, std, min, max, median and last of months 1..L, first and last value, and slope,
+    intercept and r2 of every series, from its columns <series>_m1 .. _m<width>; and the names of its elements.
 
     All statistics of a batch of accounts are array operations in the task, so the plan holds one array, not a term for
     each statistic. Missing months count as in `features.rolling` and `features.trend`.
@@ -344,7 +362,12 @@ def window_columns(df: DataFrame, key: str, series: list[str], months: tuple[int
             n = batch.num_rows
             made = _window_statistics(batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, len(series), width), months, trends).reshape(n, len(series) * len(names))
             flat = pa.array(made.ravel(), pa.float64(), mask=np.isnan(made).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * made.shape[1], flat)], names=[key, "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * made.shape[1], flat)], names=[key, out])
+
+    return packed.mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, `{out}` array<double>"), [f"{s}_{name}" for s in series for name in names]
 
-    out = packed.mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, v array<double>")
-    return out.select(key, *[F.col("v")[i].alias(f"{s}_{name}") for i, (s, name) in enumerate((s, name) for s in series for name in names)])
+
+def window_columns(df: DataFrame, key: str, series: list[str], months: tuple[int, ...] = (3, 6, 9, 12), trends: tuple[int, ...] = (3, 6, 12), width: int = 12) -> DataFrame:
+    """key with a column for each element of `window_arrays`."""
+    made, names = window_arrays(df, key, series, months, trends, width, "__features")
+    return made.select(key, *[F.col("__features")[i].alias(c) for i, c in enumerate(names)])

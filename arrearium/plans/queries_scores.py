@@ -139,7 +139,7 @@ def stress_grid(spark: SparkSession, sf: str) -> DataFrame:
 
     Profit is linear in all parameters but the stress of the PD and the price, so accounts meet 16 scenarios, not 576.
     """
-    out = cutoffs.linear_grid(derived.scores(spark, sf), {**_AXES, "op": _BASE["op"]}, _BASE["disc"][0])
+    out = cutoffs.linear_grid(derived.scores(spark, sf), {**_AXES, "op": _BASE["op"]}, _BASE["disc"][0], shares=False)
     return out.select(*_AXES, "n", F.round("total_profit", 0).alias("total_profit"), F.round("approve_pct", 4).alias("approve_pct"), "category")
 
 

@@ -108,10 +108,7 @@ def transform_columns(spark: SparkSession, sf: str) -> DataFrame:
 def factory_at_width(spark: SparkSession, sf: str) -> DataFrame:
     """All 204 monthly columns ranked and transformed (1,020 features), summed up by feature."""
     columns = [f"{s}_m{m}" for s in whole_abt.SERIES for m in whole_abt.MONTHS]
-    made = [f"{c}_{t}" for c in columns for t in ("rank", "pct", "z", "log1p", "sqrt")]
-    rows = wide.rank_columns(_months_rows(spark, sf), "aid", columns).select(*made)
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in made])).alias("e")
-    return rounded(rows.select(cells).groupBy("e.feature").agg(F.count("e.x").alias("n"), F.sum("e.x").alias("total"), F.max("e.x").alias("most")), 4)
+    return rounded(wide.summary(*wide.rank_arrays(_months_rows(spark, sf), "aid", columns)), 4)
 
 
 _WINDOWED = ["act_due", "act_utl", "act_dueinc", "act_days", "act_cus_utl", "act_cus_n_loans_hist"]
@@ -144,10 +141,7 @@ def window_columns(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def windows_at_width(spark: SparkSession, sf: str) -> DataFrame:
     """Rolling and trend statistics of all 17 series (595 features), summed up by feature."""
-    rows = wide.window_columns(_months_rows(spark, sf), "aid", whole_abt.SERIES)
-    made = [c for c in rows.columns if c != "aid"]
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in made])).alias("e")
-    return rounded(rows.select(cells).groupBy("e.feature").agg(F.count("e.x").alias("n"), F.sum("e.x").alias("total"), F.max("e.x").alias("most")), 4)
+    return rounded(wide.summary(*wide.window_arrays(_months_rows(spark, sf), "aid", whole_abt.SERIES)), 4)
 
 
 _BINNED = {f"{s}_m{m}": (10, 4) if s in ("act_cc", "act_loaninc", "act_days") else (10,) for s in ("act_cc", "act_loaninc", "act_days", "act_utl", "act_dueinc", "act_cus_utl", "act_cus_cc", "act_due", "coll_status") for m in (2, 6, 12)}
