@@ -241,4 +241,4 @@ def test_chat_layouts(spark):
 
 
 def test_sql_names():
-    assert set(ORACLE_SQL) <= set(QUERIES) and {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11))
+    assert set(ORACLE_SQL) <= set(QUERIES) and {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14))
