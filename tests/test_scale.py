@@ -40,3 +40,12 @@ def test_trailing_shuffles_accounts_only(spark, sf):
         assert {tuple(r) for r in registry.queries()["trailing_windows"](spark, sf).collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_base_and_wide_tables_shuffle_no_account_months(spark, sf):
+    """Accounts and clients are joined and dealt before they have months; then only a row for each month is added up."""
+    for name in ("abt_base", "null_audit"):
+        text = plan(registry.queries()[name](spark, sf))
+        top = text[: text.index("Generate explode(sequence")]
+        assert "REPARTITION" not in top and "hashpartitioning(cid" not in top and "hashpartitioning(aid" not in top, name
+        assert "SortMergeJoin" not in top, name
