@@ -49,3 +49,12 @@ def test_base_and_wide_tables_shuffle_no_account_months(spark, sf):
         top = text[: text.index("Generate explode(sequence")]
         assert "REPARTITION" not in top and "hashpartitioning(cid" not in top and "hashpartitioning(aid" not in top, name
         assert "SortMergeJoin" not in top, name
+
+
+def test_scaled_rounding_equals_duckdb(spark):
+    import duckdb
+
+    values = [1.134375, -1.134375, 2.000005, 0.5, 1 / 3, -7.0, None]
+    got = [r.x for r in registry.scaled_rounded(spark.createDataFrame([(v,) for v in values], "x double"), 5).collect()]
+    want = [r[0] for r in duckdb.connect().sql("SELECT round(x, 5) FROM (SELECT unnest([1.134375::DOUBLE, -1.134375, 2.000005, 0.5, 1 / 3, -7.0, NULL]) AS x)").fetchall()]
+    assert got == want and got[0] == 1.13437
