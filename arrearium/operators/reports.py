@@ -48,14 +48,22 @@ def paid_flag(panel: DataFrame) -> DataFrame:
     return previous(panel, "paid_installments", "before").withColumn("paid", (F.col("paid_installments") > F.col("before")).cast("int"))
 
 
-def action_effectiveness(panel: DataFrame, actions: DataFrame) -> DataFrame:
-    """action, n, mean_paid: share of months with a payment after each action sequence of the month before."""
+def action_effectiveness(panel: DataFrame, actions: DataFrame | None = None) -> DataFrame:
+    """action, n, mean_paid: share of months with a payment after each action sequence of the month before.
+
+    Without `actions` the panel has their column `action` already, and account-months meet in no join.
+    """
+    if actions is None:
+        after = previous(paid_flag(panel), "action", "__taken", None).filter("__taken is not null")
+        return after.groupBy(F.col("__taken").alias("action")).agg(F.count("*").alias("n"), F.avg("paid").alias("mean_paid"))
     taken = actions.select("aid", (F.col("month_no") + 1).alias("month_no"), "action")
     return paid_flag(panel).join(taken, ["aid", "month_no"]).groupBy("action").agg(F.count("*").alias("n"), F.avg("paid").alias("mean_paid"))
 
 
-def default_by_action(flagged: DataFrame, actions: DataFrame) -> DataFrame:
-    return vintage_risk(flagged.join(actions.select("aid", "month_no", "action"), ["aid", "month_no"]), ["action"])
+def default_by_action(flagged: DataFrame, actions: DataFrame | None = None) -> DataFrame:
+    """Risk by action; without `actions` the flagged months have their column `action` already."""
+    acted = flagged.filter("action is not null") if actions is None else flagged.join(actions.select("aid", "month_no", "action"), ["aid", "month_no"])
+    return vintage_risk(acted, ["action"])
 
 
 def encode_sequence(rows: DataFrame) -> DataFrame:

@@ -9,24 +9,30 @@ from pyspark.sql.window import Window as W
 from arrearium.functions.scalars import ACTION_COST, ACTIVE, action_sum, safe_div
 
 
-def histories(panel: DataFrame, actions: DataFrame) -> DataFrame:
-    """One row for each account: its months in order with state and action, and whether it ended."""
-    a = actions.select("aid", "month_no", "action")
-    rows = panel.join(a, ["aid", "month_no"], "left")
+def histories(panel: DataFrame, actions: DataFrame | None = None) -> DataFrame:
+    """One row for each account: its months in order with state and action, and whether it ended.
+
+    Without `actions` the panel has their column `action` already, and account-months meet in no join.
+    """
+    rows = panel if actions is None else panel.join(actions.select("aid", "month_no", "action"), ["aid", "month_no"], "left")
     month = F.struct("month_no", "period", "status", "coll_status", "due_installments", "paid_installments", "action")
     return rows.groupBy("aid").agg(F.array_sort(F.collect_list(month)).alias("history"), F.bool_or(F.col("status") != ACTIVE).alias("terminated"))
 
 
-def transitions(panel: DataFrame, actions: DataFrame) -> DataFrame:
-    """(state, action, next state) of active months with an action whose next month is there."""
+def transitions(panel: DataFrame, actions: DataFrame | None = None) -> DataFrame:
+    """(state, action, next state) of active months with an action whose next month is there.
+
+    Without `actions` the panel has their column `action` already, null without one, and account-months meet in no join.
+    """
     w = W.partitionBy("aid").orderBy("month_no")
     nxt = lambda c: F.lead(c).over(w)
     rows = panel.select(
         "aid", "period", "month_no", "status", "coll_status", "installment", F.col("due_installments").alias("s_due"), F.col("paid_installments").alias("s_paid"),
         nxt("due_installments").alias("next_due"), nxt("paid_installments").alias("next_paid"), nxt("month_no").alias("__next"), nxt("status").alias("next_status"),
+        *([] if actions is not None else ["action"]),
     )
     rows = rows.filter((F.col("status") == ACTIVE) & (F.col("__next") == F.col("month_no") + 1)).drop("__next")
-    return rows.join(actions.select("aid", "month_no", "action"), ["aid", "month_no"])
+    return rows.filter("action is not null") if actions is None else rows.join(actions.select("aid", "month_no", "action"), ["aid", "month_no"])
 
 
 def rewards(t: DataFrame) -> DataFrame:
