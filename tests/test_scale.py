@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from arrearium.operators import panel, reports, trajectories
 from arrearium.plans import registry
 from arrearium.sources import derived
 
@@ -58,3 +59,29 @@ def test_scaled_rounding_equals_duckdb(spark):
     got = [r.x for r in registry.scaled_rounded(spark.createDataFrame([(v,) for v in values], "x double"), 5).collect()]
     want = [r[0] for r in duckdb.connect().sql("SELECT round(x, 5) FROM (SELECT unnest([1.134375::DOUBLE, -1.134375, 2.000005, 0.5, 1 / 3, -7.0, NULL]) AS x)").fetchall()]
     assert got == want and got[0] == 1.13437
+
+
+def test_actions_come_along_with_their_months(spark, sf):
+    """Account-months were joined with the actions of the same account-months, both shuffled by account and month."""
+    names = ("transitions", "transition_buffers", "default_by_action", "account_histories", "action_effectiveness")
+    for name in names:
+        text = plan(registry.queries()[name](spark, sf))
+        assert "SortMergeJoin" not in text and "HashJoin" not in text and "hashpartitioning(aid" not in text.split("REPARTITION")[0], name
+    p = derived.panel(spark, sf)
+    both = derived.with_actions(p)
+    for own, joined in (
+        (trajectories.transitions(both), trajectories.transitions(p, derived.actions(p))), (trajectories.histories(both), trajectories.histories(p, derived.actions(p))),
+        (reports.action_effectiveness(both), reports.action_effectiveness(p, derived.actions(p))), (reports.default_by_action(panel.default_flags(both)), reports.default_by_action(panel.default_flags(p), derived.actions(p))),
+    ):
+        assert own.exceptAll(joined.select(own.columns)).isEmpty() and own.count() == joined.count()
+
+
+def test_flags_look_at_no_growing_rest(spark, sf):
+    """The rest of an account's months was a frame of its own for every month."""
+    assert "specifiedwindowframe(RowFrame, 1, unboundedfollowing" not in plan(panel.default_flags(derived.panel(spark, sf)))
+
+
+def test_outcomes_shuffle_no_account_months(spark, sf):
+    for name in ("thesis_abt", "wide_abt", "vintage_risk", "cleaned"):
+        top = plan(registry.queries()[name](spark, sf)).split("Generate explode(sequence")[0]
+        assert "hashpartitioning(aid" not in top and "SortMergeJoin" not in top, name
