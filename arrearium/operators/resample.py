@@ -66,13 +66,38 @@ def poisson_cdf(most: int = 12) -> np.ndarray:
     return np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, most)]))
 
 
+def _draw_table() -> np.ndarray:
+    """The draw by the first 12 bits of a uniform number; -1 where the other bits decide."""
+    low = np.arange(4096, dtype=np.uint64) << np.uint64(41)
+    at = lambda bits: np.searchsorted(poisson_cdf(), bits * 2.0**-53)
+    a, b = at(low), at(low + np.uint64((1 << 41) - 1))
+    return np.where(a == b, a, -1).astype(float)
+
+
 def draws(hashes: np.ndarray, replicates: int) -> np.ndarray:
-    """Poisson(1) draws, rows x replicates, that depend on nothing but a row's hash and the replicate's number."""
+    """Poisson(1) draws, rows x replicates, that depend on nothing but a row's hash and the replicate's number.
+
+    Some rows at a time, in place, so that what is mixed stays in the processor's cache; nearly all draws are looked up.
+    """
+    cdf, table = poisson_cdf(), _draw_table()
+    seeds, out = hashes.astype(np.int64).view(np.uint64)[:, None], np.empty((len(hashes), replicates))
     with np.errstate(over="ignore"):
-        z = hashes.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, replicates + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return np.searchsorted(poisson_cdf(), ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53).astype(float)
+        steps = np.arange(1, replicates + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        rows = max((1 << 15) // max(replicates, 1), 1)
+        for a in range(0, len(hashes), rows):
+            z = seeds[a : a + rows] + steps
+            t = np.empty_like(z)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+                np.right_shift(z, np.uint64(shift), out=t)
+                np.bitwise_xor(z, t, out=z)
+                if factor is not None:
+                    np.multiply(z, np.uint64(factor), out=z)
+            np.right_shift(z, np.uint64(52), out=t)
+            mine = out[a : a + rows]
+            np.take(table, t.view(np.int64), out=mine, mode="clip")
+            open_ = np.nonzero(mine < 0)
+            mine[open_] = np.searchsorted(cdf, (z[open_] >> np.uint64(11)) * 2.0**-53)
+    return out
 
 
 def stratum_factors(rows: DataFrame, stratum: str, replicates: int, hashes: str = "h") -> np.ndarray:
@@ -87,10 +112,11 @@ def stratum_factors(rows: DataFrame, stratum: str, replicates: int, hashes: str
         for batch in batches:
             s, h = batch.column("s").to_numpy(), batch.column("h").to_numpy()
             for a in range(0, len(s), step):
-                w = draws(h[a : a + step], replicates)
-                for k in np.unique(s[a : a + step]):
-                    mine = w[s[a : a + step] == k]
-                    total[int(k)] = total.get(int(k), 0) + np.concatenate([[len(mine)], mine.sum(0)])
+                w, part = draws(h[a : a + step], replicates), s[a : a + step]
+                own = np.unique(part)
+                in_ = (part[None, :] == own[:, None]).astype(float)
+                for k, n, x in zip(own, in_.sum(1), in_ @ w, strict=True):
+                    total[int(k)] = total.get(int(k), 0) + np.concatenate([[n], x])
         if total:
             yield pa.RecordBatch.from_pydict({"s": list(total), "w": [x.tobytes() for x in total.values()]}, pa.schema([("s", pa.int32()), ("w", pa.binary())]))
 
@@ -120,13 +146,29 @@ def cutoff_bootstrap(rows: DataFrame, anchors: list[str], replicates: int, fixed
     factors = stratum_factors(base.filter("g = 0"), "s", replicates)
     limits = [float(fixed[a]) for a in anchors]
 
-    def make(g: int, x: Mapping[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        w = np.concatenate([np.ones((len(x["h"]), 1)), draws(x["h"], replicates) * factors[x["s"]]], axis=1)
-        value, inside = w * x["profit"][:, None], (x["p"] <= limits[g])[:, None]
-        return w, value, [(value * inside).sum(0), (w * inside).sum(0), (w * np.nan_to_num(x["y"])[:, None]).sum(0)]
+    def make(g: int, x: Mapping[str, np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Sums over each run of equal scores. Weights are draws times a factor of the stratum, so rows are added up by stratum first."""
+        w, profit, inside, n = draws(x["h"], replicates), x["profit"], (x["p"] <= limits[g]).astype(float), len(x["h"])
+        columns = np.stack([np.ones(n), profit, profit * inside, inside, np.nan_to_num(x["y"])])
+        strata = (x["s"][None, :] == np.arange(len(factors))[:, None]).astype(float)
+
+        def weighed(a: int, b: int, vectors: np.ndarray) -> np.ndarray:
+            by = (strata[:, None, a:b] * vectors[None, :, a:b]).reshape(-1, b - a) @ w[a:b]
+            return (by.reshape(len(factors), len(vectors), -1) * factors[:, None, :]).sum(0)
+
+        own, own_extras = np.add.reduceat(columns[:2], starts, axis=1)[:, :, None], columns[2:].sum(1)[:, None]
+        if 8 * len(starts) <= n or len(starts) == 1:
+            every = np.stack([weighed(a, b, columns) for a, b in zip(starts, [*starts[1:], n], strict=True)], axis=1)
+            drawn, extras = every[:2], every[2:].sum(1)
+        else:
+            extras = weighed(0, n, columns[2:])
+            w *= factors[x["s"]]
+            drawn = np.stack([np.add.reduceat(v, starts, axis=0) for v in (w, w * profit[:, None])])
+        count, value = np.concatenate([own, drawn], axis=2)
+        return count, value, list(np.concatenate([own_extras, extras], axis=1))
 
     out = []
-    for g, b in best_prefixes(base, "g", "p", make, replicates + 1, 3).items():
+    for g, b in best_prefixes(base, "g", "p", make, replicates + 1, 3, sums=True).items():
         n = np.where(b.n > 0, b.n, 1.0)
         pct, fixed_pct, uplift = 100 * b.best_n / n, 100 * b.extras[1] / n, b.best - b.extras[0]
         share = np.divide(uplift, np.abs(b.extras[0]), out=np.full_like(uplift, np.nan), where=b.extras[0] != 0)

@@ -243,3 +243,39 @@ def test_window_columns_are_rolling_and_trend(spark):
                 want = r[c]
                 assert got[r.aid][c] == (None if want is None else pytest.approx(want, abs=1e-9)), (c, r.aid)
     assert len(got[0]) == 36
+
+
+def test_prefixes_of_one_common_key(spark):
+    """Nearly all rows have the largest key, as capped scores may: they were one partition, and are spread now."""
+    draw = np.random.default_rng(8)
+    rows = [(int(g), float(round(min(p, 1.0), 1)), float(v), i) for i, (g, p, v) in enumerate(zip(draw.integers(0, 2, 3000), draw.uniform(0, 20, 3000), draw.normal(0.02, 1, 3000)))]
+    df = spark.createDataFrame(rows, "g int, p double, v double, id long").repartition(3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        seen = spark.sparkContext.accumulator(0)
+
+        def make(g, x):
+            seen.add(len(x["v"]) ** 2)
+            return np.ones((len(x["v"]), 2)), x["v"][:, None] * np.array([1.0, -1.0]), []
+
+        found = best_prefixes(df, "g", "p", make, 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert seen.value < 3.2e6  # squares of what a task gets of a group: four times 750 rows, not twice 1,425
+    for g in range(2):
+        own = [(p, v) for k, p, v, _ in rows if k == g]
+        for j, s in enumerate((1.0, -1.0)):
+            ways = [(sum(v * s for p, v in own if p <= at), at) for at in sorted({p for p, _ in own})]
+            most, at = max(ways, key=lambda w: (round(w[0], 9), -w[1]))
+            b = found[g]
+            assert b.best[j] == pytest.approx(max(most, 0.0)) and b.n[j] == len(own) and (b.best_at[j], b.best_n[j]) == ((at, sum(p <= at for p, _ in own)) if most > 0 else (0.0, 0.0))
+
+
+def test_draws_are_the_distribution_function(spark):
+    """Looked-up draws equal a search in the distribution function for every row and replicate."""
+    h = np.random.default_rng(9).integers(-(2**63), 2**63 - 1, 700)
+    with np.errstate(over="ignore"):
+        z = h.view(np.uint64)[:, None] + np.arange(1, 401, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    assert (resample.draws(h, 400) == np.searchsorted(resample.poisson_cdf(), ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53)).all()
