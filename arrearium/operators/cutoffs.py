@@ -67,29 +67,44 @@ def linear_grid(accounts: DataFrame, axes: Mapping[str, list], disc: float = 0.0
     `shares` there is no share of profitable accounts, and accounts of one score and tenor are summed first.
     """
     pairs = list(product(axes["pd_mult"], axes["strategy"]))
-    cells = np.array(list(product(*[axes[k] for k in LINEAR])), dtype=float)
-    cof, acq, lgd, op = (cells[:, i][None, :] for i in range(4))
+    cells = list(product(*[axes[k] for k in LINEAR]))
+    return _linear_cells(accounts, pairs, [cells] * len(pairs), [fixed_cutoffs[p] for p in pairs] if fixed_cutoffs else None, disc, score, shares).drop("g")
+
+
+def linear_scenarios(accounts: DataFrame, scenarios: Mapping[str, tuple[float, str, float, float, float]], ops: list[float], fixed_cutoffs: Mapping[str, float], disc: float = 0.05, score: str = "score", name: str = "anchor") -> DataFrame:
+    """The columns of `linear_grid` for named (pd_mult, strategy, cof, acq, lgd), each at all running costs, from one ranged pass."""
+    names = list(scenarios)
+    cells = [[(cof, acq, lgd, op) for op in ops] for _, _, cof, acq, lgd in scenarios.values()]
+    out = _linear_cells(accounts, [(m, s) for m, s, *_ in scenarios.values()], cells, [fixed_cutoffs[k] for k in names], disc, score, True)
+    return out.withColumn(name, F.get(F.array(*[F.lit(k) for k in names]), F.col("g"))).drop("g")
+
+
+def _linear_cells(accounts: DataFrame, pairs: list[tuple[float, str]], cells: list[list[tuple[float, ...]]], fixed: list[float] | None, disc: float, score: str, shares: bool) -> DataFrame:
+    """g and the columns of `linear_grid` for cells of LINEAR values of each pair g of stress and price, as many for each."""
+    width = len(cells[0])
+    values = [[column[None, :] for column in np.array(own, dtype=float).T] for own in cells]
     small = accounts.sparkSession.createDataFrame([(i, float(m), str(s)) for i, (m, s) in enumerate(pairs)], "g int, pd_mult double, strategy string")
     rows = accounts.select(F.col(score).cast("double").alias("score"), F.col("loan_amount").cast("double").alias("loan"), F.col("n_installments").alias("n"), F.lit(1.0).alias("k"))
     rows = (rows if shares else rows.groupBy("score", "n").agg(F.sum("loan").alias("loan"), F.sum("k").alias("k"))).crossJoin(F.broadcast(small))
     rows = rows.withColumn("p", F.least(F.col("score") * F.col("pd_mult"), F.lit(0.999))).withColumn("apr", strategy_apr(F.col("score"), F.col("strategy")))
     rows = rows.withColumns(exposure(F.col("p"), F.col("loan"), F.col("n"), F.col("apr"), F.lit(disc))).select("g", "p", "k", "apr", "balance", (F.col("hazard") * F.col("balance")).alias("lost"), "instalment_base")
-    limits = {i: fixed_cutoffs[m, s] for i, (m, s) in enumerate(pairs)} if fixed_cutoffs else {}
+    limits = dict(enumerate(fixed)) if fixed else {}
 
     def make(g: int, x: Mapping[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        cof, acq, lgd, op = values[g]
         balance, lost, base, k = x["balance"][:, None], x["lost"][:, None], x["instalment_base"][:, None], x["k"][:, None]
         profit = np.maximum(x["apr"][:, None] - cof, 0.0) / 12 * balance - op * base - lgd * lost - acq * k
         inside = (x["p"] <= limits.get(g, -1.0))[:, None]
-        return np.broadcast_to(k, profit.shape), profit, [(profit > 0).sum(0).astype(float), (profit * inside).sum(0), np.full(len(cells), float((k * inside).sum()))]
+        return np.broadcast_to(k, profit.shape), profit, [(profit > 0).sum(0).astype(float), (profit * inside).sum(0), np.full(width, float((k * inside).sum()))]
 
     out = []
-    for g, b in best_prefixes(rows, "g", "p", make, len(cells), 3).items():
-        for k, cell in enumerate(cells):
+    for g, b in best_prefixes(rows, "g", "p", make, width, 3).items():
+        for k, cell in enumerate(cells[g]):
             pct = 100 * b.best_n[k] / b.n[k]
             category = "approve_all" if pct >= 99 else "interior" if pct >= 50 else "reject_most"
             more = (float(b.extras[1][k]), float(100 * b.extras[2][k] / b.n[k])) if limits else (None, None)
-            out.append((float(pairs[g][0]), pairs[g][1], *map(float, cell), int(b.n[k]), float(b.total[k]), float(b.total[k] / b.n[k]), float(b.extras[0][k] / b.n[k]) if shares else None, float(b.best_at[k]), float(pct), float(b.best[k]), category, *more))
-    schema = "pd_mult double, strategy string, cof double, acq double, lgd double, op double, n bigint, total_profit double, mean_profit double, share_positive double, cutoff_pd double, approve_pct double, max_profit double, category string, profit_at_fixed double, approve_pct_fixed double"
+            out.append((g, float(pairs[g][0]), pairs[g][1], *map(float, cell), int(b.n[k]), float(b.total[k]), float(b.total[k] / b.n[k]), float(b.extras[0][k] / b.n[k]) if shares else None, float(b.best_at[k]), float(pct), float(b.best[k]), category, *more))
+    schema = "g int, pd_mult double, strategy string, cof double, acq double, lgd double, op double, n bigint, total_profit double, mean_profit double, share_positive double, cutoff_pd double, approve_pct double, max_profit double, category string, profit_at_fixed double, approve_pct_fixed double"
     return accounts.sparkSession.createDataFrame(out, schema)  # one row a cell
 
 

@@ -279,3 +279,35 @@ def test_draws_are_the_distribution_function(spark):
         z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     assert (resample.draws(h, 400) == np.searchsorted(resample.poisson_cdf(), ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53)).all()
+
+
+def test_bins_tell_the_side_of_a_gini(spark, monkeypatch):
+    """Bins decide what they can; the other groups are ordered by every score. Both as the exact Gini says."""
+    from arrearium.operators import metrics, models
+
+    draw = np.random.default_rng(10)
+    rows = [(int(g), float(s + 0.3 * g * t), int(t)) for g, s, t in zip(draw.integers(0, 4, 2000), draw.normal(0, 1, 2000), draw.uniform(size=2000) < 0.3)] + [(9, 1.0, 1)]
+    df = spark.createDataFrame(rows, "g int, s double, y int")
+    exact = {r.g: r.gini for r in metrics.discrimination(df, "s", "y", ["g"]).collect() if r.gini is not None}
+    asked = []
+    plain = metrics.discrimination
+    monkeypatch.setattr(metrics, "discrimination", lambda part, *a: asked.append(sorted(r[0] for r in part.select("g").distinct().collect())) or plain(part, *a))
+    middle = exact[2] - 1e-7
+    assert metrics.above(df, "s", "y", "g", middle) == {g: v > middle for g, v in exact.items()} and asked == [[2]]
+    assert metrics.above(df, "s", "y", "g", 0.99) == dict.fromkeys(exact, False) and asked == [[2]]
+    assert metrics.above(df, "s", "y", "g", exact[1], bins=2) == {g: v > exact[1] for g, v in exact.items()} and 1 in asked[-1]
+    monkeypatch.undo()
+    blurred = models.perturb_to_gini(df.filter("g = 3").withColumn("k", F.monotonically_increasing_id()).withColumn("p", 1 / (1 + F.exp(-F.col("s")))), "p", "y", "k", exact[3] / 2)
+    assert plain(blurred, "p_perturbed", "y").first()["gini"] == pytest.approx(exact[3] / 2, abs=0.02)
+
+
+def test_linear_scenarios_are_linear_grids(spark):
+    """All scenarios in one ranged pass, where each was a pass of its own."""
+    df = spark.createDataFrame(_accounts(), "aid long, score double, n_installments int, loan_amount double, y int")
+    scenarios, ops, limits = {"a": (1.0, "tiered", 0.0, 0.0, 0.5), "b": (5.0, "flat18", 0.06, 500.0, 0.85)}, [0.0, 0.02], {"a": 0.1, "b": 0.6}
+    got = {(r.anchor, r.op): r for r in cutoffs.linear_scenarios(df, scenarios, ops, limits).collect()}
+    for name, (m, s, cof, acq, lgd) in scenarios.items():
+        alone = cutoffs.linear_grid(df, {"pd_mult": [m], "strategy": [s], "cof": [cof], "acq": [acq], "lgd": [lgd], "op": ops}, fixed_cutoffs={(m, s): limits[name]})
+        for r in alone.collect():
+            assert all(got[name, r.op][c] == (pytest.approx(r[c]) if isinstance(r[c], float) else r[c]) for c in alone.columns)
+    assert len(got) == 4
