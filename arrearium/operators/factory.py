@@ -49,14 +49,14 @@ def group_specs(groups: list[tuple[str, str | None, str]], full: bool = False) -
 SPECS_A, SPECS_B = group_specs(APPLICATION_GROUPS), group_specs(LOAN_GROUPS, True)
 
 
-def group_statistics(df: DataFrame, specs: list[tuple[str, str | None, str, str]], train: Column, most: int = 100_000) -> DataFrame:
+def group_statistics(df: DataFrame, specs: list[tuple[str, str | None, str, str]], train: Column, most: int = 100_000, fitted: DataFrame | None = None) -> DataFrame:
     """`df` with mean, std, median or count of a value by a key on the training rows, and the global statistic where the
     key wasn't seen in them (for count, all training rows).
 
     Each key is grouped once for all its statistics, medians come from ranged counts, and a key's table is broadcast: it
-    has at most `most` levels, more are an error.
+    has at most `most` levels, more are an error. The statistics come from `fitted`, the same rows with fewer columns, if given.
     """
-    fit = df.filter(train)
+    fit = (df if fitted is None else fitted).filter(train)
     of: dict[str, list] = defaultdict(list)
     for key, value, stat, name in specs:
         of[key].append((value, stat, name))
@@ -94,16 +94,19 @@ def fallback_rates(df: DataFrame, keys: list[str], train: Column) -> DataFrame:
     return out.withColumn("rate", safe_div(F.col("n_unseen"), F.col("n")))
 
 
-def ratios_and_products(df: DataFrame) -> DataFrame:
-    """`df` with 12 ratios and logs, cut at their first and last percentile, and 9 products; cuts come from one scan."""
+def ratios_and_products(df: DataFrame, fitted: DataFrame | None = None) -> DataFrame:
+    """`df` with 12 ratios and logs, cut at their first and last percentile, and 9 products; cuts come from one scan, and with the
+    codes from `fitted`, the same rows with fewer columns, if given."""
     side = lambda x: F.col(x).cast("double") if isinstance(x, str) else F.lit(float(x))
-    made = df.withColumns({**{k: safe_div(side(a), side(b)) for k, (a, b) in RATIOS.items()}, **{k: log1p_pos(F.col(c).cast("double")) for k, c in LOGS.items()}})
-    found = profiles(made, [*RATIOS, *LOGS], [0.01, 0.99])
+    source = df if fitted is None else fitted
+    raw = {**{k: safe_div(side(a), side(b)) for k, (a, b) in RATIOS.items()}, **{k: log1p_pos(F.col(c).cast("double")) for k, c in LOGS.items()}}
+    made = df.withColumns(raw)
+    found = profiles(source.withColumns(raw), [*RATIOS, *LOGS], [0.01, 0.99])
     cut = lambda k: F.when(F.col(k).isNotNull(), F.greatest(F.least(F.col(k), F.lit(found[k].quantiles[1])), F.lit(found[k].quantiles[0])))
     made = made.withColumns({k: cut(k) for k in found if found[k].n})
     coded = sorted({a[1:] for a, _ in PRODUCTS.values() if a[0] == "#"})
     for c in coded:
-        made = label_codes(made, c, f"__code_{c}")
+        made = label_codes(made, c, f"__code_{c}", source)
     left = lambda a: F.col(f"__code_{a[1:]}").cast("double") if a[0] == "#" else F.col(a).cast("double")
     return made.withColumns({k: left(a) * F.col(b).cast("double") for k, (a, b) in PRODUCTS.items()}).drop(*[f"__code_{c}" for c in coded])
 
@@ -133,13 +136,14 @@ BALANCES = [(2, 5), (1, 6), (3, 4), (2, 7), (4, 5), (1, 4), (2, 6), (3, 5), (1,
 LIMITS = [0.3, 0.5, 0.4, 0.6, 0.2, 0.7, 0.5, 0.4, 0.3, 0.6]
 
 
-def bureau_like(df: DataFrame, key: str = "aid", seed: int = 7000) -> tuple[DataFrame, list[Derived]]:
+def bureau_like(df: DataFrame, key: str = "aid", seed: int = 7000, fitted: DataFrame | None = None) -> tuple[DataFrame, list[Derived]]:
     """`df` with 66 bureau-like columns of application data and noise, and their lineage; a source of any other level is refused.
 
-    Every draw depends on the row's key only. Standardising and scaling take the income's moments from one aggregate.
+    Every draw depends on the row's key only. Standardising and scaling take the income's moments from one aggregate
+    (of `fitted`, the same rows with fewer columns, if given).
     """
     income, age, spend = (F.col(c).cast("double") for c in ("app_income", "act_age", "app_spendings"))
-    mean, std, top = df.agg(F.avg(income), F.stddev_pop(income), F.max(income)).first()
+    mean, std, top = (df if fitted is None else fitted).agg(F.avg(income), F.stddev_pop(income), F.max(income)).first()
     clip = lambda x, lo, hi: F.least(F.greatest(x, F.lit(float(lo))), F.lit(float(hi)))
     made: dict[str, tuple[Column, tuple[str, ...], str]] = {}
     draw = iter(range(seed, seed + 10_000, 20))

@@ -45,3 +45,5 @@ def test_wide_rows_are_not_written(spark, sf, monkeypatch):
         monkeypatch.setattr(module, "durable", lambda df, keep=keep: written.append(len(df.columns)) or keep(df))
     registry.queries()["whole_wide_abt"](spark, sf)
     assert not written
+    registry.queries()["feature_table_checks"](spark, sf)
+    assert all(n < 40 for n in written)
