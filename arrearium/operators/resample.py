@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arrearium.functions.scalars import safe_div
+from arrearium.sources.shared import durable
 
 from .features import cumulative
 from .prefix import CELLS, best_prefixes
@@ -38,17 +39,67 @@ def weights(df: DataFrame, key: str, replicates: int, seed: int = 42) -> DataFra
     return rows.withColumn("weight", poisson_weight(_uniform(seed, F.col(key), F.col("replicate")))).filter("weight > 0")
 
 
-def exact_sample(df: DataFrame, strata: list[str], key: str, replicates: int, seed: int = 42) -> DataFrame:
-    """As many draws with replacement from every stratum as it has rows, for each replicate.
+#: Rows of a stratum whose draws are made together.
+BLOCK = 1 << 13
+
+
+def _numbers(seed: int, *keys: int) -> np.random.Generator:
+    return np.random.Generator(np.random.PCG64([x & 0xFFFFFFFFFFFFFFFF for x in (seed, *keys)]))
+
+
+def exact_weights(df: DataFrame, strata: list[str], key: str, replicates: int, seed: int = 42) -> DataFrame:
+    """`df` with __w, how often a row is drawn in each replicate, if every stratum is drawn with replacement at its own size.
 
-    Rows are numbered within their stratum by `key`, in ranges of it; a draw is a number, found by an equi join.
+    Rows are numbered within their stratum by `key`, in ranges of it, and numbers fall into blocks. How many of a stratum's
+    draws fall into each block is multinomial, and where they fall in a block is uniform; both follow from the seed, the
+    stratum, the replicate and the block. So the task that has a row makes its draws: none is joined or shuffled.
     """
-    numbered = cumulative(df.withColumn("__one", F.lit(1)), key, ["__one"], strata).withColumn("__rn", (F.col("before___one") + 1).cast("int")).select(*df.columns, "__rn")
-    sizes = df.groupBy(*strata).agg(F.count("*").alias("__n"))
-    draws = numbered.select(*strata, "__rn").join(F.broadcast(sizes), strata).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = _uniform(seed, *[F.col(c) for c in strata], F.col("__rn"), F.col("replicate"))
-    draws = draws.select(*strata, "replicate", (F.floor(u * F.col("__n")) + 1).cast("int").alias("__rn"))
-    return draws.join(numbered, [*strata, "__rn"]).drop("__rn")
+    rows, names = durable(df), df.columns  # ranging reads it twice
+    numbered = cumulative(rows.withColumn("__one", F.lit(1)), key, ["__one"], strata).select(*df.columns, F.col("before___one").cast("bigint").alias("__at"), F.col("total___one").cast("bigint").alias("__n"), F.xxhash64(F.lit(seed), *strata).alias("__s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: dict[tuple[int, int], np.ndarray] = {}  # the last stratum's: replicates x blocks
+        held: dict[tuple[int, int, int], np.ndarray] = {}  # the last block's: rows x replicates
+        for batch in batches:
+            at, n, s = (batch.column(c).to_numpy() for c in ("__at", "__n", "__s"))
+            block = at // BLOCK
+            out = np.zeros((len(at), replicates), np.int32)
+            order = np.lexsort((at, s))
+            cuts = np.flatnonzero((np.diff(s[order]) != 0) | (np.diff(block[order]) != 0)) + 1
+            for part in np.split(order, cuts):
+                if not len(part):
+                    continue
+                stratum, rows, b = int(s[part[0]]), int(n[part[0]]), int(block[part[0]])
+                if (stratum, rows) not in sizes:
+                    shares = np.diff([*range(0, rows, BLOCK), rows]) / rows
+                    sizes = {(stratum, rows): np.stack([_numbers(seed, stratum, r).multinomial(rows, shares) for r in range(replicates)])}
+                if (stratum, rows, b) not in held:
+                    own = min(BLOCK, rows - b * BLOCK)
+                    drawn = sizes[stratum, rows][:, b]
+                    held = {(stratum, rows, b): np.stack([np.bincount(_numbers(seed, stratum, r, b).integers(0, own, drawn[r]), minlength=own) for r in range(replicates)], axis=1)}
+                out[part] = held[stratum, rows, b][at[part] - b * BLOCK]
+            lists = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * replicates, pa.array(out.reshape(-1), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], lists], names=[*names, "__w"])
+
+    kinds = ", ".join(f"`{c}` {k}" for c, k in df.dtypes)
+    return numbered.mapInArrow(run, f"{kinds}, __w array<int>")
+
+
+def exact_sample(df: DataFrame, strata: list[str], key: str, replicates: int, seed: int = 42) -> DataFrame:
+    """As many draws with replacement from every stratum as it has rows, for each replicate: a row for each draw."""
+    rows = exact_weights(df, strata, key, replicates, seed).select(*df.columns, F.posexplode("__w").alias("__r", "__k"))
+    drawn = rows.filter("__k > 0").select("*", F.explode(F.array_repeat(F.lit(1), F.col("__k"))))
+    return drawn.select(*strata, (F.col("__r") + 1).alias("replicate"), *[c for c in df.columns if c not in strata])
+
+
+def exact_sums(df: DataFrame, strata: list[str], by: list[str], key: str, replicates: int, columns: list[str], seed: int = 42) -> DataFrame:
+    """n and the sums of `columns` over the draws of `exact_sample`, by replicate and group `by`."""
+    rows = exact_weights(df, strata, key, replicates, seed)
+    weight = lambda r: F.get("__w", F.lit(r)).cast("bigint")
+    # A group's replicates are columns of one aggregate, so rows aren't multiplied by them.
+    sums = rows.groupBy(*by).agg(*[x for r in range(replicates) for x in (F.sum(weight(r)).alias(f"__n{r}"), *[F.sum(weight(r) * F.col(c)).alias(f"__{i}_{r}") for i, c in enumerate(columns)])])
+    each = [F.struct(F.lit(r + 1).alias("replicate"), F.col(f"__n{r}").alias("n"), *[F.col(f"__{i}_{r}").alias(c) for i, c in enumerate(columns)]) for r in range(replicates)]
+    return sums.select(*by, F.explode(F.array(*each)).alias("e")).select("e.replicate", *by, "e.n", *[f"e.{c}" for c in columns]).filter("n > 0")
 
 
 def profit_cutoff(weighted: DataFrame, by: list[str], score: str, profit: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +172,25 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and entry.entry(spark).count() > 0
+
+
+def test_exact_draws_need_no_join(spark, monkeypatch):
+    """Draws were joined with the rows, each row as often as there are replicates; their results don't hang on partitions or blocks' tasks."""
+    monkeypatch.setattr(resample, "BLOCK", 64)
+    df = spark.createDataFrame([(i, i % 3, float(i % 7)) for i in range(1000)], "id int, g int, v double")
+    weights = resample.exact_weights(df, ["g"], "id", 40)
+    assert "hashpartitioning(g" not in weights._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    got = {r.id: r for r in weights.collect()}
+    w = np.array([got[i]["__w"] for i in range(1000)])
+    assert w.shape == (1000, 40) and all((w[g::3].sum(0) == len(w[g::3])).all() for g in range(3))
+    assert 0.9 < w.var() < 1.1 and 0.34 < (w == 0).mean() < 0.40 and np.abs(w.mean(1) - 1).max() < 1  # as Poisson(1), nearly
+    assert len({tuple(c) for c in w.T}) == 40 and not np.array_equal(w[0:64 * 3:3], w[64 * 3:128 * 3:3])
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        again = resample.exact_weights(df.repartition(7), ["g"], "id", 40)
+        assert {r.id: r["__w"] for r in again.collect()} == {i: r["__w"] for i, r in got.items()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    rows = {(r.replicate, r.g): (r.n, r.v) for r in resample.exact_sample(df, ["g"], "id", 4).groupBy("replicate", "g").agg(F.count("*").alias("n"), F.sum("v").alias("v")).collect()}
+    sums = {(r.replicate, r.g): (r.n, r.v) for r in resample.exact_sums(df, ["g"], ["g"], "id", 4, ["v"]).collect()}
+    assert rows == sums and len(sums) == 12
