@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
-from arrearium.operators import panel, reports, trajectories
-from arrearium.plans import registry
+from pyspark.sql import functions as F
+
+from arrearium.operators import features, panel, reports, trajectories
+from arrearium.plans import queries_scores, registry
 from arrearium.sources import derived
 
 
@@ -85,3 +87,17 @@ def test_outcomes_shuffle_no_account_months(spark, sf):
     for name in ("thesis_abt", "wide_abt", "vintage_risk", "cleaned"):
         top = plan(registry.queries()[name](spark, sf)).split("Generate explode(sequence")[0]
         assert "hashpartitioning(aid" not in top and "SortMergeJoin" not in top, name
+
+
+def test_model_rows_read_the_months_once(spark, sf, monkeypatch):
+    """Months were made and grouped twice, joined by account, and joined with accounts and clients once more."""
+    seen = []
+    monkeypatch.setattr(queries_scores, "durable", lambda df: seen.append(plan(df)) or df)
+    got = queries_scores._model_rows(spark, sf)
+    assert seen[0].count("Generate explode(sequence") == 1
+    p = derived.panel(spark, sf)
+    early = features.rolling(p.filter("k < 6").withColumn("m", F.col("k") + 1), {"due": "due_installments", "days": "pay_days"}, (3, 6))
+    later = p.groupBy("aid").agg(F.max(((F.col("k") >= 6) & (F.col("due_installments") >= 4)).cast("int")).alias("y"))
+    a = derived.accounts(spark, sf).join(derived.clients(spark, sf).select("cid", "income", "job_code"), "cid")
+    want = early.join(later, "aid").join(a, "aid").withColumn("split", F.when(F.col("fin_period") < 199600, "train").otherwise("oot")).select(got.columns)
+    assert got.dtypes == want.dtypes and got.count() == want.count() and got.exceptAll(want).isEmpty()
