@@ -21,6 +21,7 @@ from arrearium.functions.scalars import ACTIVE, age_at
 from .base_table import APPLICATION_WEIGHTS, BEHAVIOUR_WEIGHTS, COLUMNS, RENAMED
 from .panel import LENGTHS, STATISTICS, VARIABLES
 from .whole_abt import READ, _account_series, _customer_series, customers, in_order, packed
+from .wide import nearest as _nearest
 
 #: Months that a counter looks at, and the counters.
 COUNTED_MONTHS = 12
@@ -164,13 +165,6 @@ def _standard(period: np.ndarray, columns: Sequence[np.ndarray], stats: Mapping[
     return out
 
 
-def _nearest(x: np.ndarray, digits: int) -> np.ndarray:
-    """`registry.scaled_rounded` of an array."""
-    scale = 10.0**digits
-    scaled = np.abs(x) * scale
-    return np.where(scaled < 2.0**52, np.sign(x) * np.floor(scaled + 0.5) / scale + 0.0, x)
-
-
 def abt_summary(
     transactions: DataFrame, columns: Sequence[str] | None = None, weights: Mapping[str, float] = BEHAVIOUR_WEIGHTS, application: Mapping[str, float] = APPLICATION_WEIGHTS, digits: int | None = None,
 ) -> DataFrame:
