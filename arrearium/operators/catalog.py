@@ -9,9 +9,11 @@ row for each column; its filters and checks are DataFrame expressions on it.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,19 +150,29 @@ def guard(name: str, sources: Iterable[str], allowed: str = "BGH") -> None:
 
 
 def checks(df: DataFrame, cat: DataFrame, expected_rows: int, synthetic: str = "synth_") -> DataFrame:
-    """check_name, value, ok of a feature table against its catalog: rows, infinities, completeness, one target, sources."""
-    from .wide import unpivot
+    """check_name, value, ok of a feature table against its catalog: rows, infinities, completeness, one target, sources.
 
+    Rows and infinities are counted by the tasks in one pass, in which the feature table may be made.
+    """
     spark = df.sparkSession
     numeric = [c for c, kind in df.dtypes if kind in ("double", "float")]
-    infinite = unpivot(df, numeric).filter(F.abs("value") == float("inf")).count() if numeric else 0
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, found = 0, 0
+        for batch in batches:
+            n, found = n + batch.num_rows, found + int(np.isinf(batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float)).sum())
+        yield pa.RecordBatch.from_pydict({"n": [n], "found": [found]})
+
+    cells = F.array(*[F.col(c).cast("double") for c in numeric]) if numeric else F.array().cast("array<double>")
+    counts = df.select(cells.alias("x")).mapInArrow(counted, "n bigint, found bigint").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("found"), F.lit(0)))
+    n, infinite = counts.first()
     names = spark.createDataFrame([(c,) for c in df.columns], "feature_name string")
     missing, extra = names.join(cat, "feature_name", "left_anti").count(), cat.join(names, "feature_name", "left_anti").count()
     terms = F.lit(False)
     for word in LOAN_TERM_WORDS:
         terms = terms | F.contains(F.lower("source_columns"), F.lit(word))
     one = cat.agg(F.count_if("uses_target"), F.count_if(eligible() & terms & ~F.startswith("feature_name", F.lit(synthetic)))).first()
-    n, scores = df.count(), sum(c.lower() in ("score", "scorem") for c in df.columns)
+    scores = sum(c.lower() in ("score", "scorem") for c in df.columns)
     rows = [
         ("row_count_unchanged", n, n == expected_rows), ("no_infinities", infinite, infinite == 0), ("columns_in_catalog", missing, missing == 0), ("catalog_in_columns", extra, extra == 0), ("one_target", one[0], one[0] == 1),
         ("no_score_columns", scores, scores == 0), ("no_loan_terms_in_pd", one[1], one[1] == 0),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,12 +51,26 @@ def group_specs(groups: list[tuple[str, str | None, str]], full: bool = False) -
 SPECS_A, SPECS_B = group_specs(APPLICATION_GROUPS), group_specs(LOAN_GROUPS, True)
 
 
+#: Levels of a key up to which what belongs to them is a literal; a join copies all columns of each row.
+FEW = 64
+
+
+def _looked_up(kind: str, key: str, rows: Mapping[Any, Sequence[float | None]]) -> Column | None:
+    """The array of numbers of a row's level, null for other levels; None for too many levels, or levels of another kind."""
+    if kind not in ("int", "bigint", "string") or len(rows) > FEW:
+        return None
+    values = lambda xs: F.array(*[F.lit(None if x is None else float(x)).cast("double") for x in xs])
+    own = [x for k, v in rows.items() if k is not None for x in (F.lit(k).cast(kind), values(v))]
+    found = F.try_element_at(F.create_map(*own), F.col(key)) if own else F.lit(None).cast("array<double>")
+    return F.when(F.col(key).isNull(), values(rows[None])).otherwise(found) if None in rows else found
+
+
 def group_statistics(df: DataFrame, specs: list[tuple[str, str | None, str, str]], train: Column, most: int = 100_000, fitted: DataFrame | None = None) -> DataFrame:
     """`df` with mean, std, median or count of a value by a key on the training rows, and the global statistic where the
     key wasn't seen in them (for count, all training rows).
 
-    Each key is grouped once for all its statistics, medians come from ranged counts, and a key's table is broadcast: it
-    has at most `most` levels, more are an error. The statistics come from `fitted`, the same rows with fewer columns, if given.
+    Each key is grouped once for all its statistics, medians come from ranged counts, and a key's table is a literal, or
+    broadcast if it has many levels: it has at most `most`, more are an error. The statistics come from `fitted`, the same rows with fewer columns, if given.
     """
     fit = (df if fitted is None else fitted).filter(train)
     of: dict[str, list] = defaultdict(list)
@@ -77,11 +93,17 @@ def group_statistics(df: DataFrame, specs: list[tuple[str, str | None, str, str]
         levels = by.select(F.col(key).alias("__key"), *names).limit(most + 1).collect()
         if len(levels) > most:
             raise ValueError(f"{key} has more than {most} levels")
-        small = df.sparkSession.createDataFrame(levels, by.select(F.col(key).alias("__key"), *names).schema)
-        out = out.join(F.broadcast(small), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+        if (found := _looked_up(dict(df.dtypes)[key], key, {r["__key"]: [r[n] for n in names] for r in levels})) is not None:
+            values = {n: F.get(found, F.lit(i)) for i, n in enumerate(names)}
+        else:
+            small = df.sparkSession.createDataFrame(levels, by.select(F.col(key).alias("__key"), *names).schema)
+            out = out.join(F.broadcast(small), F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+            values = {n: F.col(n) for n in names}
+        made = {}
         for v, s, n in wanted:
             fallback = whole["n"] if s == "count" else middles[v] if s == "median" else whole[f"{s}_{v}"]
-            out = out.withColumn(n, F.coalesce(F.col(n).cast("double"), F.lit(fallback).cast("double")))
+            made[n] = F.coalesce(values[n].cast("double"), F.lit(fallback).cast("double"))
+        out = out.withColumns(made)
     return out
 
 
@@ -106,7 +128,9 @@ def ratios_and_products(df: DataFrame, fitted: DataFrame | None = None) -> DataF
     made = made.withColumns({k: cut(k) for k in found if found[k].n})
     coded = sorted({a[1:] for a, _ in PRODUCTS.values() if a[0] == "#"})
     for c in coded:
-        made = label_codes(made, c, f"__code_{c}", source)
+        levels = [r[0] for r in source.select(c).filter(F.col(c).isNotNull()).distinct().limit(FEW + 1).collect()]
+        code = _looked_up(dict(df.dtypes)[c], c, {k: [i] for i, k in enumerate(sorted(levels))})
+        made = label_codes(made, c, f"__code_{c}", source) if code is None else made.withColumn(f"__code_{c}", F.get(code, F.lit(0)).cast("int"))
     left = lambda a: F.col(f"__code_{a[1:]}").cast("double") if a[0] == "#" else F.col(a).cast("double")
     return made.withColumns({k: left(a) * F.col(b).cast("double") for k, (a, b) in PRODUCTS.items()}).drop(*[f"__code_{c}" for c in coded])
 
